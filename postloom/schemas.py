@@ -1,58 +1,77 @@
 """Record shapes. ``seq`` is the arrival order: unique, assigned at landing, and larger in
 every later batch than anything already stored."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+TEXT, INT, LONG, FLAG, TEXTS = (
+    StringType(), IntegerType(), LongType(), BooleanType(), ArrayType(StringType()),
+)
+
+
+def shape(names: str, **types: DataType) -> StructType:
+    """Fields in order; every field is text unless given another type."""
+    return StructType([StructField(n, types.get(n, TEXT)) for n in names.split()])
 
-POSTING_FIELDS = """
-    id string, source string, sourceType string, company string, title string, location string,
-    remoteType string, employmentType string, department string, requisitionId string,
-    postingDate string, discoveredAt string, lastSeenAt string, canonicalUrl string,
-    applyUrl string, descriptionText string, descriptionHtml string, requiredYears int,
-    salaryText string, matchedProfiles array<string>, discoveredFrom array<string>,
-    discoveredUrl string, rawMetadata string
-"""
-LISTING_FIELDS = """
-    source string, searchKeyword string, title string, company string, location string,
-    salarySnippet string, resultUrl string, possibleOfficialUrl string, postingAgeOrDate string,
-    sourceJobId string, discoveredAt string, matchedProfiles array<string>
-"""
-POSTING = StructType.fromDDL(POSTING_FIELDS)
-LISTING = StructType.fromDDL(LISTING_FIELDS)
-STORED_POSTING = StructType.fromDDL(f"seq bigint, {POSTING_FIELDS}")
-STORED_LISTING = StructType.fromDDL(f"seq bigint, {LISTING_FIELDS}")
 
-RAW_PAYLOAD = StructType.fromDDL(
-    "seq bigint, site_id string, source_kind string, request_keyword string, page_no int, "
-    "url string, status int, title string, body string"
+def with_seq(schema: StructType) -> StructType:
+    return StructType([StructField("seq", LONG), *schema.fields])
+
+
+POSTING = shape(
+    "id source sourceType company title location remoteType employmentType department "
+    "requisitionId postingDate discoveredAt lastSeenAt canonicalUrl applyUrl descriptionText "
+    "descriptionHtml requiredYears salaryText matchedProfiles discoveredFrom discoveredUrl "
+    "rawMetadata",
+    requiredYears=INT, matchedProfiles=TEXTS, discoveredFrom=TEXTS,
+)
+LISTING = shape(
+    "source searchKeyword title company location salarySnippet resultUrl possibleOfficialUrl "
+    "postingAgeOrDate sourceJobId discoveredAt matchedProfiles",
+    matchedProfiles=TEXTS,
+)
+STORED_POSTING = with_seq(POSTING)
+STORED_LISTING = with_seq(LISTING)
+
+RAW_PAYLOAD = shape(
+    "seq site_id source_kind request_keyword page_no url status title body",
+    seq=LONG, page_no=INT, status=INT,
 )
-RAW_PAGE = StructType.fromDDL(
-    "seq bigint, source string, keyword string, location string, page_no int, url string, html string"
+RAW_PAGE = shape("seq source keyword location page_no url html", seq=LONG, page_no=INT)
+SITE = shape(
+    "seq id name url adapter enabled greenhouse lever workday generic",
+    seq=LONG,
+    enabled=FLAG,
+    greenhouse=shape("boardToken"),
+    lever=shape("site"),
+    workday=shape("hostname tenant site"),
+    generic=shape(
+        "searchInputSelector searchButtonSelector resultCardSelector jobLinkSelector "
+        "nextButtonSelector loadMoreSelector titleSelector locationSelector descriptionSelector "
+        "applyLinkSelector companySelector salarySelector dateSelector searchUrlTemplate"
+    ),
 )
-SITE = StructType.fromDDL(
-    "seq bigint, id string, name string, url string, adapter string, enabled boolean, "
-    "greenhouse struct<boardToken:string>, lever struct<site:string>, "
-    "workday struct<hostname:string,tenant:string,site:string>, "
-    "generic struct<searchInputSelector:string,searchButtonSelector:string,"
-    "resultCardSelector:string,jobLinkSelector:string,nextButtonSelector:string,"
-    "loadMoreSelector:string,titleSelector:string,locationSelector:string,"
-    "descriptionSelector:string,applyLinkSelector:string,companySelector:string,"
-    "salarySelector:string,dateSelector:string,searchUrlTemplate:string>"
+ROLE = shape("seq id profile keywords", seq=LONG, keywords=TEXTS)
+REGISTRY = shape(
+    "seq company fortuneRank corporateDomain careersUrl atsType atsTenantOrBoardId "
+    "verificationStatus lastVerifiedDate",
+    seq=LONG, fortuneRank=INT,
 )
-ROLE = StructType.fromDDL("seq bigint, id string, profile string, keywords array<string>")
-REGISTRY_FIELDS = """
-    company string, fortuneRank int, corporateDomain string, careersUrl string, atsType string,
-    atsTenantOrBoardId string, verificationStatus string, lastVerifiedDate string
-"""
-REGISTRY = StructType.fromDDL(f"seq bigint, {REGISTRY_FIELDS}")
-PROGRESS = StructType.fromDDL(
-    "key string, source string, keyword string, location string, lastPage int, "
-    "completed boolean, lastUpdated string"
+PROGRESS = shape(
+    "key source keyword location lastPage completed lastUpdated", lastPage=INT, completed=FLAG
 )
-SEEN_IDS = StructType.fromDDL("key string, source_job_id string, first_seq bigint")
-DETAIL = StructType.fromDDL(
-    "externalId string, title string, descriptionText string, descriptionHtml string, "
-    "location string, department string, employmentType string, requisitionId string, "
-    "postingDate string, salaryText string, canonicalUrl string, applyUrl string, rawMetadata string"
+SEEN_IDS = shape("key source_job_id first_seq", first_seq=LONG)
+DETAIL = shape(
+    "externalId title descriptionText descriptionHtml location department employmentType "
+    "requisitionId postingDate salaryText canonicalUrl applyUrl rawMetadata"
 )
 
 # The closed sets used by the records.
