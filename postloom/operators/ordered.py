@@ -102,17 +102,13 @@ def ordered_union(
     Elements are reduced to their first position before anything is gathered, so a group
     never holds more than its own result. Keys whose arrays are all empty give empty arrays.
     """
-    tagged = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(c), F.array().cast("array<string>")),
-                    lambda x, i, c=c: F.struct(F.lit(c).alias("col"), x.alias("elem"), i.alias("at")),
-                )
-                for c in array_cols
-            ]
+    def tag(name: str) -> Column:
+        items = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return F.transform(
+            items, lambda x, i: F.struct(F.lit(name).alias("col"), x.alias("elem"), i.alias("at"))
         )
-    )
+
+    tagged = F.flatten(F.array(*[tag(c) for c in array_cols]))
     rows = df.select(*keys, *order_cols, F.explode_outer(tagged).alias("e"))
     firsts = rows.groupBy(*keys, F.col("e.col").alias("col"), F.col("e.elem").alias("elem")).agg(
         F.min(F.struct(*order_cols, F.col("e.at").alias("at"))).alias("first")

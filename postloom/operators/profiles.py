@@ -36,12 +36,12 @@ def match_profiles(
         F.col("search_no").alias("seq"), F.lower("keyword").alias("needle"), "profileIds"
     ).where(F.length("needle") > 0)
     if needles.count() <= MAX_INLINE_NEEDLES:
-        hits = F.filter(
-            inline_array(needles, "needle", "profileIds"),
-            lambda s: F.col("__low").contains(s["needle"]),
-        )
+        hits = F.filter("__needles", lambda s: F.col("__low").contains(s["needle"]))
         tags = F.array_distinct(F.flatten(F.transform(hits, lambda s: s["profileIds"])))
-        return df.withColumn("__low", F.lower(text_col)).withColumn(out, F.coalesce(tags, _none())).drop("__low")
+        ready = df.withColumns(
+            {"__low": F.lower(text_col), "__needles": inline_array(needles, "needle", "profileIds")}
+        )
+        return ready.withColumn(out, F.coalesce(tags, _none())).drop("__low", "__needles")
     low = df.withColumn("__low", F.lower(text_col))
     pairs = gram_matches(low, "__low", needles, "needle").join(needles, "needle")
     tagged = ordered_union(pairs, ["text"], ["profileIds"], ["seq"]).withColumnRenamed("text", "__low")

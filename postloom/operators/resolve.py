@@ -49,14 +49,19 @@ def match_company(
     text = F.col("__host") if host_only else F.col("__low")
     if dims.count() <= inline_limit:
         hits = F.filter(
-            inline_array(dims, "domain", "careers", *REGISTRY_COLUMNS),
+            "__registry",
             lambda r: F.col("__host").contains(r["domain"])
             | text.contains(r["domain"])
             | (F.lit(False) if host_only else text.contains(r["careers"])),
         )
         first = F.try_element_at(hits, F.lit(1))
         match = F.struct(*[first[c].alias(c) for c in ["seq", *REGISTRY_COLUMNS]])
-        return keyed.withColumn("match", F.when(first.isNotNull(), match)).drop("__low", "__host")
+        ready = keyed.withColumn(
+            "__registry", inline_array(dims, "domain", "careers", *REGISTRY_COLUMNS)
+        )
+        return ready.withColumn("match", F.when(first.isNotNull(), match)).drop(
+            "__low", "__host", "__registry"
+        )
     urls = keyed.select("__low", "__host").where(F.col("__low").isNotNull()).distinct()
     needles = dims.select("seq", F.col("domain").alias("needle"))
     if not host_only:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import urljoin
+from urllib.parse import quote, urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import clean_text, falsy_or
+from postloom.functions.text import WS_CHARS, clean_text, falsy_or
 from postloom.operators.resolve import _detail_struct, page_detail
-from postloom.sources import html as page
+from postloom.sources.html import Element, first, parse, select, trimmed
 
 # Where each portal keeps the parts of a result card.
 PORTAL_SELECTORS = {
@@ -64,6 +64,9 @@ FALLBACK_SELECTORS = [
 ]
 FALLBACK_MIN_CHARS = 200
 
+# Characters a browser leaves alone when it writes out a link.
+URL_SAFE = "!#$%&'()*+,-./:;=?@[\\]^_{|}~"
+
 
 def site_card_selectors(sites: DataFrame) -> dict[str, dict[str, str]]:
     """Card selectors of the generic sites (configuration, one entry per site)."""
@@ -83,13 +86,14 @@ def site_card_selectors(sites: DataFrame) -> dict[str, dict[str, str]]:
     }
 
 
-def _href(node: page.Element | None, base: str | None) -> str:
+def _href(node: Element | None, base: str | None) -> str:
     if node is None or node.attrs.get("href") is None:
         return ""
     try:
-        return urljoin(base or "", node.attrs["href"].strip(page.WS))
+        full = urljoin(base or "", node.attrs["href"].strip(WS_CHARS))
     except ValueError:
         return ""
+    return quote(full, safe=URL_SAFE)
 
 
 def _map_pages(
@@ -123,12 +127,12 @@ def extract_cards(
         s = known.get(source)
         if s is None:
             return
-        for pos, card in enumerate(page.select(page.parse(html), s["card"])):
-            part = lambda name: page.trimmed(page.first(card, s.get(name)), "")  # noqa: B023, E731
-            note = lambda name: page.trimmed(page.first(card, s.get(name)))  # noqa: B023, E731
+        for pos, card in enumerate(select(parse(html), s["card"])):
+            part = lambda name: trimmed(first(card, s.get(name)), "")  # noqa: B023, E731
+            note = lambda name: trimmed(first(card, s.get(name)))  # noqa: B023, E731
             company = part("company") if s.get("company") else s.get("site_name", "")
             yield (
-                seq, pos, part("title"), _href(page.first(card, s.get("link")), url), company,
+                seq, pos, part("title"), _href(first(card, s.get("link")), url), company,
                 part("location"), note("salary"), note("age"), card.attrs.get("data-job-id"),
                 card.attrs.get("data-entity-urn"), card.attrs.get("id"),
             )
@@ -142,7 +146,7 @@ def extract_links(raw_pages: DataFrame, selector: str) -> DataFrame:
     """``(page_seq, pos, url)``: every non-empty link of the selector, in page order."""
 
     def read(seq, url, html):
-        links = (_href(n, url) for n in page.select(page.parse(html), selector))
+        links = (_href(n, url) for n in select(parse(html), selector))
         yield from ((seq, pos, link) for pos, link in enumerate(x for x in links if x))
 
     return _map_pages(raw_pages, ["seq", "url", "html"], read, "page_seq bigint, pos int, url string")
@@ -156,15 +160,15 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
     """
 
     def read(seq, url, html, title_at, location_at, description_at, apply_at):
-        root = page.parse(html)
-        body = page.first(root, description_at)
+        root = parse(html)
+        body = first(root, description_at)
         apply = url
-        if apply_at and (link := page.first(root, apply_at)) is not None:
+        if apply_at and (link := first(root, apply_at)) is not None:
             apply = _href(link, url)
         yield (
             seq,
-            page.trimmed(page.first(root, title_at), ""),
-            page.trimmed(page.first(root, location_at), ""),
+            trimmed(first(root, title_at), ""),
+            trimmed(first(root, location_at), ""),
             "" if body is None else body.inner_html(),
             apply,
         )
@@ -196,15 +200,15 @@ def extract_fallback(detail_pages: DataFrame) -> DataFrame:
     """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``."""
 
     def read(final_url, page_title, html):
-        root = page.parse(html)
+        root = parse(html)
         found = None
         for selector in FALLBACK_SELECTORS:
-            node = page.first(root, selector)
-            if node is not None and len(page.trimmed(node)) > FALLBACK_MIN_CHARS:
+            node = first(root, selector)
+            if node is not None and len(trimmed(node)) > FALLBACK_MIN_CHARS:
                 found = node
                 break
         if found is None:
-            found = page.first(root, "body") or root
+            found = first(root, "body") or root
         yield final_url, page_title, found.inner_html()
 
     parts = _map_pages(

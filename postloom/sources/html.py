@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
+from postloom.functions.text import WS_CHARS
+
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 # Elements whose end tag may be left out before a sibling of the same kind.
-SIBLINGS = {"li": {"li"}, "p": {"p"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-WS = "\t\n\x0b\f\r                  　﻿"
+SIBLINGS = {
+    "li": {"li"},
+    "p": {"p"},
+    "tr": {"tr"},
+    "td": {"td", "th"},
+    "th": {"td", "th"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "option": {"option"},
+}
 
 
 class Element:
@@ -59,7 +68,7 @@ class Element:
 
 
 def _escape(text: str, attribute: bool = False) -> str:
-    text = text.replace("&", "&amp;").replace(" ", "&nbsp;")
+    text = text.replace("&", "&amp;").replace("\u00a0", "&nbsp;")
     return text.replace('"', "&quot;") if attribute else text.replace("<", "&lt;").replace(">", "&gt;")
 
 
@@ -109,9 +118,13 @@ _STEP = re.compile(
 )
 
 
-@lru_cache(maxsize=1024)
+_compiled: dict[str, list] = {}
+
+
 def _compile(selector: str):
     """Comma list of descendant chains of compounds, each compound a list of tests."""
+    if selector in _compiled:
+        return _compiled[selector]
     lists = []
     for chain in re.split(r",(?![^\[(]*[\])])", selector):
         compounds = []
@@ -125,6 +138,7 @@ def _compile(selector: str):
                 at = found.end()
             compounds.append(tests)
         lists.append(compounds)
+    _compiled[selector] = lists
     return lists
 
 
@@ -176,4 +190,4 @@ def first(root: Element, selector: str | None) -> Element | None:
 
 
 def trimmed(node: Element | None, default=None):
-    return default if node is None else node.text().strip(WS)
+    return default if node is None else node.text().strip(WS_CHARS)

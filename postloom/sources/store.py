@@ -95,16 +95,14 @@ def _read_json_lines(
     if not path_exists(spark, path):
         return spark.createDataFrame([], stored), spark.createDataFrame([], bad_schema)
     wide = StructType([StructField("seq", LongType()), *schema.fields, StructField("_corrupt", StringType())])
-    lines = (
-        spark.read.schema(wide)
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = with_arrival_seq(lines, start).withColumn(
+        "r", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt"})
     )
-    good = lines.where(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = lines.where(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("line"))
-    numbered = with_arrival_seq(good.withColumnRenamed("seq", "__own"), start)
-    numbered = numbered.withColumn("seq", F.coalesce("__own", "seq")).drop("__own")
-    return numbered.select("seq", *schema.fieldNames()), bad
+    readable = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    good = parsed.where(readable).withColumn("seq", F.coalesce("r.seq", "seq"))
+    good = good.select("seq", *[f"r.{name}" for name in schema.fieldNames()])
+    return good, parsed.where(~readable).select(F.col("value").alias("line"))
 
 
 def read_postings(spark: SparkSession, path: str, start: int = 0) -> tuple[DataFrame, DataFrame]:
