@@ -128,11 +128,11 @@ POSTINGS = f"""docs as (select case when doc_id % 2 = 1 then doc_id + {BATCH_AT}
     case when n_chars % 5 = 0 then cast(n_chars // 5 as varchar) else '' end as req,
     case when doc_id % 3 = 0 then cast(doc_id // 2 as varchar) else 'u' || doc_id end as page,
     case when doc_id % 2 = 1 then [source] else ['seed', source] end as origin from documents),
-  keyed as (select *, 'https://jobs.example.com/' || page as k1, case when req <> '' then source || '::' || req end as k2,
+  keyed as materialized (select *, 'https://jobs.example.com/' || page as k1, case when req <> '' then source || '::' || req end as k2,
     case when lang <> 'de' then {sql_norm('source')} || '::' || {sql_norm('title')} || '::' || {sql_norm('lang')} end as k3,
     case when length(trim(text)) >= 10 then {sql_fingerprint('text')} end as k4 from docs)"""
 
-LINKED = POSTINGS + """, linked as (select *,
+LINKED = POSTINGS + """, linked as materialized (select *,
     lag(seq) over (partition by k1 order by seq) as p1,
     case when k2 is not null then lag(seq) over (partition by k2 order by seq) end as p2,
     case when k3 is not null then lag(seq) over (partition by k3 order by seq) end as p3,
@@ -140,7 +140,7 @@ LINKED = POSTINGS + """, linked as (select *,
 
 
 @query(f"""with recursive {LINKED},
-  queue as (select row_number() over (order by seq) as i, seq, p1, p2, p3, p4 from linked where not is_store),
+  queue as materialized (select row_number() over (order by seq) as i, seq, p1, p2, p3, p4 from linked where not is_store),
   fold(i, seq, pick, taken) as (
     select cast(0 as bigint), cast(-1 as bigint), cast(null as bigint), cast([] as bigint[])
     union all
@@ -150,7 +150,7 @@ LINKED = POSTINGS + """, linked as (select *,
         when p3 is not null and not list_contains(f.taken, p3) then p3
         when p4 is not null and not list_contains(f.taken, p4) then p4 end as pick
       from fold f join queue q on q.i = f.i + 1)),
-  picks as (select seq, pick from fold where pick is not null),
+  picks as materialized (select seq, pick from fold where pick is not null),
   walk(seq, ord) as (select seq, pick from picks union all select w.seq, p.pick from walk w join picks p on p.seq = w.ord),
   slots as (select seq, min(ord) as slot from walk group by 1),
   members as (select k.*, coalesce(s.slot, k.seq) as slot from keyed k left join slots s using (seq)),

@@ -289,8 +289,8 @@ def page_cards(spark, sf_dir):
       page_id % 3 as state from pages p left join hits using (page_id) left join registry r on r.seq = hits.seq)
     select page_id as seq, 'company-careers::' || lower(company) as source, 'company-careers' as "sourceType", company,
       case when state = 0 and ats <> 'generic' then 'Found ' || page_id else 'Listed ' || page_id end as title,
-      case when ats = 'greenhouse' and state <> 0 then url when ats = 'greenhouse' then url
-        when ats = 'lever' then url when ats = 'workday' and state = 0 then regexp_extract(url, '([^/]*)$', 1) else 'j' || page_id end as "requisitionId",
+      case when ats in ('greenhouse', 'lever') then url when ats = 'workday' and state = 0
+          then coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'j' || page_id) else 'j' || page_id end as "requisitionId",
       case when state = 0 and ats <> 'generic' then 'Text ' || page_id when ats = 'greenhouse' then ''
         else 'Job posting found on indeed. Full description not extracted.' end as "descriptionText", 'indeed' as origins
     from known where not (ats = 'lever' and state <> 0)""")

@@ -149,13 +149,13 @@ CUSTOMERS = """registry as (select c_custkey as seq,
 
 @query(f"""with {CUSTOMERS}
     select seq, 'company' as field, 'Expected string, received null' as message from registry where company is null
-    union all select seq, 'company', 'String must contain ord least 1 character(s)' from registry where company = ''
+    union all select seq, 'company', 'String must contain at least 1 character(s)' from registry where company = ''
     union all select seq, 'fortuneRank', 'Number must be greater than 0' from registry where rank <= 0
-    union all select seq, 'corporateDomain', 'String must contain ord least 1 character(s)' from registry where domain = ''
+    union all select seq, 'corporateDomain', 'String must contain at least 1 character(s)' from registry where domain = ''
     union all select seq, 'careersUrl', 'Invalid url' from registry where careers not like 'https://%'
     union all select seq, 'atsType', 'Invalid enum value. Expected ''greenhouse'' | ''lever'' | ''workday'' | ''generic'', received '''
       || ats || '''' from registry where ats = 'taleo'
-    union all select seq, 'atsTenantOrBoardId', 'String must contain ord least 1 character(s)' from registry where tenant = ''
+    union all select seq, 'atsTenantOrBoardId', 'String must contain at least 1 character(s)' from registry where tenant = ''
     union all select seq, 'verificationStatus', 'Invalid enum value. Expected ''verified'' | ''unverified'' | ''blocked'', received '''
       || status || '''' from registry where status = 'unknown'""")
 def registry_violations(spark, sf_dir):
