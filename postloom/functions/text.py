@@ -12,7 +12,10 @@ WS_CHARS = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# The first half of the class turns ordinary characters away with a single range test.
+WS = (
+    r"[[^!-~]&&[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
+)
 
 # Titles too common to identify a posting.
 GENERIC_TITLES = [

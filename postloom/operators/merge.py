@@ -39,11 +39,16 @@ from postloom.operators.ordered import (
 from postloom.session import cut
 
 TIERS = ["k1", "k2", "k3", "k4"]
+KEY = "__key"
+
+
+def _short(digest: Column) -> Column:
+    """The first 128 bits of a hex digest: short to shuffle, too long to collide by chance."""
+    return F.unhex(F.substring(digest, 1, 32))
 
 
 def _digest(text: Column) -> Column:
-    """128 bits of SHA-256: short enough to shuffle, too long to collide by chance."""
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    return _short(F.sha2(text, 256))
 
 
 def tier_keys(df: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def tier_keys(df: DataFrame) -> DataFrame:
         _digest(F.col("__url")).alias("k1"),
         _digest(requisition).alias("k2"),
         _digest(identity).alias("k3"),
-        _digest(text).alias("k4"),
+        _short(text).alias("k4"),
     )
 
 
@@ -386,26 +391,26 @@ def link_components(keys: DataFrame, blocks: int | None = None) -> DataFrame:
 def _dedup(df: DataFrame, key: Column) -> DataFrame:
     """One row per key: ``id`` and ``seq`` of the first row, every other field of the last.
 
-    Rows whose key is null pass through. Both aggregates are reduced before the shuffle.
+    A row whose key is null forms a group of its own, so the table is read and keyed once.
+    Aggregates are reduced before the shuffle, so a hot key costs one row per task.
     """
-    keyed = df.withColumn("__key", key)
-    fields = [c for c in df.columns if c not in ("id", "seq")]
-    folded = (
-        keyed.where(F.col("__key").isNotNull())
-        .groupBy("__key")
+    fields = [c for c in df.columns if c not in ("id", "seq", KEY)]
+    group = F.coalesce(_digest(key), F.encode(F.col("seq").cast("string"), "utf-8"))
+    return (
+        df.withColumn("__group", group)
+        .groupBy("__group")
         .agg(
             F.min_by("id", "seq").alias("id"),
             F.min("seq").alias("first_seq"),
             F.max_by(F.struct(*fields), "seq").alias("last"),
         )
         .select(F.col("first_seq").alias("seq"), "id", "last.*")
+        .select(*[c for c in df.columns if c != KEY])
     )
-    loose = keyed.where(F.col("__key").isNull()).drop("__key")
-    return folded.select(*df.columns).unionByName(loose)
 
 
 def dedup_by_url(df: DataFrame, url_col: str = "canonicalUrl") -> DataFrame:
-    return _dedup(with_canonical_url(df, url_col, "__url"), F.col("__url")).drop("__url")
+    return _dedup(with_canonical_url(df, url_col, KEY), F.col(KEY))
 
 
 def dedup_by_requisition(df: DataFrame) -> DataFrame:

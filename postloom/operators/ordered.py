@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from postloom.session import cut
 
 ROWS_PER_BLOCK = 2_000_000
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise as it is, so that
+    Spark shuffles it and splits skewed partitions."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def block_count(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.merge import merge_with_keys
+from postloom.operators.ordered import small
 from postloom.operators.profiles import match_profiles, profile_totals, role_searches
 from postloom.operators.summary import run_summary, site_errors
 from postloom.schemas import MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE
@@ -57,56 +58,57 @@ def collect(
     wanted = sites.where("enabled")
     if site_ids is not None:
         wanted = wanted.where(F.col("id").isin(site_ids))
-    searches = role_searches(roles, profiles)
-    ident = site_identity(wanted)
-    names = ident.select(F.col("id").alias("site_id"), "ident", "config_error")
-    mine = payloads.join(F.broadcast(names.where("config_error is null")), "site_id")
-    triage = triage_payloads(mine)
-    errors = site_errors(wanted, triage)
-    errors = cut(_without_generic_silence(errors, wanted), "site-errors")
-    ok = triage.where(F.col("verdict") == "ok").join(
-        F.broadcast(errors.where("list_failed").select("site_id")), "site_id", "left_anti"
+    wanted = cut(wanted, "sites")
+    searches = cut(role_searches(roles, profiles), "searches")
+    names = site_identity(wanted).where("config_error is null")
+    mine = payloads.join(small(names.select(F.col("id").alias("site_id"), "ident")), "site_id")
+    # Verdicts are kept without the bodies; the few bad payloads are then left out by number.
+    verdicts = cut(
+        triage_payloads(mine).select("site_id", "seq", "source_kind", "request_keyword", "verdict", "error"),
+        "verdicts",
     )
+    errors = cut(_without_generic_silence(site_errors(wanted, verdicts), wanted), "site-errors")
+    bad = verdicts.where(F.col("verdict") != "ok")
+    stopped = errors.where("list_failed").select("site_id")
+    ok = mine.join(bad.select("seq"), "seq", "left_anti").join(small(stopped), "site_id", "left_anti")
 
     parts = []
-    listed = []
     for kind, how in BOARD_KINDS.items():
         jobs = match_profiles(how.jobs(ok.where(F.col("source_kind") == kind)), "title", searches)
         jobs = cap_per_source(jobs, max_jobs)
-        listed.append(jobs.select("site_id", "seq"))
         parts.append(how.details(jobs).select("site_id", "seq", "matchedProfiles", "detail"))
-    found = cap_per_source(
-        workday_jobs(ok.where(F.col("source_kind") == "workday"), wanted, searches, max_pages, max_jobs),
-        max_jobs,
+    found = cut(
+        cap_per_source(
+            workday_jobs(ok.where(F.col("source_kind") == "workday"), wanted, searches, max_pages, max_jobs),
+            max_jobs,
+        ),
+        "workday-jobs",
     )
-    listed.append(found.select("site_id", "seq"))
     # A detail response names its job in request_keyword. The first bad one ends its site.
-    answers = triage.where(F.col("source_kind") == "workday_detail").select(
-        "site_id", F.col("request_keyword").alias("externalId"), "body", "verdict"
-    )
-    asked = found.join(answers, ["site_id", "externalId"], "left")
-    broken = asked.where(F.coalesce(F.col("verdict") != "ok", F.lit(False)))
-    stop = broken.groupBy("site_id").agg(F.min("seq").alias("stop_seq"))
+    detail = F.col("source_kind") == "workday_detail"
+    broken = bad.where(detail).select("site_id", F.col("request_keyword").alias("externalId"))
+    stop = found.join(broken, ["site_id", "externalId"]).groupBy("site_id").agg(F.min("seq").alias("stop_seq"))
+    answers = ok.where(detail).select("site_id", F.col("request_keyword").alias("externalId"), "body")
     kept = (
-        asked.join(stop, "site_id", "left")
+        found.join(small(stop), "site_id", "left")
         .where(F.col("stop_seq").isNull() | (F.col("seq") < F.col("stop_seq")))
-        .drop("stop_seq", "verdict")
+        .drop("stop_seq")
+        .join(answers, ["site_id", "externalId"], "left")
     )
     parts.append(workday_details(kept).select("site_id", "seq", "matchedProfiles", "detail"))
     if generic_jobs is not None:
-        rows = generic_jobs.join(F.broadcast(wanted.select(F.col("id").alias("site_id"))), "site_id")
-        listed.append(rows.select("site_id", "seq"))
+        ids = wanted.select(F.col("id").alias("site_id"))
+        rows = generic_jobs.join(small(ids), "site_id")
         parts.append(rows.select("site_id", "seq", "matchedProfiles", "detail"))
 
-    details = _stack(parts)
-    extracted = cut(normalise_postings(details, wanted, now), "batch")
-    batch = take_first(extracted, limit)
-    if limit is not None:
-        batch = cut(batch, "batch")
-    after, keys = merge_with_keys(store, batch, now, store_keys=store_keys)
-    after = cut(after, "merged")
+    extracted = cut(normalise_postings(_stack(parts), wanted, now), "batch")
+    batch = extracted if limit is None else cut(take_first(extracted, limit), "batch")
+    merged, keys = merge_with_keys(store, batch, now, store_keys=store_keys)
+    after = cut(merged, "merged")
     before = batch.limit(0) if store is None else store
-    summary = run_summary(wanted, errors, triage, _stack(listed), extracted, before, batch, after)
+    # Every listing of the other kinds has become a posting; Workday sites may have stopped early.
+    listed = extracted.where(F.col("sourceType") != "workday").select("seq").unionByName(found.select("seq"))
+    summary = run_summary(wanted, errors, verdicts, listed, extracted, before, batch, after)
     return RunResult(after, keys, batch, summary, profile_totals(batch), errors)
 
 
@@ -121,6 +123,6 @@ def _without_generic_silence(errors: DataFrame, sites: DataFrame) -> DataFrame:
     """Generic sites are captured as pages, so having no payload is no failure for them."""
     generic = sites.where(F.col("adapter") == "generic").select(F.col("id").alias("site_id"))
     silent = F.col("message").startswith("No response captured")
-    return errors.join(F.broadcast(generic.withColumn("__generic", F.lit(True))), "site_id", "left").where(
+    return errors.join(small(generic.withColumn("__generic", F.lit(True))), "site_id", "left").where(
         ~(F.coalesce("__generic", F.lit(False)) & silent)
     ).drop("__generic")

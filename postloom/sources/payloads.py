@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import challenge_reason, clean_text, required_years
 from postloom.functions.urls import board_token, job_id, lever_slug, with_canonical_url
-from postloom.operators.ordered import first_n_in_key, ordered_union
+from postloom.operators.ordered import first_n_in_key, ordered_union, small
 from postloom.schemas import MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE, POSTING
 
 # A payload's rows are numbered ``payload seq * ROWS_PER_PAYLOAD + position``.
@@ -242,7 +242,7 @@ def workday_jobs(
         "site_id", "seq", "page_no", F.coalesce("request_keyword", F.lit("")).alias("keyword"),
         F.from_json("body", WORKDAY_PAGE).alias("p"),
     )
-    tagged = parsed.join(F.broadcast(searches), "keyword", "left").select(
+    tagged = parsed.join(small(searches), "keyword", "left").select(
         "site_id", "seq", "page_no",
         F.coalesce("search_no", F.lit(-1)).alias("search_no"),
         F.coalesce("profileIds", F.array().cast("array<string>")).alias("matchedProfiles"),
@@ -265,7 +265,7 @@ def workday_jobs(
     url = F.format_string(
         "https://%s/%s/job/%s", F.col("workday.hostname"), F.col("workday.site"), F.col("externalId")
     )
-    return jobs.join(F.broadcast(where), "site_id").withColumn("url", url).drop("workday")
+    return jobs.join(small(where), "site_id").withColumn("url", url).drop("workday")
 
 
 def greenhouse_details(jobs: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def workday_details(jobs: DataFrame) -> DataFrame:
 
 def normalise_postings(details: DataFrame, sites: DataFrame, now: str) -> DataFrame:
     """Details of one site each to postings. Rows carry ``site_id``, ``seq``, ``detail``, tags."""
-    who = F.broadcast(
+    who = small(
         sites.select(
             F.col("id").alias("site_id"), F.col("name").alias("company"), F.col("adapter").alias("sourceType")
         )
