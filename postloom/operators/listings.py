@@ -191,6 +191,8 @@ def stall_stop(
     if max_pages is not None:
         pages, cards = cap_pages(pages, max_pages), cap_pages(cards, max_pages)
     counted = _with_new_ids(pages, new_ids_per_page(cards, seen, keys, id_col), keys)
+    if blocks is None and max_pages is not None:
+        blocks = 1  # the page cap bounds every key
     lagged = lag_in_key(counted, keys, "page_no", "n_cards", "before", blocks)
     stalled = (F.col("n_cards") == 0) | F.coalesce(F.col("n_cards") == F.col("before"), F.lit(False))
     return _last_page(lagged, keys, stalled, F.col("new_ids") == 0)

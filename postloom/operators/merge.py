@@ -31,15 +31,21 @@ from postloom.functions.text import (
 )
 from postloom.functions.urls import with_canonical_url
 from postloom.operators.ordered import (
+    ROWS_PER_BLOCK,
     block_count,
     lag_in_key,
     lookup_join,
     ordered_union,
+    small,
 )
 from postloom.session import cut
 
 TIERS = ["k1", "k2", "k3", "k4"]
 KEY = "__key"
+# A batch with at most this many keys (about 30 bytes each) is broadcast to the store.
+BROADCAST_LINKS = 2_000_000
+# Likewise for the rows that take part in a replacement (some hundred bytes each).
+BROADCAST_FATES = 500_000
 
 
 def _short(digest: Column) -> Column:
@@ -89,12 +95,18 @@ def _candidates(
 ) -> DataFrame:
     """``(seq, prev)`` for batch rows: the distinct previous holders, in tier order."""
     links = tier_links(batch_keys)
+    rows = links.count()
     if blocks is None:
-        blocks = block_count(links)
+        blocks = max(1, math.ceil(rows / ROWS_PER_BLOCK))
     lagged = lag_in_key(links, ["tier", "key"], "seq", "seq", "prev", blocks)
     if store_keys is not None:
         # Only the last stored row of a key can hold it; only the first batch row asks for it.
-        last_stored = tier_links(store_keys).groupBy("tier", "key").agg(F.max("seq").alias("stored"))
+        stored = tier_links(store_keys)
+        if rows <= BROADCAST_LINKS:
+            # A small batch: keep the stored keys it mentions before anything is shuffled.
+            asked = links.select("tier", "key").distinct()
+            stored = stored.join(F.broadcast(asked), ["tier", "key"], "left_semi")
+        last_stored = stored.groupBy("tier", "key").agg(F.max("seq").alias("stored"))
         heads = lagged.where(F.col("prev").isNull()).drop("prev")
         from_store = heads.join(last_stored, ["tier", "key"]).select(
             "seq", "tier", F.col("stored").alias("prev")
@@ -255,7 +267,7 @@ def merge_slots(rows: DataFrame, slots: DataFrame, now: str) -> DataFrame:
     origin = F.coalesce(F.col("discoveredFrom"), F.array("source"))
     thin = rows.select(
         "seq", "id", "discoveredAt", "is_store", origin.alias("discoveredFrom"), "matchedProfiles"
-    ).join(members, "seq")
+    ).join(small(members, BROADCAST_LINKS), "seq")
     facts = thin.groupBy("slot").agg(
         F.min_by(F.struct("id", "discoveredAt", "is_store"), "seq").alias("first"),
         F.max("seq").alias("last_seq"),
@@ -279,7 +291,7 @@ def merge_slots(rows: DataFrame, slots: DataFrame, now: str) -> DataFrame:
         )
     )
     fate = cut(fate, "fate")
-    joined = rows.join(fate, "seq", "left").where(F.col("fate").isNull() | F.col("fate.kept"))
+    joined = rows.join(small(fate, BROADCAST_FATES), "seq", "left").where(F.col("fate").isNull() | F.col("fate.kept"))
     fresh = ~F.col("is_store")
     merged = F.col("fate").isNotNull()
     changed = {
@@ -344,7 +356,7 @@ def _merged_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
     members = slots.unionByName(slots.select(F.col("slot").alias("seq"), "slot").distinct())
     last = slots.groupBy("slot").agg(F.max("seq").alias("last_seq"))
     fate = members.join(last, "slot").select("seq", "slot", "last_seq")
-    joined = keys.join(fate, "seq", "left")
+    joined = keys.join(small(fate, BROADCAST_LINKS), "seq", "left")
     return joined.where(F.col("slot").isNull() | (F.col("seq") == F.col("last_seq"))).select(
         F.coalesce("slot", "seq").alias("seq"), *TIERS
     )

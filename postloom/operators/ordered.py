@@ -44,7 +44,9 @@ def lag_in_key(
     df: DataFrame, keys: list[str], order_col: str, value_col: str, out: str, blocks: int | None = None
 ) -> DataFrame:
     """``lag(value) over (partition by keys order by order_col)`` for a unique ``order_col``."""
-    blocks = block_count(df) if blocks is None else blocks
+    if blocks is None:
+        df = cut(df, "order")
+        blocks = block_count(df)
     if blocks <= 1:
         whole = Window.partitionBy(*keys).orderBy(order_col)
         return df.withColumn(out, F.lag(value_col).over(whole))
@@ -67,38 +69,33 @@ def lag_in_key(
 def first_n_in_key(
     df: DataFrame, keys: list[str], order_col: str, n: int, blocks: int | None = None
 ) -> DataFrame:
-    """Rows ranked 1..n per key by a unique ``order_col``."""
+    """Rows ranked 1..n per key by a unique ``order_col``.
+
+    On a large table the position of the n-th row is found from the key and order columns
+    alone; the wide rows are then only compared with it.
+    """
     if n < 1:
         raise ValueError("n must be a positive integer")
-    blocks = block_count(df) if blocks is None else blocks
+    thin = df.select(*keys, order_col)
+    if blocks is None:
+        thin = cut(thin, "order")
+        blocks = block_count(thin)
     if blocks <= 1:
         whole = Window.partitionBy(*keys).orderBy(order_col)
         ranked = df.withColumn("__rank", F.row_number().over(whole))
         return ranked.where(F.col("__rank") <= n).drop("__rank")
-    blocked = with_blocks(df, order_col, blocks)
+    blocked = with_blocks(thin, order_col, blocks)
     sizes = blocked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-        .where(F.col("__before") < n)
-        .drop("__size")
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).where(
+        F.col("__before") < n
     )
     local = Window.partitionBy(*keys, "__block").orderBy(order_col)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__block"]]
-    joined = blocked.alias("l").join(starts.alias("r"), same).select("l.*", "r.__before")
-    ranked = joined.withColumn("__rank", F.row_number().over(local) + F.col("__before"))
-    return ranked.where(F.col("__rank") <= n).drop("__rank", "__before", "__block")
-
-
-def running_total(
-    df: DataFrame, keys: list[str], order_col: str, value: Column, out: str
-) -> DataFrame:
-    """Running sum per key. Meant for page-level frames, whose size per key is bounded by
-    the page cap."""
-    upto = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    ranked = blocked.join(starts, [*keys, "__block"]).withColumn(
+        "__rank", F.row_number().over(local) + F.col("__before")
     )
-    return df.withColumn(out, F.sum(value).over(upto))
+    last = ranked.where(F.col("__rank") <= n).groupBy(*keys).agg(F.max(order_col).alias("__last"))
+    return df.join(small(last), keys).where(F.col(order_col) <= F.col("__last")).drop("__last")
 
 
 def ordered_union(

@@ -80,7 +80,7 @@ def with_final_ats(df: DataFrame, url_col: str = "final_url") -> DataFrame:
     return df.withColumn("ats", falsy_or(F.col("match.atsType"), ats_kind(F.col(url_col))))
 
 
-def _detail_struct(**values: Column) -> Column:
+def detail_struct(**values: Column) -> Column:
     return F.struct(
         *[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in DETAIL.fields]
     )
@@ -88,7 +88,7 @@ def _detail_struct(**values: Column) -> Column:
 
 def page_detail(url: Column, title: Column, html: Column, text: Column) -> Column:
     """Detail of a page read without selectors."""
-    return _detail_struct(
+    return detail_struct(
         externalId=url,
         title=falsy_or(title, F.lit("Job Posting")),
         descriptionText=text,
@@ -102,7 +102,7 @@ def page_detail(url: Column, title: Column, html: Column, text: Column) -> Colum
 
 def stub_detail() -> Column:
     """What is known from the listing alone."""
-    return _detail_struct(
+    return detail_struct(
         externalId=falsy_or(F.col("sourceJobId"), F.col("final_url")),
         title=F.col("title"),
         descriptionText=F.concat(
@@ -150,7 +150,7 @@ def attach_details(
     joined = lookup_join(listings, found, "final_url")
     api = F.when(F.col("__kind") == F.col("ats"), F.col("__ats"))
     url = F.col("final_url")
-    empty_greenhouse = _detail_struct(
+    empty_greenhouse = detail_struct(
         externalId=url, descriptionText=F.lit(""), requisitionId=url, canonicalUrl=url, applyUrl=url,
         rawMetadata=F.lit("{}"),
     )

@@ -74,16 +74,12 @@ def collect(
 
     parts = []
     for kind, how in BOARD_KINDS.items():
-        jobs = match_profiles(how.jobs(ok.where(F.col("source_kind") == kind)), "title", searches)
-        jobs = cap_per_source(jobs, max_jobs)
+        jobs = how.jobs(ok.where(F.col("source_kind") == kind), max_jobs)
+        jobs = match_profiles(jobs, "title", searches)
         parts.append(how.details(jobs).select("site_id", "seq", "matchedProfiles", "detail"))
-    found = cut(
-        cap_per_source(
-            workday_jobs(ok.where(F.col("source_kind") == "workday"), wanted, searches, max_pages, max_jobs),
-            max_jobs,
-        ),
-        "workday-jobs",
-    )
+    searched = ok.where(F.col("source_kind") == "workday")
+    paths = cut(workday_jobs(searched, wanted, searches, max_pages, max_jobs), "workday-jobs")
+    found = cap_per_source(paths, max_jobs)
     # A detail response names its job in request_keyword. The first bad one ends its site.
     detail = F.col("source_kind") == "workday_detail"
     broken = bad.where(detail).select("site_id", F.col("request_keyword").alias("externalId"))

@@ -17,6 +17,7 @@ from postloom.operators.listings import (
     up_to_last_page,
 )
 from postloom.operators.merge import merge_with_keys
+from postloom.operators.ordered import small
 from postloom.operators.profiles import profile_totals, tag_listings
 from postloom.operators.progress import progress_rollup, seen_rollup
 from postloom.operators.resolve import (
@@ -58,13 +59,14 @@ def read_result_pages(
     keyed = raw_pages.withColumn(
         "key", progress_key(F.col("source"), F.col("keyword"), F.col("location"))
     )
-    items = frontier.select("key", "start_page", F.col("profile").alias("role_profile"))
-    keyed = keyed.join(items, "key").where(F.col("page_no") >= F.col("start_page"))
-    cards = extract_cards(keyed, selectors).withColumnRenamed("page_seq", "__page")
-    cards = cards.join(
-        keyed.select(F.col("seq").alias("__page"), "key", "role_profile"), "__page"
-    ).withColumn("seq", position_seq(F.col("__page"), F.col("pos")))
-    cards = cut(cards.drop("__page"), "cards")
+    # Roles may share a keyword; its pages belong to the first of them.
+    items = frontier.groupBy("key").agg(
+        F.min("start_page").alias("start_page"),
+        F.min_by("profile", F.struct("role_seq", "pos")).alias("role_profile"),
+    )
+    keyed = keyed.join(small(items), "key").where(F.col("page_no") >= F.col("start_page"))
+    cards = extract_cards(keyed, selectors).withColumn("seq", position_seq(F.col("page_seq"), F.col("pos")))
+    cards = cut(cards.drop("page_seq"), "cards")
     counts = cards.groupBy("key", "page_no").agg(F.count(F.lit(1)).alias("n_cards"))
     pages = keyed.select("key", "source", "keyword", "location", "page_no", "start_page").join(
         counts, ["key", "page_no"], "left"

@@ -8,9 +8,11 @@ from urllib.parse import quote, urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postloom.functions.text import WS_CHARS, clean_text, falsy_or
-from postloom.operators.resolve import _detail_struct, page_detail
+from postloom.operators.resolve import detail_struct, page_detail
+from postloom.schemas import INT, shape
 from postloom.sources.html import Element, first, parse, select, trimmed
 
 # Where each portal keeps the parts of a result card.
@@ -97,33 +99,42 @@ def _href(node: Element | None, base: str | None) -> str:
 
 
 def _map_pages(
-    pages: DataFrame, columns: list[str], read: Callable[..., Iterator[tuple]], schema: str
+    pages: DataFrame, columns: list[str], read: Callable[..., Iterator[tuple]], added: str, keep: list[str]
 ) -> DataFrame:
-    """Run ``read(*values)`` on each page and collect the tuples it yields."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    """Run ``read(*values)`` on each page and add its tuples to the page's ``keep`` columns."""
+    new = shape(added, pos=INT)
+    names = new.fieldNames()
+    schema = StructType([*[pages.schema[c] for c in keep], *new.fields])
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [row for values in zip(*(pdf[c] for c in columns)) for row in read(*values)]
-            yield pd.DataFrame(rows, columns=names)
+            origin, rows = [], []
+            for i, values in enumerate(zip(*(pdf[c] for c in columns))):
+                for row in read(*values):
+                    origin.append(i)
+                    rows.append(row)
+            kept = pdf[keep].iloc[origin].reset_index(drop=True)
+            yield pd.concat([kept, pd.DataFrame(rows, columns=names)], axis=1)
 
-    return pages.select(*columns).mapInPandas(job, schema)
+    wanted = list(dict.fromkeys([*keep, *columns]))
+    return pages.select(*wanted).mapInPandas(job, schema)
 
 
-CARD_SCHEMA = (
-    "page_seq bigint, pos int, title string, href string, company string, "
-    "location_text string, salary string, age string, data_job_id string, entity_urn string, "
-    "element_id string"
+CARD_FIELDS = (
+    "pos title href company location_text salary age data_job_id entity_urn element_id"
 )
 
 
 def extract_cards(
     raw_pages: DataFrame, selectors: dict[str, dict[str, str]] | None = None
 ) -> DataFrame:
-    """One row per result card, with the page's ``source, keyword, location, page_no``."""
+    """One row per result card, with every column of its page but the address and markup.
+
+    ``seq`` of the page comes out as ``page_seq``.
+    """
     known = {**PORTAL_SELECTORS, **(selectors or {})}
 
-    def read(seq, source, url, html):
+    def read(source, url, html):
         s = known.get(source)
         if s is None:
             return
@@ -132,24 +143,25 @@ def extract_cards(
             note = lambda name: trimmed(first(card, s.get(name)))  # noqa: B023, E731
             company = part("company") if s.get("company") else s.get("site_name", "")
             yield (
-                seq, pos, part("title"), _href(first(card, s.get("link")), url), company,
+                pos, part("title"), _href(first(card, s.get("link")), url), company,
                 part("location"), note("salary"), note("age"), card.attrs.get("data-job-id"),
                 card.attrs.get("data-entity-urn"), card.attrs.get("id"),
             )
 
-    cards = _map_pages(raw_pages, ["seq", "source", "url", "html"], read, CARD_SCHEMA)
-    where = raw_pages.select(F.col("seq").alias("page_seq"), "source", "keyword", "location", "page_no")
-    return where.join(cards, "page_seq")
+    keep = [c for c in raw_pages.columns if c not in ("url", "html")]
+    cards = _map_pages(raw_pages, ["source", "url", "html"], read, CARD_FIELDS, keep)
+    return cards.withColumnRenamed("seq", "page_seq")
 
 
 def extract_links(raw_pages: DataFrame, selector: str) -> DataFrame:
     """``(page_seq, pos, url)``: every non-empty link of the selector, in page order."""
 
-    def read(seq, url, html):
+    def read(url, html):
         links = (_href(n, url) for n in select(parse(html), selector))
-        yield from ((seq, pos, link) for pos, link in enumerate(x for x in links if x))
+        yield from enumerate(x for x in links if x)
 
-    return _map_pages(raw_pages, ["seq", "url", "html"], read, "page_seq bigint, pos int, url string")
+    pages = raw_pages.select(F.col("seq").alias("page_seq"), F.col("url").alias("page_url"), "html")
+    return _map_pages(pages, ["page_url", "html"], read, "pos url", ["page_seq"])
 
 
 def extract_details(detail_pages: DataFrame) -> DataFrame:
@@ -159,14 +171,13 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
     locationSelector, descriptionSelector, applyLinkSelector``.
     """
 
-    def read(seq, url, html, title_at, location_at, description_at, apply_at):
+    def read(url, html, title_at, location_at, description_at, apply_at):
         root = parse(html)
         body = first(root, description_at)
         apply = url
         if apply_at and (link := first(root, apply_at)) is not None:
             apply = _href(link, url)
         yield (
-            seq,
             trimmed(first(root, title_at), ""),
             trimmed(first(root, location_at), ""),
             "" if body is None else body.inner_html(),
@@ -175,13 +186,13 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
 
     parts = _map_pages(
         detail_pages,
-        ["seq", "url", "html", "titleSelector", "locationSelector", "descriptionSelector", "applyLinkSelector"],
+        ["url", "html", "titleSelector", "locationSelector", "descriptionSelector", "applyLinkSelector"],
         read,
-        "seq bigint, found_title string, found_location string, found_html string, found_apply string",
+        "found_title found_location found_html found_apply",
+        [c for c in detail_pages.columns if c != "html"],
     )
-    rest = detail_pages.drop("html")
     html = F.col("found_html")
-    detail = _detail_struct(
+    detail = detail_struct(
         externalId=F.col("url"),
         title=falsy_or(F.col("found_title"), F.col("listing_title")),
         descriptionText=clean_text(html),
@@ -191,7 +202,7 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
         applyUrl=F.col("found_apply"),
         rawMetadata=F.lit("{}"),
     )
-    return rest.join(parts, "seq").withColumn("detail", detail).drop(
+    return parts.withColumn("detail", detail).drop(
         "found_title", "found_location", "found_html", "found_apply"
     )
 
@@ -199,7 +210,7 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
 def extract_fallback(detail_pages: DataFrame) -> DataFrame:
     """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``."""
 
-    def read(final_url, page_title, html):
+    def read(html):
         root = parse(html)
         found = None
         for selector in FALLBACK_SELECTORS:
@@ -209,17 +220,12 @@ def extract_fallback(detail_pages: DataFrame) -> DataFrame:
                 break
         if found is None:
             found = first(root, "body") or root
-        yield final_url, page_title, found.inner_html()
+        yield (found.inner_html(),)
 
-    parts = _map_pages(
-        detail_pages,
-        ["final_url", "page_title", "html"],
-        read,
-        "final_url string, page_title string, html string",
-    )
+    parts = _map_pages(detail_pages, ["html"], read, "found_html", ["final_url", "page_title"])
     return parts.select(
         "final_url",
         page_detail(
-            F.col("final_url"), F.col("page_title"), F.col("html"), clean_text(F.col("html"))
+            F.col("final_url"), F.col("page_title"), F.col("found_html"), clean_text(F.col("found_html"))
         ).alias("detail"),
     )

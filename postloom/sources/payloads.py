@@ -140,10 +140,14 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
     return marked.withColumn("verdict", verdict).withColumn("error", error).drop("__reason", "__json")
 
 
-def greenhouse_jobs(payloads: DataFrame) -> DataFrame:
-    """Board payload to one row per job; the raw element is kept as JSON text."""
+def greenhouse_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) -> DataFrame:
+    """Board payload to one row per job; the raw element is kept as JSON text.
+
+    A payload is one whole answer of its site, so the cap is a slice of its array.
+    """
     board = F.from_json("body", "struct<jobs:array<string>>")
-    rows = payloads.select("site_id", "seq", F.posexplode(board["jobs"]).alias("pos", "raw"))
+    jobs = F.slice(board["jobs"], 1, max_jobs)
+    rows = payloads.select("site_id", "seq", F.posexplode(jobs).alias("pos", "raw"))
     job = F.from_json("raw", GREENHOUSE_JOB)
     return rows.select("site_id", "seq", "pos", "raw", job.alias("job")).select(
         "site_id",
@@ -155,10 +159,9 @@ def greenhouse_jobs(payloads: DataFrame) -> DataFrame:
     )
 
 
-def lever_jobs(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select(
-        "site_id", "seq", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "raw")
-    )
+def lever_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) -> DataFrame:
+    jobs = F.slice(F.from_json("body", "array<string>"), 1, max_jobs)
+    rows = payloads.select("site_id", "seq", F.posexplode(jobs).alias("pos", "raw"))
     job = F.from_json("raw", LEVER_JOB)
     return rows.select("site_id", "seq", "pos", "raw", job.alias("job")).select(
         "site_id",
@@ -395,7 +398,7 @@ def take_first(df: DataFrame, n: int | None) -> DataFrame:
 class SourceKind:
     """How one kind of source turns its payloads into jobs, and jobs into details."""
 
-    jobs: Callable[[DataFrame], DataFrame]
+    jobs: Callable[[DataFrame, int], DataFrame]
     details: Callable[[DataFrame], DataFrame]
 
 

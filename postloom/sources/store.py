@@ -161,18 +161,22 @@ def publish_postings(
     version: int | None = None,
     fmt: str = "parquet",
 ) -> int:
-    """Write a full new version in ``seq`` order, then point readers at it.
+    """Write a full new version, then point readers at it.
 
     The version being read is never touched, and writing the same version again replaces it.
-    ``fmt`` may be ``parquet`` or ``json``.
+    ``fmt`` may be ``parquet`` or ``json``. JSON lines are written in ``seq`` order, since
+    there the order of the lines is the order of the store; Parquet rows carry it in ``seq``
+    and are not shuffled for it.
     """
     spark = df.sparkSession
     if version is None:
         version = (current_version(spark, root) or 0) + 1
     target = f"{root}/v={version}"
-    writer = df.select(*STORED_POSTING.fieldNames()).orderBy("seq").write.mode("overwrite")
-    writer = writer.option("ignoreNullFields", "false") if fmt == "json" else writer
-    writer.format(fmt).save(f"{target}/postings")
+    rows = df.select(*STORED_POSTING.fieldNames())
+    if fmt == "json":
+        rows.orderBy("seq").write.mode("overwrite").json(f"{target}/postings", ignoreNullFields=False)
+    else:
+        rows.write.mode("overwrite").format(fmt).save(f"{target}/postings")
     if keys is not None:
         keys.write.mode("overwrite").parquet(f"{target}/keys")
     pointer = json.dumps({"version": version, "format": fmt})
