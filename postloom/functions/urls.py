@@ -32,8 +32,40 @@ def is_plain_url(url: Column) -> Column:
     return url.rlike(PLAIN_URL)
 
 
-def _plain_query(query: Column) -> Column:
-    """Drop tracking parameters, sort by name (ties keep their order), encode as a form."""
+# A query whose parameters need no decoding, and one tracking parameter inside it.
+SIMPLE_QUERY = r"^[A-Za-z0-9*\-._&]*(?:=[A-Za-z0-9*\-._]*(?:&[A-Za-z0-9*\-._&]*|\z))*\z"
+TRACKING_PARAM = (
+    rf"(?i)(?:^|&)(?:{TRACKING_PREFIX}[^&=]*|{'|'.join(TRACKING_NAMES)})(?:=[^&]*)?(?=&|\z)"
+)
+
+
+def _sorted_params(params: Column) -> Column:
+    """Parameters (name, at, text) joined in name order; ties keep their order."""
+    return F.array_join(F.transform(F.array_sort(params), lambda p: p["text"]), "&")
+
+
+def _simple_query(query: Column) -> Column:
+    """For a query without escapes: most have no parameter left, or just one."""
+    kept = F.regexp_replace(query, TRACKING_PARAM, "")
+    kept = F.btrim(kept, F.lit("&"))
+    many = F.transform(
+        F.filter(F.split(kept, "&"), lambda p: p != ""),
+        lambda p, i: F.struct(
+            F.substring_index(p, "=", 1).alias("name"),
+            i.alias("at"),
+            F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("text"),
+        ),
+    )
+    return (
+        F.when(kept == "", F.lit(""))
+        .when(kept.contains("&"), _sorted_params(many))
+        .when(kept.contains("="), kept)
+        .otherwise(F.concat(kept, F.lit("=")))
+    )
+
+
+def _escaped_query(query: Column) -> Column:
+    """The same with parameters decoded and written again as a form."""
     params = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p, i: F.struct(
@@ -49,36 +81,54 @@ def _plain_query(query: Column) -> Column:
             | F.lower(p["name"]).isin(TRACKING_NAMES)
         ),
     )
-    return F.array_join(
-        F.transform(
-            F.array_sort(kept),
-            lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"])),
+    written = F.transform(
+        kept,
+        lambda p: F.struct(
+            p["name"],
+            p["at"],
+            F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"])).alias("text"),
         ),
-        "&",
     )
+    return _sorted_params(written)
 
 
-def plain_canonical_url(url: Column) -> Column:
-    """Canonical form of a URL that passes :func:`is_plain_url`."""
+def _plain_parts(df: DataFrame, url: Column) -> DataFrame:
+    """Add the pieces of a plain URL, step by step so that each is worked out once."""
     body = F.substring_index(url, "#", 1)
-    base = F.substring_index(body, "?", 1)
-    raw_query = F.substr(body, F.length(base) + 2)
-    rest = F.substr(base, F.locate("://", base) + 3)
-    host = F.substring_index(rest, "/", 1)
-    path = F.substr(rest, F.length(host) + 1)
+    base, rest, host = F.col("__base"), F.col("__rest"), F.col("__host")
+    return (
+        df.withColumn("__body", body)
+        .withColumn("__base", F.substring_index("__body", "?", 1))
+        .withColumns(
+            {
+                "__query": F.substr("__body", F.length(base) + 2),
+                "__rest": F.substr(base, F.locate("://", base) + 3),
+            }
+        )
+        .withColumn("__host", F.substring_index(rest, "/", 1))
+        .withColumn("__path", F.substr(rest, F.length(host) + 1))
+    )
+
+
+PARTS = ["__body", "__base", "__query", "__rest", "__host", "__path"]
+
+
+def _plain_key() -> Column:
+    """Canonical form from the pieces."""
+    path, raw = F.col("__path"), F.col("__query")
     path = (
         F.when(F.length(path) <= 1, F.lit("/"))
         .when(path.endswith("/"), F.substr(path, F.lit(1), F.length(path) - 1))
         .otherwise(path)
     )
-    query = F.when(raw_query == "", F.lit("")).otherwise(_plain_query(raw_query))
-    return F.concat(
-        F.lower(F.substring_index(base, "://", 1)),
-        F.lit("://"),
-        F.lower(host),
-        path,
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+    query = (
+        F.when(raw == "", F.lit(""))
+        .when(raw.rlike(SIMPLE_QUERY), _simple_query(raw))
+        .otherwise(_escaped_query(raw))
     )
+    scheme = F.lower(F.substring_index("__base", "://", 1))
+    whole = F.concat(scheme, F.lit("://"), F.lower("__host"), path, F.lit("?"), query)
+    return F.rtrim(whole, F.lit("?"))
 
 
 # Schemes with a host and their default ports.
@@ -230,11 +280,10 @@ def with_canonical_url(df: DataFrame, url_col: str, out: str = "url_key") -> Dat
     Plain URLs never leave the JVM: the helper receives null for them and Arrow carries
     only the unusual ones.
     """
-    url = F.col(url_col)
-    other = _canonical_other_udf(F.when(~is_plain_url(url), url))
-    return df.withColumn(
-        out, F.when(is_plain_url(url), plain_canonical_url(url)).otherwise(other)
-    )
+    url, plain = F.col(url_col), F.col("__plain")
+    parts = _plain_parts(df.withColumn("__plain", is_plain_url(url)), url)
+    other = _canonical_other_udf(F.when(~plain, url))
+    return parts.withColumn(out, F.when(plain, _plain_key()).otherwise(other)).drop("__plain", *PARTS)
 
 
 def job_id(canonical: Column) -> Column:

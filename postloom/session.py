@@ -13,8 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Whole pages travel to the extraction jobs, so keep the batches short.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Whole pages travel to the extraction jobs, so bound batches by size and not by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
