@@ -124,9 +124,14 @@ def has_fingerprintable(text: Column) -> Column:
     return F.length(trim_ws(text)) >= MIN_FINGERPRINT_CHARS
 
 
-def challenge_reason(title: Column, html: Column) -> Column:
-    """Reason text of the first matching signal, else null."""
-    page = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), html)
+def challenge_page(title: Column, html: Column) -> Column:
+    """The text that is searched for signals."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), html)
+
+
+def challenge_reason(page: Column) -> Column:
+    """Reason text of the first matching signal, else null. Give it a stored column: each
+    signal reads it again."""
     (reason, pattern), *rest = CHALLENGE_SIGNALS
     return reduce(
         lambda acc, s: acc.when(page.rlike(s[1]), s[0]), rest, F.when(page.rlike(pattern), reason)
@@ -148,4 +153,5 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str = "fingerprint") ->
 def with_challenge(
     df: DataFrame, title_col: str, html_col: str, out: str = "challenge"
 ) -> DataFrame:
-    return df.withColumn(out, challenge_reason(F.col(title_col), F.col(html_col)))
+    page = challenge_page(F.col(title_col), F.col(html_col))
+    return df.withColumn("__page", page).withColumn(out, challenge_reason(F.col("__page"))).drop("__page")

@@ -37,6 +37,7 @@ from postloom.operators.ordered import (
     lookup_join,
     ordered_union,
     small,
+    spread,
 )
 from postloom.session import cut
 
@@ -59,7 +60,8 @@ def _digest(text: Column) -> Column:
 
 def tier_keys(df: DataFrame) -> DataFrame:
     """``(seq, k1..k4)``: URL, requisition, identity and text key; null where not eligible."""
-    keyed = with_canonical_url(df, "canonicalUrl", "__url")
+    read = df.select("seq", "canonicalUrl", "source", "requisitionId", "company", "title", "location", "descriptionText")
+    keyed = with_canonical_url(spread(read), "canonicalUrl", "__url")
     requisition = F.when(
         F.col("requisitionId") != "", F.concat_ws("::", "source", "requisitionId")
     )

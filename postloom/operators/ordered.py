@@ -16,6 +16,7 @@ from postloom.session import cut
 
 ROWS_PER_BLOCK = 2_000_000
 SMALL_ROWS = 100_000
+SPLIT_BYTES = 64 << 20
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -24,6 +25,17 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input often comes as one split. Deal it out over the cores before heavy work.
+
+    Inputs that already fill the cores with splits of the usual size are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = int(size) < cores * SPLIT_BYTES
+    return df.repartition(cores) if few else df
+
+
 def block_count(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> int:
     return max(1, math.ceil(df.count() / rows_per_block))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import challenge_reason
+from postloom.functions.text import with_challenge
 from postloom.schemas import ATS_KINDS, VERIFICATION_STATUSES
 
 EMPTY = "String must contain at least 1 character(s)"
@@ -51,7 +51,8 @@ def registry_violations(registry: DataFrame) -> DataFrame:
 def challenge_report(pages: DataFrame, source_col: str = "source") -> DataFrame:
     """``(source, reason, n)`` over pages with ``title`` and ``html``."""
     return (
-        pages.select(F.col(source_col).alias("source"), challenge_reason(F.col("title"), F.col("html")).alias("reason"))
+        with_challenge(pages, "title", "html", "reason")
+        .select(F.col(source_col).alias("source"), "reason")
         .where(F.col("reason").isNotNull())
         .groupBy("source", "reason")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postloom.functions.text import WS_CHARS, clean_text, falsy_or
+from postloom.operators.ordered import spread
 from postloom.operators.resolve import detail_struct, page_detail
 from postloom.schemas import INT, shape
 from postloom.sources.html import Element, first, parse, select, trimmed
@@ -117,7 +118,7 @@ def _map_pages(
             yield pd.concat([kept, pd.DataFrame(rows, columns=names)], axis=1)
 
     wanted = list(dict.fromkeys([*keep, *columns]))
-    return pages.select(*wanted).mapInPandas(job, schema)
+    return spread(pages.select(*wanted)).mapInPandas(job, schema)
 
 
 CARD_FIELDS = (

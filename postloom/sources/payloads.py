@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.functions.text import challenge_reason, clean_text, required_years
+from postloom.functions.text import challenge_page, challenge_reason, clean_text, required_years
 from postloom.functions.urls import board_token, job_id, lever_slug, with_canonical_url
 from postloom.operators.ordered import first_n_in_key, ordered_union, small
 from postloom.schemas import MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE, POSTING
@@ -95,7 +95,7 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
     ``payloads`` carries ``source_kind`` (greenhouse, lever, workday, workday_detail), ``body``
     and ``ident``, the name used in messages. The first failing check wins.
     """
-    reason = challenge_reason(F.lit(None).cast("string"), F.col("body"))
+    page = challenge_page(F.lit(None).cast("string"), F.col("body"))
     parsed = F.try_parse_json("body")
     kind = F.col("source_kind")
     is_list = lambda path: F.try_variant_get(F.col("__json"), path, "array<variant>").isNotNull()
@@ -109,7 +109,8 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
         )
         .otherwise(F.lit(True))
     )
-    marked = payloads.withColumns({"__reason": reason, "__json": parsed})
+    paged = payloads.withColumns({"__page": page, "__json": parsed})
+    marked = paged.withColumn("__reason", challenge_reason(F.col("__page"))).drop("__page")
     verdict = (
         F.when(F.col("__reason").isNotNull(), "challenge")
         .when(F.col("__json").isNull(), "not_json")
