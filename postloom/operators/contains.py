@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.operators.ordered import small
+
 # Up to this many needles are carried along as one array value; more go through the gram join.
 MAX_INLINE_NEEDLES = 2_000
 MAX_GRAM = 8
@@ -34,16 +36,19 @@ def gram_matches(texts: DataFrame, text_col: str, needles: DataFrame, needle_col
         starts = F.sequence(F.lit(1), F.greatest(F.length(col) - g + 1, F.lit(1)))
         return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(col), i, F.lit(g))))
 
+    # Grams travel with a short id; the text itself is fetched for the candidates only.
     docs = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    text_grams = docs.select("text", F.explode(grams("text")).alias("gram"))
+    docs = docs.withColumn("doc", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    text_grams = docs.select("doc", F.explode(grams("text")).alias("gram"))
     needle_grams = words.select("needle", F.explode(grams("needle")).alias("gram"))
     used = needle_grams.select("gram").distinct()
     sizes = text_grams.join(used, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = needle_grams.join(sizes, "gram", "left").groupBy("needle").agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
     )
+    candidates = text_grams.join(small(rarest), "gram").select("doc", "needle")
     return (
-        text_grams.join(rarest, "gram")
+        candidates.join(docs, "doc")
         .where(F.col("text").contains(F.col("needle")))
         .select("text", "needle")
     )

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from postloom.operators.merge import (
     assign_slots, dedup_by_identity, dedup_by_text, dedup_by_url, link_components, merge_postings, merge_with_keys, tier_keys,
