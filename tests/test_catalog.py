@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from postloom.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = (
@@ -30,12 +31,12 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    found = duck.execute(entry.oracle_sql()[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -43,4 +44,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
