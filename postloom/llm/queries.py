@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, html_text, licences, mixing, simhash, url_rules
+from postloom.llm import ann, bpe, html_text, licences, mixing, simhash, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +63,27 @@ def op4_pareto_mix(spark, sf_dir):
     return mixing.pareto_mix(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    with whole as (
+      select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+      from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+      select q.vec_id as query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from whole q join whole c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+    )
+    select query_id, rank::integer as rank, vec_id, score from (
+      select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+    ) x where rank <= 10
+    """
+)
+def op5_exact_top(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 @query(
     r"""
     with urls as (
@@ -119,3 +140,9 @@ def op8_licences(spark, sf_dir):
         labels(F.col("found")).alias("labels"),
         F.coalesce(certain, F.lit(0.0)).alias("score"),
     )
+
+
+@query()
+def op9_one_bit_codes(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
