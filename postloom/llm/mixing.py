@@ -85,8 +85,11 @@ def pareto_mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``(id_col, size, source_size, target, copies, taken)`` for every document.
+    """``(id_col, size, source_size, target, copies, taken)`` for every document; with ``keep``
+    those columns and ``copies`` instead. Texts are not shuffled, but for the few documents
+    where a source's share ends.
 
     ``size`` is the number of words, ``source_size`` and ``target`` belong to the source,
     ``copies`` is how often the mix takes the document and ``taken`` is ``copies * size``.
@@ -101,31 +104,20 @@ def pareto_mix(
     * The draw depends on the id and ``seed`` alone: reruns and other partitionings agree.
     """
     weight = F.lit(1.0) if odds is None else F.when(F.col(odds) > 0, F.col(odds).cast("double"))
-    thin = cut(
-        documents.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.coalesce(weight, F.lit(1.0)).alias("weight"),
-            uniform(
-                F.lit(str(seed)),
-                F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")),
-            ).alias("u"),
-        ),
-        "mix-words",
+    seen = documents.select(
+        F.struct(*[F.col(c) for c in (keep or [id_col])]).alias("kept"),
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        F.coalesce(weight, F.lit(1.0)).alias("weight"),
+        uniform(
+            F.lit(str(seed)),
+            F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")),
+        ).alias("u"),
     )
+    thin = cut(seen.drop("kept") if keep else seen, "mix-words")
     sources = targets(thin, fraction, max_copies, weights)
-    same = F.col("source").eqNullSafe(F.col("of"))
-    joined = thin.join(sources.withColumnRenamed("source", "of"), same).drop("of")
-
-    # The odds of a document are those of its source times its own weight.
-    odds_in = F.col("p") / (1 - F.col("p")) * F.col("weight")
-    rank = F.col("u") / (1 - F.col("u")) / odds_in
-    v = F.when(F.col("p") > 0, rank / (1 + rank)).otherwise(F.lit(1.0))
-    cells = 1 << LEVEL_BITS
-    fine = F.least(F.floor(v * F.lit(cells * cells)), F.lit(cells * cells - 1))
-    keyed = joined.withColumn("v", v).withColumn("fine", fine)
-    keyed = keyed.withColumn("coarse", F.shiftright("fine", LEVEL_BITS))
+    keyed = ranked(thin, sources)
 
     # Where does the running total of words pass the need? First by coarse cell, then by fine.
     by_coarse = decisive(
@@ -142,7 +134,8 @@ def pareto_mix(
     by_fine = cut(by_fine, "mix-fine").select(
         F.col("source").alias("of"), F.col("cell").alias("edge"), "base"
     )
-    decided = keyed.join(by_fine, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = ranked(seen, sources) if keep else keyed
+    decided = rows.join(by_fine, F.col("source").eqNullSafe(F.col("of")), "left")
     at_cut = F.coalesce(F.col("fine") == F.col("edge"), F.lit(False))
 
     # Without a decisive cell all documents of the source do not reach the need: take them all.
@@ -162,6 +155,9 @@ def pareto_mix(
         F.when((short_by > 0) & (F.col("after") - F.col("need") <= short_by), 1).otherwise(0),
     ).drop("after")
     copies = F.col("whole") + F.col("extra")
+    if keep:
+        plain, edge = (d.select("kept.*", copies.cast("int").alias("copies")) for d in (plain, edge))
+        return plain.unionByName(edge)
     return plain.unionByName(edge).select(
         F.col("id").alias(id_col),
         "size",
@@ -172,6 +168,24 @@ def pareto_mix(
     )
 
 
+def ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with the numbers of their source and their place in its ranking: ``v`` in (0, 1)
+    grows with the ranking number, and ``fine`` and ``coarse`` are the cells it falls in."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    joined = rows.join(sources.withColumnRenamed("source", "of"), same).drop("of")
+    # The odds of a document are those of its source times its own weight.
+    odds = F.col("p") / (1 - F.col("p")) * F.col("weight")
+    rank = F.col("u") / (1 - F.col("u")) / odds
+    v = F.when(F.col("p") > 0, rank / (1 + rank)).otherwise(F.lit(1.0))
+    cells = 1 << (2 * LEVEL_BITS)
+    fine = F.least(F.floor(F.col("v") * F.lit(cells)), F.lit(cells - 1))
+    return (
+        joined.withColumn("v", v)
+        .withColumn("fine", fine)
+        .withColumn("coarse", F.shiftright("fine", LEVEL_BITS))
+    )
+
+
 def targets(
     sized: DataFrame, fraction: float, max_copies: int, weights: tuple[int, ...]
 ) -> DataFrame:

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import ann, bpe, html_text, licences, mixing, simhash, topk, url_rules
+from postloom.llm import (
+    ann,
+    bpe,
+    html_text,
+    licences,
+    mixing,
+    quality,
+    simhash,
+    topk,
+    toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +54,20 @@ def token_digests(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame
     )
 
 
+@query()
+def op1_toxicity_chain(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents, model).select(
+        "doc_id",
+        F.col("p_toxic").alias("score"),
+        (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"),
+        "p_dense",
+        "p_recurring",
+        "p_toxic",
+    )
+
+
 @query()
 def op2_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
@@ -146,3 +171,15 @@ def op8_licences(spark, sf_dir):
 def op9_one_bit_codes(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op10_quality_pairs(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), where=~quality.held_out())
+    return quality.score_documents(documents, model).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
