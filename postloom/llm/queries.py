@@ -61,7 +61,7 @@ def op1_toxicity_chain(spark, sf_dir):
     return toxicity.score_documents(documents, model).select(
         "doc_id",
         F.col("p_toxic").alias("score"),
-        (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"),
+        (F.col("p_toxic") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"),
         "p_dense",
         "p_recurring",
         "p_toxic",

@@ -133,16 +133,29 @@ def near_duplicates(
     )
 
 
-def keep_first(documents: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``documents`` for each component: that of the smallest id. Rows without an id
-    stay only if their component has no id at all, and then one of them per text."""
+def keep_first(
+    documents: DataFrame,
+    found: DataFrame,
+    width: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``documents`` for each component: that of the smallest id. ``found`` is the
+    result of :func:`near_duplicates` with the same ``width``. Rows without an id stay only
+    where no id is linked to their text, and then one for each fingerprint."""
     kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count()
     first = documents.join(kept.select(id_col), id_col, "left_semi")
     again = kept.where("count > 1").select(id_col)
-    once = first.join(again, id_col, "left_anti")
+    once = first.join(again, id_col, "left_anti").select(*documents.columns)
     one_of_many = first.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = documents.where(F.col(id_col).isNull())
-    lost = found.where(F.col(id_col).isNull() & F.col("component_id").isNull())
-    if not lost.isEmpty():
-        one_of_many = one_of_many.unionByName(nameless.dropDuplicates(["text"]))
-    return once.unionByName(one_of_many).select(*documents.columns)
+    lost = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fp")
+    nameless = documents.where(F.col(id_col).isNull()).select(
+        F.struct(*documents.columns).alias("row"), F.col(text_col).alias("words")
+    )
+    nameless = (
+        fingerprints(nameless, width, "row", "words")
+        .join(lost.distinct(), "fp", "left_semi")
+        .dropDuplicates(["fp"])
+        .select("row.*")
+    )
+    return once.unionByName(one_of_many.select(*documents.columns)).unionByName(nameless)

@@ -29,6 +29,7 @@ MAX_TERMS, USED_TERMS = 600, 160  # before and after those that say the same are
 LEAST_LIFT, LEAST_GAIN = 6.0, 20.0
 CACHED_WORDS = 500_000
 FOLDS = 5
+TOXIC_FROM = 0.3  # probability of the last category from which a text counts as toxic
 
 # The chain, in its order: the share of toxic terms is high; they recur; the text is toxic.
 CATEGORIES = ("dense", "recurring", "toxic")
