@@ -11,6 +11,8 @@ from postloom.operators.listings import (
 from postloom.operators.progress import (
     crawl_frontier, progress_rollup, search_urls, seen_rollup,
 )
+from postloom.plans.discover import read_result_pages
+from postloom.schemas import PROGRESS, SEEN_IDS
 from postloom.sources.payloads import cap_pages, cap_per_source, take_first, total_stop
 
 
@@ -285,3 +287,38 @@ def portal_listings(spark, sf_dir):
         F.lit("").alias("location_text"), nothing.alias("salary"), nothing.alias("age"),
     )
     return normalise_cards(cards, NOW).select("seq", "source", "title", "company", "sourceJobId", "resultUrl")
+
+
+@query("""with visited as (select l_orderkey as k, l_linenumber as page, min(l_partkey) as part, min(l_suppkey) % 11 = 0 as failed,
+      min(l_quantity) >= 47 as empty from lineitem group by all),
+    fresh as (select *, not failed and not empty and row_number() over (partition by k, case when failed or empty then -page else part end
+      order by page) = 1 as new from visited),
+    stops as (select k, least(coalesce(min(case when empty and not failed then page - 1 end), 99),
+      coalesce(min(case when not new and not failed and page > 1 then page end), 99), max(page)) as last from fresh group by k),
+    ends as (select k, min(case when failed and page <= last then page end) as broken, any_value(last) as last
+      from fresh join stops using (k) group by k)
+    select 'indeed::order ' || e.k || '::united states' as key, coalesce(max(f.page), 0) as "lastPage", any_value(broken) is null as completed
+    from ends e left join fresh f on f.k = e.k and not failed and not empty and page <= last and page < coalesce(broken, 99)
+    group by e.k""")
+def discover_progress(spark, sf_dir):
+    """Result pages with challenges and empty pages among them: how far each search came."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")]
+    )
+    word = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
+    found = F.format_string(
+        '<div class="job_seen_beacon"><a class="jcs-JobTitle" href="/rc/clk?jk=%d&x=1"><span id="jobTitle-1">QA</span></a></div>', "l_partkey"
+    )
+    html = F.when(F.col("l_suppkey") % 11 == 0, "<p>Please verify you are human</p>").when(F.col("l_quantity") >= 47, "<p></p>")
+    pages = lines.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.lit("indeed").alias("source"), word.alias("keyword"),
+        F.lit("United States").alias("location"), F.col("l_linenumber").cast("int").alias("page_no"),
+        F.lit("https://www.indeed.com/jobs?q=x").alias("url"), html.otherwise(found).alias("html"),
+    )
+    todo = pages.select("source", "keyword", "location").distinct().select(
+        progress_key(F.col("source"), F.col("keyword"), F.col("location")).alias("key"),
+        F.lit("p").alias("profile"), F.lit(0).alias("role_seq"), F.lit(0).alias("pos"), F.lit(1).alias("start_page"),
+    )
+    seen = spark.createDataFrame([], SEEN_IDS)
+    _, read = read_result_pages(pages, todo, seen, NOW)
+    return progress_rollup(read, spark.createDataFrame([], PROGRESS), NOW).select("key", "lastPage", "completed")

@@ -8,11 +8,12 @@ from postloom.catalog.base import NOW, query, sql_clean, sql_years, table
 from postloom.catalog.tagging import REGISTRY, page_registry
 from postloom.operators.resolve import assemble_resolved, attach_details, match_company, with_final_ats
 from postloom.operators.summary import run_summary, site_errors
+from postloom.plans.collect import in_site_order
 from postloom.session import scratch_root
 from postloom.sources.extract import extract_cards, extract_details, extract_fallback, extract_links
 from postloom.sources.payloads import (
-    greenhouse_details, greenhouse_jobs, lever_details, lever_jobs, normalise_postings, triage_payloads,
-    workday_details, workday_jobs,
+    greenhouse_details, greenhouse_jobs, lever_details, lever_jobs, normalise_postings, take_first,
+    triage_payloads, workday_details, workday_jobs,
 )
 from postloom.sources.store import append_listings, read_listings
 from postloom.streaming.intake import listing_stream, split_stream, stream_drop_seen
@@ -101,6 +102,43 @@ def lever_postings(spark, sf_dir):
     ])
 
 
+@query("""with boards as (select o_orderkey // 10 as seq, (o_orderkey // 10) % 3 as site, list(o_orderkey order by o_orderkey) as keys
+      from orders group by all), lowest as (select min(seq) as start from boards),
+    placed as (select *, row_number() over (order by site, seq) - 1 + start as place from boards, lowest)
+    select place * 1048576 + unnest(range(len(keys))) as seq, 's' || site as site_id, unnest(keys)::varchar as "externalId"
+    from placed order by seq limit 500""")
+def site_order_limit(spark, sf_dir):
+    """The run limit takes the first sites first, whatever the order in which payloads landed."""
+    job = F.struct(F.col("o_orderkey").alias("id"))
+    ordered = in_site_order(_boards(spark, sf_dir, job, "jobs"), _sites(spark, sf_dir, "greenhouse"))
+    return take_first(greenhouse_jobs(ordered), 500).select("seq", "site_id", "externalId")
+
+
+@query("""with rows as (select o_orderkey, 's' || (o_orderkey // 10) % 3 as site_id, 'P' || o_custkey as path, (o_orderkey // 10) % 4 as word,
+      (o_orderkey // 10) * 1048576 + row_number() over (partition by o_orderkey // 10 order by o_orderkey) - 1 as seq from orders)
+    select site_id, path as "externalId", min(seq) as seq, arg_max('Clerk ' || o_orderkey, seq) as title,
+      array_to_string(list_distinct(list('p' || word)).list_sort(), ',') as profiles
+    from rows where word < 2 group by site_id, path""")
+def workday_filtered(spark, sf_dir):
+    """Pages of searches outside the chosen profiles give nothing."""
+    job = F.struct(
+        F.concat(F.lit("Clerk "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("externalPath"),
+    )
+    pages = _boards(spark, sf_dir, job, "jobPostings").select(
+        "seq", "site_id", F.concat(F.lit("k"), (F.col("seq") % 4).cast("string")).alias("request_keyword"),
+        (F.col("seq") + 1).alias("page_no"),
+        F.concat(F.lit('{"total":1000000000,'), F.expr("substring(body, 2)")).alias("body"),
+    )
+    searches = spark.createDataFrame(
+        [(0, "k0", ["p0"]), (1, "k1", ["p1"])], "search_no bigint, keyword string, profileIds array<string>"
+    )
+    found = workday_jobs(pages, _sites(spark, sf_dir, "workday"), searches)
+    return found.select(
+        "site_id", "externalId", "seq", "title", F.array_join(F.array_sort("matchedProfiles"), ",").alias("profiles")
+    )
+
+
 @query("""with rows as (select o_orderkey, 's' || (o_orderkey // 10) % 3 as site_id, 'P' || o_custkey as path, o_orderpriority as keyword,
       (o_orderkey // 10) * 1048576 + row_number() over (partition by o_orderkey // 10 order by o_orderkey) - 1 as seq from orders),
     first as (select site_id, path, min(seq) as seq, arg_max('Clerk ' || o_orderkey, seq) as title from rows group by all)
@@ -118,7 +156,7 @@ def workday_postings(spark, sf_dir):
         F.concat(F.lit('{"total":1000000000,'), F.expr("substring(body, 2)")).alias("body"),
     )
     searches = spark.createDataFrame([], "search_no bigint, keyword string, profileIds array<string>")
-    found = workday_jobs(pages, _sites(spark, sf_dir, "workday"), searches, 1 << 30, 1 << 30)
+    found = workday_jobs(pages, _sites(spark, sf_dir, "workday"), searches)
     number = F.substring("externalId", 2, 20).cast("long") % 4
     info = F.to_json(
         F.struct(

@@ -55,6 +55,35 @@ def canonical_urls(spark, sf_dir):
     return keyed.select("page_id", "variant", "url_key", job_id(F.col("url_key")).alias("id"))
 
 
+ODD_SQL = """select page_id, variant, url, case variant
+      when 0 then replace(url, '://', '://u:p@') when 1 then regexp_replace(url, '^(https://[^/?#]+)', '\\1:000443')
+      when 2 then regexp_replace(url, '://([^/?#]+)', '://\\1:' || repeat('7', 5000))
+      when 3 then regexp_replace(url, '://([^/?#]+)', '://\\1:٣') when 4 then regexp_replace(url, '://([^/?#]+)/', '://\\1/a/./b/../../')
+      when 5 then regexp_replace(url, '://([^/?#]+)', '://\\1:8443') else '  ' || url || chr(10) end as odd
+    from pages, (values (0), (1), (2), (3), (4), (5), (6)) v(variant)"""
+
+
+@query(f"""with odd as ({ODD_SQL}), plain as ({sql_canonical('select distinct url as u from pages')})
+    select page_id, variant, case variant when 0 then replace(url_key, '://', '://u:p@')
+      when 1 then url_key when 2 then odd when 3 then odd
+      when 5 then regexp_replace(url_key, '://([^/?#]+)', '://\\1:8443') else url_key end as url_key
+    from odd join plain on plain.u = odd.url""")
+def odd_urls(spark, sf_dir):
+    """User names, ports of every kind, dot segments and padding in real addresses."""
+    url, host = F.col("url"), r"://([^/?#]+)"
+    odd = [
+        F.replace(url, F.lit("://"), F.lit("://u:p@")),
+        F.regexp_replace(url, "^(https://[^/?#]+)", "$1:000443"),
+        F.regexp_replace(url, host, "://$1:" + "7" * 5000),
+        F.regexp_replace(url, host, "://$1:٣"),
+        F.regexp_replace(url, host + "/", "://$1/a/./b/../../"),
+        F.regexp_replace(url, host, "://$1:8443"),
+        F.concat(F.lit("  "), url, F.lit("\n")),
+    ]
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*odd)).alias("variant", "odd"))
+    return with_canonical_url(rows, "odd", "url_key").select("page_id", "variant", "url_key")
+
+
 TITLE_SQL = """case p_size % 6 when 0 then '  QA   Engineer! ' when 1 then 'Engineer -' when 2 then '  '
     when 3 then 'Senior ' || upper(p_name) else p_name end"""
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postloom.catalog.base import query, table
+from postloom.catalog.base import SQL, query, table
 from postloom.operators.listings import company_career_listings
 from postloom.operators.profiles import match_profiles, profile_totals, role_searches, tag_listings
 from postloom.operators.progress import registry_coverage, registry_status, resume_cursor
@@ -42,11 +42,11 @@ TAGGED = f"""with {SEARCHES}, texts as (select p_partkey, p_name || ' / ' || upp
     tags as (select p_partkey, list(profile order by ord) as profiles from tag_firsts group by 1)"""
 
 
-def _tagged(spark, sf_dir):
+def _tagged(spark, sf_dir, **options):
     part = table(spark, sf_dir, "part").withColumn(
         "text", F.concat("p_name", F.lit(" / "), F.upper("p_type"), F.lit(" "), "p_name")
     )
-    return match_profiles(part, "text", role_searches(roles(spark, sf_dir)))
+    return match_profiles(part, "text", role_searches(roles(spark, sf_dir)), **options)
 
 
 @query(TAGGED + """ select p.p_partkey, coalesce(array_to_string(g.profiles, ','), '') as profiles
@@ -55,6 +55,14 @@ def profile_match(spark, sf_dir):
     return _tagged(spark, sf_dir).select("p_partkey", F.array_join("matchedProfiles", ",").alias("profiles"))
 
 
+@query(TAGGED + """ select p.p_partkey, coalesce(array_to_string(g.profiles, ','), '') as profiles
+    from part p left join tags g using (p_partkey)""")
+def profile_match_grams(spark, sf_dir):
+    """The join on grams that large lists of keywords take."""
+    found = _tagged(spark, sf_dir, inline_limit=0)
+    return found.select("p_partkey", F.array_join("matchedProfiles", ",").alias("profiles"))
+
+
 @query(TAGGED + " select profile, count(*) as n from (select unnest(profiles) as profile from tags) group by 1")
 def profile_counts(spark, sf_dir):
     return profile_totals(_tagged(spark, sf_dir))
@@ -97,12 +105,18 @@ REGISTRY = """registry as (select regexp_extract(url, '([a-z-]+\\.example\\.[a-z
       on contains(lower(url || '?via=en'), r.domain) or contains(lower(url), 'https://' || r.domain || '/en/') group by 1)
     select p.page_id, upper(r.domain) as company, (['greenhouse', 'lever', 'workday', 'generic'])[r.seq % 4 + 1] as ats
     from pages p left join hits using (page_id) left join registry r on r.seq = hits.seq""")
-def company_match(spark, sf_dir):
+def company_match(spark, sf_dir, **options):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("?via=en")).alias("final_url"))
-    found = match_company(pages, page_registry(spark, sf_dir))
+    found = match_company(pages, page_registry(spark, sf_dir), **options)
     return found.select("page_id", F.col("match.company").alias("company"), F.col("match.atsType").alias("ats"))
 
 
+@query(SQL["company_match"])
+def company_match_grams(spark, sf_dir):
+    """The join on grams that large registries take."""
+    return company_match(spark, sf_dir, inline_limit=0)
+
+
 @query("""with moved as (select url, case page_id % 3 when 0 then '' when 1 then replace(url, 'http:', 'https:') end as final_url
       from pages)
     select p.page_id, p.hop, coalesce(nullif(m.final_url, ''), p.u) as final_url

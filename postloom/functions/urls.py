@@ -160,12 +160,8 @@ def _host(raw: str) -> str | None:
     host = unquote(raw, errors="replace").lower()
     if not host.isascii() or "xn--" in host:
         try:
-            import idna
-
-            host = idna.encode(host, uts46=True).decode()
-        except ImportError:
             host = host.encode("idna").decode()
-        except Exception:
+        except UnicodeError:
             return None
     if not host or _HOST_FORBIDDEN.search(host):
         return None
@@ -228,7 +224,7 @@ def _canonical_other(raw: str | None) -> str | None:
         path = rest
     if authority is not None:
         user, at, hostport = authority.rpartition("@")
-        port_match = re.search(r":(\d*)\Z", hostport)
+        port_match = re.search(r":([0-9]*)\Z", hostport)
         host = hostport[: port_match.start()] if port_match else hostport
         if scheme in SPECIAL_PORTS:
             host = _host(host)
@@ -237,9 +233,10 @@ def _canonical_other(raw: str | None) -> str | None:
         else:
             host = quote(host, safe="!$&'()*+,-.;=_~%[]:")
         if port_match and port_match[1]:
-            number = int(port_match[1])
-            if number > 65535:
+            digits = port_match[1].lstrip("0") or "0"
+            if len(digits) > 5 or int(digits) > 65535:
                 return raw
+            number = int(digits)
             if number != SPECIAL_PORTS.get(scheme):
                 port = f":{number}"
         elif not port_match and re.search(r":[^\]]*\Z", hostport) and not hostport.startswith("["):
@@ -269,9 +266,17 @@ def _canonical_other(raw: str | None) -> str | None:
     return prefix + path + ("?" + form if form else "")
 
 
+def _canonical_or_raw(raw: str) -> str:
+    """No URL, however odd, may end the job: what cannot be read comes back as it is."""
+    try:
+        return _canonical_other(raw) or raw
+    except (ValueError, LookupError):
+        return raw
+
+
 @F.pandas_udf(StringType())
 def _canonical_other_udf(urls: pd.Series) -> pd.Series:
-    return urls.map(_canonical_other, na_action="ignore")
+    return urls.map(_canonical_or_raw, na_action="ignore")
 
 
 def with_canonical_url(df: DataFrame, url_col: str, out: str = "url_key") -> DataFrame:

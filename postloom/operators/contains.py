@@ -27,10 +27,12 @@ def gram_matches(texts: DataFrame, text_col: str, needles: DataFrame, needle_col
     grams such as ``https://`` are never join keys unless a needle has nothing else.
     """
     words = needles.select(F.col(needle_col).alias("needle")).where(F.length("needle") > 0).distinct()
-    shortest = words.agg(F.min(F.length("needle"))).first()[0]
-    if shortest is None:
-        return texts.select(F.col(text_col).alias("text"), F.lit("").alias("needle")).limit(0)
-    g = min(MAX_GRAM, shortest)
+    # Needles shorter than a gram are few at most (there are only so many short strings), and
+    # are carried along; they must not turn single letters into the join keys of all others.
+    brief = words.where(F.length("needle") < MAX_GRAM)
+    found = short_matches(texts, text_col, brief)
+    words = words.where(F.length("needle") >= MAX_GRAM)
+    g = MAX_GRAM
 
     def grams(col: str):
         starts = F.sequence(F.lit(1), F.greatest(F.length(col) - g + 1, F.lit(1)))
@@ -47,8 +49,32 @@ def gram_matches(texts: DataFrame, text_col: str, needles: DataFrame, needle_col
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
     )
     candidates = text_grams.join(small(rarest), "gram").select("doc", "needle")
-    return (
+    long = (
         candidates.join(docs, "doc")
         .where(F.col("text").contains(F.col("needle")))
         .select("text", "needle")
     )
+    return long.unionByName(found)
+
+
+def short_matches(texts: DataFrame, text_col: str, needles: DataFrame) -> DataFrame:
+    """The same for needles shorter than a gram: each is a substring of a text of its own length
+    or it is not, so substrings of the lengths that occur are joined with the needles."""
+    lengths = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]
+    docs = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    pieces = F.flatten(
+        F.array(
+            *[
+                F.when(
+                    F.length("text") >= n,
+                    F.transform(
+                        F.sequence(F.lit(1), F.length("text") - (n - 1)),
+                        lambda i, n=n: F.substr(F.col("text"), i, F.lit(n)),
+                    ),
+                ).otherwise(F.array().cast("array<string>"))
+                for n in lengths
+            ]
+        ).cast("array<array<string>>")
+    )
+    cut_up = docs.select("text", F.explode(F.array_distinct(pieces)).alias("needle"))
+    return cut_up.join(needles, "needle").select("text", "needle")

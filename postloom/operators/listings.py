@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postloom.functions.text import falsy_or
 from postloom.functions.urls import encode_component, url_path
 from postloom.operators.ordered import first_n_in_key, lag_in_key
-from postloom.schemas import LISTING, MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE
+from postloom.schemas import LISTING
 from postloom.sources.payloads import cap_pages, collapse_first_seen
 
 
@@ -165,25 +165,31 @@ def _last_page(pages: DataFrame, keys: list[str], before: Column, after: Column)
     )
 
 
+def _failed(pages: DataFrame) -> Column:
+    return F.coalesce("failed", F.lit(False)) if "failed" in pages.columns else F.lit(False)
+
+
 def dry_stop(
     pages: DataFrame, cards: DataFrame, keys: list[str], id_col: str = "sourceJobId",
-    seen: DataFrame | None = None, max_pages: int | None = MAX_PAGES_PER_SOURCE,
+    seen: DataFrame | None = None, max_pages: int | None = None,
 ) -> DataFrame:
     """``(keys, last_page)`` of a paged portal.
 
     ``pages`` has ``(keys, page_no, start_page, n_cards)``. A page without cards ends the crawl
     and is not recorded; a page after the start page without a new id is the last one recorded.
+    A page marked ``failed`` (optional column) was not read, so it is neither empty nor dry.
     """
     if max_pages is not None:
         pages, cards = cap_pages(pages, max_pages), cap_pages(cards, max_pages)
     counted = _with_new_ids(pages, new_ids_per_page(cards, seen, keys, id_col), keys)
     dry = (F.col("new_ids") == 0) & (F.col("page_no") > F.col("start_page"))
-    return _last_page(counted, keys, F.col("n_cards") == 0, dry)
+    read = ~_failed(pages)
+    return _last_page(counted, keys, read & (F.col("n_cards") == 0), read & dry)
 
 
 def stall_stop(
     pages: DataFrame, cards: DataFrame, keys: list[str], id_col: str = "sourceJobId",
-    seen: DataFrame | None = None, max_pages: int | None = MAX_PAGES_PER_SOURCE,
+    seen: DataFrame | None = None, max_pages: int | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
     """``(keys, last_page)`` of an endless list: also ends before a capture that shows as many
@@ -195,11 +201,12 @@ def stall_stop(
         blocks = 1  # the page cap bounds every key
     lagged = lag_in_key(counted, keys, "page_no", "n_cards", "before", blocks)
     stalled = (F.col("n_cards") == 0) | F.coalesce(F.col("n_cards") == F.col("before"), F.lit(False))
-    return _last_page(lagged, keys, stalled, F.col("new_ids") == 0)
+    read = ~_failed(pages)
+    return _last_page(lagged, keys, read & stalled, read & (F.col("new_ids") == 0))
 
 
 def link_stop(
-    pages: DataFrame, links: DataFrame, keys: list[str], max_pages: int | None = MAX_PAGES_PER_SOURCE
+    pages: DataFrame, links: DataFrame, keys: list[str], max_pages: int | None = None
 ) -> DataFrame:
     """``(keys, last_page)`` of a career site: the first page without an advance control, or the
     first one after page 1 that adds no link. ``pages`` has ``(keys, page_no, has_next)``."""
@@ -215,17 +222,19 @@ def up_to_last_page(df: DataFrame, stops: DataFrame, keys: list[str]) -> DataFra
 
 
 def collapse_links(
-    links: DataFrame, search_keys: list[str], max_jobs: int = MAX_JOBS_PER_SOURCE,
+    links: DataFrame, search_keys: list[str], max_jobs: int | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
     """Links of a career site to one row per URL with the profiles of every search that found it.
 
     ``links`` has ``site_id, url, seq, matchedProfiles`` and the search key columns. Each search,
-    and then each site, keeps its first ``max_jobs`` distinct links.
+    and then each site, keeps its first ``max_jobs`` distinct links; all of them without a cap.
     """
     per_search = collapse_first_seen(
         links, ["site_id", *search_keys, "url"], "seq", "matchedProfiles", []
     )
+    if max_jobs is None:
+        return collapse_first_seen(links, ["site_id", "url"], "seq", "matchedProfiles", [])
     capped = first_n_in_key(per_search, ["site_id", *search_keys], "seq", max_jobs, blocks)
     per_site = collapse_first_seen(capped, ["site_id", "url"], "seq", "matchedProfiles", [])
     return first_n_in_key(per_site, ["site_id"], "seq", max_jobs, blocks)

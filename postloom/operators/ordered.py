@@ -52,6 +52,26 @@ def with_blocks(df: DataFrame, order_col: str, blocks: int) -> DataFrame:
     return cut(ranged.withColumn("__block", F.spark_partition_id()), "blocks")
 
 
+def number_rows(df: DataFrame, order_cols: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """Add ``out``: 0, 1, 2, ... in the order of ``order_cols``.
+
+    Ranges are numbered side by side and shifted by the sizes of the ranges before them, so
+    only one number per range meets in one task.
+    """
+    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(parts, *order_cols).withColumn("__range", F.spark_partition_id())
+    ranged = cut(ranged, "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    shifts = shifts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order_cols))
+    return (
+        ranged.join(shifts, "__range")
+        .withColumn(out, (place - 1 + F.col("__shift")).cast("long"))
+        .drop("__range", "__shift")
+    )
+
+
 def lag_in_key(
     df: DataFrame, keys: list[str], order_col: str, value_col: str, out: str, blocks: int | None = None
 ) -> DataFrame:

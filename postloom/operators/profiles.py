@@ -29,13 +29,17 @@ def role_searches(roles: DataFrame, profiles: list[str] | None = None) -> DataFr
 
 
 def match_profiles(
-    df: DataFrame, text_col: str, searches: DataFrame, out: str = "matchedProfiles"
+    df: DataFrame,
+    text_col: str,
+    searches: DataFrame,
+    out: str = "matchedProfiles",
+    inline_limit: int = MAX_INLINE_NEEDLES,
 ) -> DataFrame:
     """Tag each row with the profiles whose keyword occurs in the text, in search order."""
     needles = searches.select(
         F.col("search_no").alias("seq"), F.lower("keyword").alias("needle"), "profileIds"
     ).where(F.length("needle") > 0)
-    if needles.count() <= MAX_INLINE_NEEDLES:
+    if needles.count() <= inline_limit:
         hits = F.filter("__needles", lambda s: F.col("__low").contains(s["needle"]))
         tags = F.array_distinct(F.flatten(F.transform(hits, lambda s: s["profileIds"])))
         ready = df.withColumns(

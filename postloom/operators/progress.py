@@ -87,10 +87,13 @@ def progress_rollup(pages: DataFrame, prior: DataFrame, now: str) -> DataFrame:
     """Prior progress updated with this run's pages.
 
     ``pages`` has ``(key, source, keyword, location, page_no, failed)``, one row per page
-    recorded. A key is completed when none of its pages failed.
+    recorded. A key is completed when none of its pages failed. A search that had no result is
+    one row without a page number: it is completed and its last page stays where it was.
     """
     run = pages.groupBy("key").agg(
-        F.min_by(F.struct("source", "keyword", "location"), "page_no").alias("who"),
+        F.min_by(
+            F.struct("source", "keyword", "location"), F.coalesce("page_no", F.lit(1 << 30))
+        ).alias("who"),
         F.max(F.when(~F.col("failed"), F.col("page_no"))).alias("run_page"),
         F.bool_and(~F.col("failed")).alias("run_done"),
     )

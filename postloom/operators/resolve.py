@@ -39,10 +39,11 @@ def match_company(
     able = host.isNotNull()
     if exclude_hosts:
         able = able & ~host.isin([h.lower() for h in exclude_hosts])
+    # An empty needle names nothing; it never matches, whatever the registry's size.
     dims = registry.select(
         "seq",
-        F.lower("corporateDomain").alias("domain"),
-        F.lower("careersUrl").alias("careers"),
+        F.nullif(F.lower("corporateDomain"), F.lit("")).alias("domain"),
+        F.nullif(F.lower("careersUrl"), F.lit("")).alias("careers"),
         *REGISTRY_COLUMNS,
     )
     keyed = df.withColumns({"__low": F.when(able, low), "__host": F.when(able, host)})
@@ -50,9 +51,8 @@ def match_company(
     if dims.count() <= inline_limit:
         hits = F.filter(
             "__registry",
-            lambda r: F.col("__host").contains(r["domain"])
-            | text.contains(r["domain"])
-            | (F.lit(False) if host_only else text.contains(r["careers"])),
+            lambda r: F.coalesce(text.contains(r["domain"]), F.lit(False))
+            | (F.lit(False) if host_only else F.coalesce(text.contains(r["careers"]), F.lit(False))),
         )
         first = F.try_element_at(hits, F.lit(1))
         match = F.struct(*[first[c].alias(c) for c in ["seq", *REGISTRY_COLUMNS]])

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.merge import merge_with_keys
-from postloom.operators.ordered import small
+from postloom.operators.ordered import number_rows, small
 from postloom.operators.profiles import match_profiles, profile_totals, role_searches
 from postloom.operators.summary import run_summary, site_errors
-from postloom.schemas import MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE
 from postloom.session import cut
 from postloom.sources.payloads import (
     BOARD_KINDS,
@@ -47,11 +46,15 @@ def collect(
     limit: int | None = None,
     store_keys: DataFrame | None = None,
     generic_jobs: DataFrame | None = None,
-    max_pages: int = MAX_PAGES_PER_SOURCE,
-    max_jobs: int = MAX_JOBS_PER_SOURCE,
+    max_pages: int | None = None,
+    max_jobs: int | None = None,
 ) -> RunResult:
     """One run over landed payloads.
 
+    Postings come in the order of the sites, then of their payloads, then of their place in the
+    payload; so the run limit takes the first sites first. ``max_pages`` and ``max_jobs`` are
+    settings: without them nothing is left out.
+
     ``generic_jobs`` holds already extracted pages of generic sites: ``site_id, seq, url,
     matchedProfiles, detail``.
     """
@@ -61,7 +64,8 @@ def collect(
     wanted = cut(wanted, "sites")
     searches = cut(role_searches(roles, profiles), "searches")
     names = site_identity(wanted).where("config_error is null")
-    mine = payloads.join(small(names.select(F.col("id").alias("site_id"), "ident")), "site_id")
+    mine = in_site_order(payloads, wanted)
+    mine = mine.join(small(names.select(F.col("id").alias("site_id"), "ident")), "site_id")
     # Verdicts are kept without the bodies; the few bad payloads are then left out by number.
     verdicts = cut(
         triage_payloads(mine).select("site_id", "seq", "source_kind", "request_keyword", "verdict", "error"),
@@ -108,6 +112,17 @@ def collect(
     return RunResult(after, keys, batch, summary, profile_totals(batch), errors)
 
 
+def in_site_order(payloads: DataFrame, sites: DataFrame) -> DataFrame:
+    """Payloads of ``sites`` with ``seq`` dealt anew in the order of (site, arrival). The new
+    numbers start at the smallest given one, so they stay above everything stored before."""
+    where = small(sites.select(F.col("id").alias("site_id"), F.col("seq").alias("site_seq")))
+    thin = payloads.select("site_id", "seq").join(where, "site_id")
+    numbered = cut(number_rows(thin, ["site_seq", "seq"], "place"), "payload-order")
+    start = numbered.agg(F.min("seq")).first()[0] or 0
+    new = numbered.select("seq", (F.col("place") + F.lit(start)).alias("ordered"))
+    return payloads.join(new, "seq").drop("seq").withColumnRenamed("ordered", "seq")
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     stacked = frames[0]
     for frame in frames[1:]:

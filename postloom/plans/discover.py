@@ -27,7 +27,6 @@ from postloom.operators.resolve import (
     match_company,
     with_final_ats,
 )
-from postloom.schemas import MAX_PAGES_PER_SOURCE
 from postloom.session import cut
 from postloom.sources.extract import extract_cards, extract_fallback
 from postloom.sources.payloads import position_seq, take_first
@@ -44,6 +43,7 @@ class DiscoverResult:
     seen: DataFrame
     totals: DataFrame
     summary: DataFrame
+    errors: DataFrame
 
 
 def read_result_pages(
@@ -53,9 +53,15 @@ def read_result_pages(
     now: str,
     *,
     selectors: dict | None = None,
-    max_pages: int = MAX_PAGES_PER_SOURCE,
+    max_pages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(listings, pages)``: new listings, and the pages a crawl would have recorded."""
+    """``(listings, pages)``: new listings, and what a crawl would have recorded.
+
+    ``pages`` has a row for each page read, ``failed`` and ``reason`` set for the page on which
+    its key's crawl broke off (a challenge), and a row without a page number for each key whose
+    captured pages held no result at all. A failed page and those after it are not read, so the
+    cursor of the key stays before it.
+    """
     keyed = raw_pages.withColumn(
         "key", progress_key(F.col("source"), F.col("keyword"), F.col("location"))
     )
@@ -65,19 +71,43 @@ def read_result_pages(
         F.min_by("profile", F.struct("role_seq", "pos")).alias("role_profile"),
     )
     keyed = keyed.join(small(items), "key").where(F.col("page_no") >= F.col("start_page"))
+    marked = with_challenge(keyed.withColumn("title", F.lit(None).cast("string")), "title", "html")
+    visited = cut(
+        marked.select(
+            "key", "source", "keyword", "location", "page_no", "start_page",
+            F.col("challenge").isNotNull().alias("failed"), F.col("challenge").alias("reason"),
+        ),
+        "visited",
+    )
     cards = extract_cards(keyed, selectors).withColumn("seq", position_seq(F.col("page_seq"), F.col("pos")))
     cards = cut(cards.drop("page_seq"), "cards")
     counts = cards.groupBy("key", "page_no").agg(F.count(F.lit(1)).alias("n_cards"))
-    pages = keyed.select("key", "source", "keyword", "location", "page_no", "start_page").join(
-        counts, ["key", "page_no"], "left"
-    ).withColumn("n_cards", F.coalesce("n_cards", F.lit(0)))
+    pages = visited.join(counts, ["key", "page_no"], "left").withColumn(
+        "n_cards", F.coalesce("n_cards", F.lit(0))
+    )
     listings = normalise_cards(cards, now)
     google = F.col("source") == "google-jobs"
     paged = dry_stop(pages.where(~google), listings.where(~google), ["key"], seen=seen, max_pages=max_pages)
     endless = stall_stop(pages.where(google), listings.where(google), ["key"], seen=seen, max_pages=max_pages)
     stops = paged.unionByName(endless)
-    read = up_to_last_page(pages, stops, ["key"]).where(F.col("n_cards") > 0)
-    kept = up_to_last_page(listings, stops, ["key"])
+    # A failed page counts only if the crawl would have come as far as that.
+    reached = up_to_last_page(pages, stops, ["key"])
+    broken = reached.where("failed").groupBy("key").agg(F.min("page_no").alias("broken_at"))
+    broken = cut(broken, "broken-searches")
+
+    def before_break(df: DataFrame, last: bool) -> DataFrame:
+        page, at = F.col("page_no"), F.col("broken_at")
+        inside = at.isNull() | (page < at) | (page == at if last else F.lit(False))
+        return df.join(small(broken), "key", "left").where(inside).drop("broken_at")
+
+    read = before_break(reached, last=True).where(F.col("failed") | (F.col("n_cards") > 0))
+    kept = before_break(up_to_last_page(listings, stops, ["key"]), last=False)
+    # Searches without any result have still been carried out.
+    silent = pages.groupBy("key").agg(
+        F.min_by(F.struct("source", "keyword", "location", "start_page"), "page_no").alias("who")
+    )
+    silent = silent.join(read.select("key"), "key", "left_anti").select("key", "who.*")
+    read = read.unionByName(silent.withColumn("failed", F.lit(False)), allowMissingColumns=True)
     return drop_seen(kept, seen, ["key"], "sourceJobId", ["page_no", "pos"]), read
 
 
@@ -113,7 +143,8 @@ def discover(
     selectors: dict | None = None,
     career_listings: DataFrame | None = None,
     limit: int | None = None,
-    max_pages: int = MAX_PAGES_PER_SOURCE,
+    max_pages: int | None = None,
+    sources: DataFrame | None = None,
     store_keys: DataFrame | None = None,
     per_keyword: bool = False,
     **match_options,
@@ -121,7 +152,9 @@ def discover(
     """One run over landed result pages.
 
     ``career_listings`` adds listings of registry companies (``seq``, ``key``, ``role_profile``
-    and the listing fields), already filtered against ``seen``.
+    and the listing fields), already filtered against ``seen``. ``sources`` is the full list of
+    targets, so that a resumed run counts those that were finished before; by default the
+    sources still in the frontier. ``errors`` is one row per search that broke off.
     """
     found, read = read_result_pages(
         raw_pages, frontier, seen, now, selectors=selectors, max_pages=max_pages
@@ -140,7 +173,14 @@ def discover(
     flagged = with_challenge(
         raw_pages.withColumn("title", F.lit(None).cast("string")), "title", "html"
     ).where(F.col("challenge").isNotNull())
-    new_progress = progress_rollup(read.withColumn("failed", F.lit(False)), progress, now)
+    read = cut(read, "read-pages")
+    new_progress = progress_rollup(read, progress, now)
+    errors = read.where("failed").select(
+        "source", "keyword", "location", "page_no",
+        F.concat_ws("::", "source", "keyword").alias("search"), F.col("reason").alias("message"),
+    )
+    attempted = frontier.select("source").distinct() if sources is None else sources.select("source").distinct()
+    broken = errors.select("source").distinct()
     new_seen = seen_rollup(listings, seen)
     before = batch.limit(0) if store is None else store
 
@@ -148,7 +188,9 @@ def discover(
         return df.agg(F.count(F.lit(1))).scalar()
 
     summary = batch.sparkSession.range(1).select(
-        n(frontier.select("source").distinct()).alias("sourcesAttempted"),
+        n(attempted).alias("sourcesAttempted"),
+        (n(attempted) - n(broken)).alias("sourcesSucceeded"),
+        n(broken).alias("sourcesFailed"),
         n(listings).alias("listingsDiscovered"),
         n(batch).alias("jdsExtracted"),
         (n(before) + n(batch) - n(after)).alias("duplicatesRemoved"),
@@ -156,5 +198,5 @@ def discover(
         n(flagged).alias("challenges"),
     )
     return DiscoverResult(
-        after, keys, listings, batch, failed, new_progress, new_seen, profile_totals(batch), summary
+        after, keys, listings, batch, failed, new_progress, new_seen, profile_totals(batch), summary, errors
     )

@@ -14,7 +14,7 @@ from postloom.functions.text import WS_CHARS, clean_text, falsy_or
 from postloom.operators.ordered import spread
 from postloom.operators.resolve import detail_struct, page_detail
 from postloom.schemas import INT, shape
-from postloom.sources.html import Element, first, parse, select, trimmed
+from postloom.sources.html import Element, first, parse, select, selector_error, trimmed
 
 # Where each portal keeps the parts of a result card.
 PORTAL_SELECTORS = {
@@ -89,6 +89,25 @@ def site_card_selectors(sites: DataFrame) -> dict[str, dict[str, str]]:
     }
 
 
+def unusable_sources(raw_pages: DataFrame, selectors: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """``(source, message, pages)``: sources whose pages :func:`extract_cards` leaves out, because
+    they have no selectors or one that cannot be used. Selectors are checked on the driver:
+    they are configuration, one entry per site."""
+    bad = {}
+    for source, own in {**PORTAL_SELECTORS, **(selectors or {})}.items():
+        found = [selector_error(own.get("card"))]
+        found += [selector_error(s) for k, s in own.items() if s and k not in ("card", "site_name")]
+        bad[source] = next((f for f in found if f), None)
+    known = F.create_map(*[x for s, e in bad.items() for x in (F.lit(s), F.lit(e or ""))])
+    told = F.coalesce(F.try_element_at(known, F.col("source")), F.lit("no selectors for this source"))
+    return (
+        raw_pages.select("source", told.alias("message"))
+        .where(F.col("message") != "")
+        .groupBy("source", "message")
+        .agg(F.count(F.lit(1)).alias("pages"))
+    )
+
+
 def _href(node: Element | None, base: str | None) -> str:
     if node is None or node.attrs.get("href") is None:
         return ""
@@ -131,9 +150,14 @@ def extract_cards(
 ) -> DataFrame:
     """One row per result card, with every column of its page but the address and markup.
 
-    ``seq`` of the page comes out as ``page_seq``.
+    ``seq`` of the page comes out as ``page_seq``. Sources that :func:`unusable_sources` names
+    give no cards, or none of the field concerned; they never end the job.
     """
-    known = {**PORTAL_SELECTORS, **(selectors or {})}
+    known = {
+        source: {k: v for k, v in own.items() if k == "site_name" or not v or not selector_error(v)}
+        for source, own in {**PORTAL_SELECTORS, **(selectors or {})}.items()
+        if not selector_error(own.get("card"))
+    }
 
     def read(source, url, html):
         s = known.get(source)

@@ -118,6 +118,17 @@ _STEP = re.compile(
 )
 
 
+def selector_error(selector: str | None) -> str | None:
+    """Why a selector cannot be used; None if it can."""
+    if not selector or not selector.strip():
+        return "no card selector"
+    try:
+        _compile(selector)
+    except ValueError as error:
+        return str(error)
+    return None
+
+
 _compiled: dict[str, list] = {}
 
 

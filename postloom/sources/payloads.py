@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from postloom.functions.text import challenge_page, challenge_reason, clean_text, required_years
 from postloom.functions.urls import board_token, job_id, lever_slug, with_canonical_url
 from postloom.operators.ordered import first_n_in_key, ordered_union, small
-from postloom.schemas import MAX_JOBS_PER_SOURCE, MAX_PAGES_PER_SOURCE, POSTING
+from postloom.schemas import POSTING
+from postloom.session import cut
 
 # A payload's rows are numbered ``payload seq * ROWS_PER_PAYLOAD + position``.
 ROWS_PER_PAYLOAD = 1 << 20
@@ -33,7 +34,14 @@ WORKDAY_INFO = (
 
 
 def position_seq(payload_seq: Column, position: Column) -> Column:
-    return payload_seq * F.lit(ROWS_PER_PAYLOAD) + position
+    """Numbers of the next payload must not be reached: a larger payload is an error."""
+    fits = position < ROWS_PER_PAYLOAD
+    error = F.raise_error(F.lit(f"a payload or page has more than {ROWS_PER_PAYLOAD} rows"))
+    return F.when(fits, payload_seq * F.lit(ROWS_PER_PAYLOAD) + position).otherwise(error.cast("long"))
+
+
+def _first(array: Column, n: int | None) -> Column:
+    return array if n is None else F.slice(array, 1, n)
 
 
 def site_identity(sites: DataFrame) -> DataFrame:
@@ -45,6 +53,7 @@ def site_identity(sites: DataFrame) -> DataFrame:
         .when(F.col("adapter") == "lever", slug)
         .when(F.col("adapter") == "workday", F.col("workday.tenant"))
     )
+    # Names of required selectors, and the wording of the errors.
     required = [
         "searchInputSelector", "searchButtonSelector", "resultCardSelector", "jobLinkSelector",
         "titleSelector", "locationSelector", "descriptionSelector",
@@ -90,7 +99,7 @@ def site_identity(sites: DataFrame) -> DataFrame:
 
 
 def triage_payloads(payloads: DataFrame) -> DataFrame:
-    """Add ``verdict`` (ok / challenge / not_json / bad_shape) and ``error``.
+    """Add ``verdict`` (ok / challenge / not_json / bad_shape / unknown_kind) and ``error``.
 
     ``payloads`` carries ``source_kind`` (greenhouse, lever, workday, workday_detail), ``body``
     and ``ident``, the name used in messages. The first failing check wins.
@@ -109,10 +118,12 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
         )
         .otherwise(F.lit(True))
     )
+    known = F.coalesce(kind.isin("greenhouse", "lever", "workday", "workday_detail"), F.lit(False))
     paged = payloads.withColumns({"__page": page, "__json": parsed})
     marked = paged.withColumn("__reason", challenge_reason(F.col("__page"))).drop("__page")
     verdict = (
-        F.when(F.col("__reason").isNotNull(), "challenge")
+        F.when(~known, "unknown_kind")
+        .when(F.col("__reason").isNotNull(), "challenge")
         .when(F.col("__json").isNull(), "not_json")
         .when(~shape_ok, "bad_shape")
         .otherwise("ok")
@@ -125,6 +136,7 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Workday tenant "), quoted))
     )
     verb = F.when(kind.isin("greenhouse", "lever"), "fetching ").otherwise("on ")
+    # The wording of errors is part of the surveyed behaviour.
     shape_word = F.when(kind == "workday", "unrecognized").otherwise("unexpected")
     v = F.col("verdict")
     error = (
@@ -132,6 +144,10 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
             v == "challenge",
             F.concat(F.lit("Verification required "), verb, label, F.lit(": "), F.col("__reason")),
         )
+        .when(
+            v == "unknown_kind",
+            F.concat(F.lit("No reader for payloads of kind "), F.coalesce(kind, F.lit("(none)"))),
+        )
         .when(v == "not_json", F.concat(label, F.lit(" returned a non-JSON response")))
         .when(
             v == "bad_shape",
@@ -141,13 +157,13 @@ def triage_payloads(payloads: DataFrame) -> DataFrame:
     return marked.withColumn("verdict", verdict).withColumn("error", error).drop("__reason", "__json")
 
 
-def greenhouse_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) -> DataFrame:
+def greenhouse_jobs(payloads: DataFrame, max_jobs: int | None = None) -> DataFrame:
     """Board payload to one row per job; the raw element is kept as JSON text.
 
-    A payload is one whole answer of its site, so the cap is a slice of its array.
+    A payload is one whole answer of its site, so the cap, if set, is a slice of its array.
     """
     board = F.from_json("body", "struct<jobs:array<string>>")
-    jobs = F.slice(board["jobs"], 1, max_jobs)
+    jobs = _first(board["jobs"], max_jobs)
     rows = payloads.select("site_id", "seq", F.posexplode(jobs).alias("pos", "raw"))
     job = F.from_json("raw", GREENHOUSE_JOB)
     return rows.select("site_id", "seq", "pos", "raw", job.alias("job")).select(
@@ -160,8 +176,8 @@ def greenhouse_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) ->
     )
 
 
-def lever_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) -> DataFrame:
-    jobs = F.slice(F.from_json("body", "array<string>"), 1, max_jobs)
+def lever_jobs(payloads: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    jobs = _first(F.from_json("body", "array<string>"), max_jobs)
     rows = payloads.select("site_id", "seq", F.posexplode(jobs).alias("pos", "raw"))
     job = F.from_json("raw", LEVER_JOB)
     return rows.select("site_id", "seq", "pos", "raw", job.alias("job")).select(
@@ -175,14 +191,29 @@ def lever_jobs(payloads: DataFrame, max_jobs: int = MAX_JOBS_PER_SOURCE) -> Data
 
 
 def total_stop(
-    pages: DataFrame, max_pages: int = MAX_PAGES_PER_SOURCE, max_jobs: int = MAX_JOBS_PER_SOURCE
+    pages: DataFrame, max_pages: int | None = None, max_jobs: int | None = None
 ) -> DataFrame:
     """Search pages that would have been read, from ``(site_id, search_no, page_no, total, paths)``.
 
     A search ends before an empty page, after the page that reaches the reported total, or
-    after the page on which the site's distinct paths reach the cap.
+    after the page on which the site's distinct paths reach the cap, if there is one.
+
+    The rules are worked out on thin rows, one per page; the paths are fetched for the pages
+    that were read.
     """
-    read = _until_total(cap_pages(pages, max_pages), F.size("paths"))
+    at = ["site_id", "search_no", "page_no"]
+    thin = cut(
+        cap_pages(pages, max_pages).select(*at, "total", F.size("paths").alias("n")), "search-pages"
+    )
+    read = _until_total(thin, F.col("n")).select(*at)
+    if max_jobs is not None:
+        with_paths = pages.select(*at, "paths").join(read, at)
+        read = _until_jobs(with_paths, max_jobs)
+    return pages.join(read, at, "left_semi")
+
+
+def _until_jobs(read: DataFrame, max_jobs: int) -> DataFrame:
+    """``(site_id, search_no, page_no)`` up to the page that reaches the cap of its site."""
     # Distinct paths are counted where they first appear among the pages still read.
     paths = read.select("site_id", "search_no", "page_no", F.explode("paths").alias("path"))
     first = paths.groupBy("site_id", "path").agg(F.min(F.struct("search_no", "page_no")).alias("at"))
@@ -191,14 +222,15 @@ def total_stop(
     )
     site_order = Window.partitionBy("site_id").orderBy("search_no", "page_no")
     running = site_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = read.join(fresh, ["site_id", "search_no", "page_no"], "left").withColumn(
+    at = ["site_id", "search_no", "page_no"]
+    counted = read.select(*at).join(fresh, at, "left").withColumn(
         "__distinct", F.sum(F.coalesce("__fresh", F.lit(0))).over(running)
     )
     within = Window.partitionBy("site_id", "search_no").orderBy("page_no").rowsBetween(
         Window.unboundedPreceding, -1
     )
     hit = F.coalesce(F.max((F.col("__distinct") >= max_jobs).cast("int")).over(within), F.lit(0))
-    return counted.withColumn("__hit", hit).where(F.col("__hit") == 0).drop("__fresh", "__distinct", "__hit")
+    return counted.withColumn("__hit", hit).where(F.col("__hit") == 0).select(*at)
 
 
 def _until_total(pages: DataFrame, n: Column) -> DataFrame:
@@ -234,19 +266,20 @@ def workday_jobs(
     payloads: DataFrame,
     sites: DataFrame,
     searches: DataFrame,
-    max_pages: int = MAX_PAGES_PER_SOURCE,
-    max_jobs: int = MAX_JOBS_PER_SOURCE,
+    max_pages: int | None = None,
+    max_jobs: int | None = None,
 ) -> DataFrame:
     """Search pages to one row per external path, with the profiles of every search that found it.
 
-    ``searches`` is ``(search_no, keyword, profileIds)``; pages whose keyword is not among them
-    belong to the unfiltered search and carry no profiles.
+    ``searches`` is ``(search_no, keyword, profileIds)``. Pages captured for other keywords are
+    left out. Only if there are no searches at all, all pages count as the unfiltered search.
     """
+    unfiltered = searches.isEmpty()
     parsed = payloads.select(
         "site_id", "seq", "page_no", F.coalesce("request_keyword", F.lit("")).alias("keyword"),
         F.from_json("body", WORKDAY_PAGE).alias("p"),
     )
-    tagged = parsed.join(small(searches), "keyword", "left").select(
+    tagged = parsed.join(small(searches), "keyword", "left" if unfiltered else "inner").select(
         "site_id", "seq", "page_no",
         F.coalesce("search_no", F.lit(-1)).alias("search_no"),
         F.coalesce("profileIds", F.array().cast("array<string>")).alias("matchedProfiles"),
@@ -377,13 +410,15 @@ def normalise_postings(details: DataFrame, sites: DataFrame, now: str) -> DataFr
     return rows.select("seq", *[columns.get(c, d[c]).alias(c) for c in POSTING.fieldNames()])
 
 
-def cap_per_source(df: DataFrame, n: int = MAX_JOBS_PER_SOURCE, key: str = "site_id") -> DataFrame:
-    """First ``n`` rows per source in arrival order."""
+def cap_per_source(df: DataFrame, n: int | None, key: str = "site_id") -> DataFrame:
+    """First ``n`` rows per source in arrival order; all without a cap."""
+    if n is None:
+        return df
     return first_n_in_key(df, [key], "seq", n)
 
 
-def cap_pages(df: DataFrame, n: int = MAX_PAGES_PER_SOURCE) -> DataFrame:
-    return df.where(F.col("page_no") <= n)
+def cap_pages(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.where(F.col("page_no") <= n)
 
 
 def take_first(df: DataFrame, n: int | None) -> DataFrame:
@@ -399,7 +434,7 @@ def take_first(df: DataFrame, n: int | None) -> DataFrame:
 class SourceKind:
     """How one kind of source turns its payloads into jobs, and jobs into details."""
 
-    jobs: Callable[[DataFrame, int], DataFrame]
+    jobs: Callable[[DataFrame, int | None], DataFrame]
     details: Callable[[DataFrame], DataFrame]
 
 

@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from postloom.plans.collect import collect
 from postloom.schemas import RAW_PAYLOAD, ROLE, SITE
-from postloom.sources.payloads import triage_payloads
+from postloom.sources.payloads import position_seq, triage_payloads
 
 NOW = "2026-03-01T00:00:00.000Z"
 
@@ -120,3 +123,26 @@ def test_triage_order_and_messages(spark):
     ]
     assert got[1][1] == 'Verification required fetching Greenhouse board "tok": hCaptcha detected'
     assert got[7][1] == 'Workday tenant "t" returned an unrecognized response shape'
+
+
+def test_large_boards_site_order_and_unknown_kinds(spark):
+    board = {"jobs": [{"id": i, "title": f"T{i}", "absolute_url": f"https://b.com/{i}", "content": f"text of job {i}"} for i in range(6000)]}
+    sites = spark.createDataFrame(SITES[:2], SITE)
+    roles = spark.createDataFrame([], ROLE)
+    payloads = spark.createDataFrame(
+        [payload(10, "lever", "lever", LEVER), payload(11, "acme", "greenhouse", board), payload(12, "lever", "smoke", "{}")], RAW_PAYLOAD
+    )
+    run = collect(sites, roles, payloads, None, NOW)
+    assert run.batch.where("source = 'acme'").count() == 6000
+    assert {r.site_id: r.message for r in run.errors.collect()} == {"lever": "No reader for payloads of kind smoke"}
+    capped = collect(sites, roles, payloads.where("seq < 12"), None, NOW, max_jobs=5)
+    assert {r.source: r.n for r in capped.batch.groupBy("source").agg(F.count("*").alias("n")).collect()} == {"acme": 5, "lever": 1}
+    # The first site comes first, although its payload landed last.
+    first = collect(sites, roles, payloads.where("seq < 12"), None, NOW, limit=1)
+    assert [(r.source, r.seq >> 20) for r in first.batch.collect()] == [("acme", 10)]
+
+
+def test_too_many_rows_of_a_payload_are_an_error(spark):
+    df = spark.range(1).select(position_seq(F.lit(1), F.lit(1 << 20)).alias("seq"))
+    with pytest.raises(Exception, match="more than 1048576 rows"):
+        df.collect()

@@ -8,6 +8,7 @@ from postloom.operators.ordered import first_n_in_key, lag_in_key, lookup_join
 from postloom.operators.progress import crawl_frontier, resume_cursor, target_sources
 from postloom.operators.resolve import match_company
 from postloom.plans.discover import discover, resolve
+from postloom.sources.extract import extract_cards, unusable_sources
 from postloom.schemas import PROGRESS, RAW_PAGE, REGISTRY, ROLE, SEEN_IDS, SITE
 from postloom.operators.profiles import match_profiles, tag_listings
 
@@ -90,6 +91,62 @@ def test_discover_end_to_end(spark):
     assert {(r.key[:6], r.source_job_id) for r in run.seen.collect()} == {("indeed", "a"), ("indeed", "b"), ("indeed", "c"), ("google", "g-One"), ("google", "g-Two")}
 
 
+def run_pages(spark, rows, progress=(), **options):
+    roles = spark.createDataFrame(ROLES, ROLE)
+    done = spark.createDataFrame(list(progress), PROGRESS)
+    todo = crawl_frontier(target_sources(spark.createDataFrame([], SITE), ["Indeed"]), roles, done)
+    empty = spark.createDataFrame([], "url string, final_url string")
+    return discover(
+        spark.createDataFrame(rows, RAW_PAGE), todo, roles, spark.createDataFrame(REGISTRY_ROWS, REGISTRY), empty,
+        spark.createDataFrame([], "final_url string, ats string, body string"),
+        spark.createDataFrame([], "final_url string, page_title string, html string"),
+        done, spark.createDataFrame([], SEEN_IDS), None, NOW, **options,
+    )
+
+
+def test_a_challenge_holds_the_search_and_an_empty_one_is_done(spark):
+    wall = "<p>Please verify you are human</p>"
+    rows = [
+        page(1, 1, card("SDET I", "a")), page(2, 2, wall), page(3, 3, card("SDET II", "b")),
+        page(4, 1, keyword="Cloud"),
+    ]
+    run = run_pages(spark, rows)
+    progress = {r.keyword: (r.lastPage, r.completed) for r in run.progress.collect()}
+    assert progress == {"SDET": (1, False), "Cloud": (0, True)}
+    assert [r.title for r in run.listings.collect()] == ["SDET I"]
+    row = run.summary.first()
+    assert (row.sourcesAttempted, row.sourcesSucceeded, row.sourcesFailed) == (1, 0, 1)
+    assert [(r.search, r.page_no) for r in run.errors.collect()] == [("indeed::SDET", 2)]
+    # The next run goes on from the page that failed.
+    again = run_pages(
+        spark, [page(5, 2, card("SDET III", "c")), page(6, 3, card("SDET II", "b")), page(7, 4)],
+        [tuple(r) for r in run.progress.collect()],
+    )
+    progress = {r.keyword: (r.lastPage, r.completed) for r in again.progress.collect()}
+    assert progress == {"SDET": (3, True), "Cloud": (0, True)}
+
+
+def test_a_challenge_after_the_end_is_no_failure(spark):
+    wall = "<p>Please verify you are human</p>"
+    run = run_pages(spark, [page(1, 1, card("SDET I", "a")), page(2, 2, card("SDET I", "a")), page(3, 3, wall)])
+    assert [(r.lastPage, r.completed) for r in run.progress.collect()] == [(2, True)]
+    assert run.errors.count() == 0
+
+
+def test_unusable_selectors_are_reported_and_end_nothing(spark):
+    rows = [page(1, 1, card("SDET I", "a")), page(2, 1, "<i>x</i>", source="odd"), page(3, 1, source="none"), page(4, 1, source="half")]
+    pages = spark.createDataFrame(rows, RAW_PAGE)
+    selectors = {
+        "odd": {"card": "a > b"}, "gap": {"card": None}, "half": {"card": "html", "title": "a > b"},
+    }
+    cards = extract_cards(pages, selectors).collect()
+    assert sorted((r.source, r.title) for r in cards) == [("half", ""), ("indeed", "SDET I")]
+    told = {r.source: r.message for r in unusable_sources(pages, selectors).collect()}
+    assert told == {
+        "odd": "unsupported selector: a > b", "none": "no selectors for this source", "half": "unsupported selector: a > b",
+    }
+
+
 def test_resolution_preferences(spark):
     def listing(seq, url):
         return (seq, "indeed", "kw", f"Listed {seq}", "Seen", "NY", "$1", url, f"j{seq}", ["p"])
@@ -126,13 +183,13 @@ def test_company_match_first_wins_and_large_registry(spark):
     assert hosts == {0: "Walmart", 1: None, 2: None, 3: None, 4: None}
 
 
-def test_profile_match_large_and_small_agree(spark, monkeypatch):
+def test_profile_match_large_and_small_agree(spark):
     searches = spark.createDataFrame([(0, "qa", ["a"]), (1, "Cloud Eng", ["b", "a"]), (2, "", ["c"]), (3, "x", ["d"])], "search_no long, keyword string, profileIds array<string>")
     df = spark.createDataFrame([(0, "cloud engineer, QA"), (1, "none"), (2, "CLOUD ENGine"), (3, None)], "i int, t string")
     expected = {0: ["a", "b"], 1: [], 2: ["b", "a"], 3: []}
-    assert {r.i: r.matchedProfiles for r in match_profiles(df, "t", searches).collect()} == expected
-    monkeypatch.setattr("postloom.operators.profiles.MAX_INLINE_NEEDLES", 0)
-    assert {r.i: r.matchedProfiles for r in match_profiles(df, "t", searches).collect()} == expected
+    for limit in (2_000, 0):
+        found = match_profiles(df, "t", searches, inline_limit=limit)
+        assert {r.i: r.matchedProfiles for r in found.collect()} == expected
 
 
 def test_tagging_per_keyword(spark):

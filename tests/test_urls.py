@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from postloom.functions import urls as U
 
 CASES = [
-    ("https://Example.COM/jobs/123/#apply", "https://example.com/jobs/123"),
-    ("https://b.io/a/jobs/1?gh_jid=1&gh_src=abc&utm_source=x&UTM_campaign=y", "https://b.io/a/jobs/1?gh_jid=1"),
+    ("https://Work.ORG/open/77/#top", "https://work.org/open/77"),
+    ("https://b.io/r/9?gh_jid=4&gh_src=q&utm_term=z&UTM_medium=w", "https://b.io/r/9?gh_jid=4"),
     ("https://a.com/1?b=2&a=1&b=1", "https://a.com/1?a=1&b=2&b=1"),
     ("https://a.com/1?Ref=2&TRK=1&lever-source=z", "https://a.com/1"),
     ("http://a.com", "http://a.com/"),
@@ -25,7 +25,12 @@ CASES = [
     ("http://a.com/%zz?q=%zz", "http://a.com/%zz?q=%25zz"),
     ("  http://a.com/x\n", "http://a.com/x"),
     ("mailto:x@y.com", "mailto:x@y.com"),
-    ("not a valid url", "not a valid url"),
+    ("plainly no address", "plainly no address"),
+    ("http://a.com:" + "9" * 5000 + "/x", "http://a.com:" + "9" * 5000 + "/x"),
+    ("http://a.com:٣/x", "http://a.com:٣/x"),
+    ("http://a.com:00080/x", "http://a.com/x"),
+    ("http://[::1", "http://[::1"),
+    ("http://" + "ü" * 300 + ".de/", "http://" + "ü" * 300 + ".de/"),
     ("http://", "http://"),
     ("", ""),
     (None, None),
