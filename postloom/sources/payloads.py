@@ -309,12 +309,14 @@ def greenhouse_details(jobs: DataFrame) -> DataFrame:
     """Adds ``detail``. ``jobs`` has ``externalId``, ``url`` and ``raw``."""
     job = F.from_json("raw", GREENHOUSE_JOB)
     j = F.col("__job")
-    return jobs.withColumn("__job", job).withColumn(
+    # The cleaned text is a column of its own, so that later uses of it do not repeat the work.
+    read = jobs.withColumn("__job", job).withColumn("__text", clean_text(F.coalesce(j["content"], F.lit(""))))
+    return read.withColumn(
         "detail",
         F.struct(
             F.col("externalId"),
             j["title"].alias("title"),
-            clean_text(F.coalesce(j["content"], F.lit(""))).alias("descriptionText"),
+            F.col("__text").alias("descriptionText"),
             j["content"].alias("descriptionHtml"),
             j["location"]["name"].alias("location"),
             F.try_element_at(j["departments"], F.lit(1))["name"].alias("department"),
@@ -326,7 +328,7 @@ def greenhouse_details(jobs: DataFrame) -> DataFrame:
             F.col("url").alias("applyUrl"),
             F.col("raw").alias("rawMetadata"),
         ),
-    ).drop("__job")
+    ).drop("__job", "__text")
 
 
 def iso_millis(millis: Column) -> Column:
@@ -339,12 +341,13 @@ def iso_millis(millis: Column) -> Column:
 def lever_details(jobs: DataFrame) -> DataFrame:
     job = F.from_json("raw", LEVER_JOB)
     j = F.col("__job")
-    return jobs.withColumn("__job", job).withColumn(
+    text = clean_text(F.coalesce(j["descriptionPlain"], j["description"], F.lit("")))
+    return jobs.withColumn("__job", job).withColumn("__text", text).withColumn(
         "detail",
         F.struct(
             F.col("externalId"),
             j["text"].alias("title"),
-            clean_text(F.coalesce(j["descriptionPlain"], j["description"], F.lit(""))).alias("descriptionText"),
+            F.col("__text").alias("descriptionText"),
             j["description"].alias("descriptionHtml"),
             j["categories"]["location"].alias("location"),
             F.coalesce(j["categories"]["team"], j["categories"]["department"]).alias("department"),
@@ -356,7 +359,7 @@ def lever_details(jobs: DataFrame) -> DataFrame:
             j["applyUrl"].alias("applyUrl"),
             F.col("raw").alias("rawMetadata"),
         ),
-    ).drop("__job")
+    ).drop("__job", "__text")
 
 
 def workday_details(jobs: DataFrame) -> DataFrame:
@@ -364,12 +367,12 @@ def workday_details(jobs: DataFrame) -> DataFrame:
     info = F.from_json(F.get_json_object("body", "$.jobPostingInfo"), WORKDAY_INFO)
     i = F.col("__info")
     html = F.coalesce(i["jobDescription"], F.lit(""))
-    return jobs.withColumn("__info", info).withColumn(
+    return jobs.withColumn("__info", info).withColumn("__text", clean_text(html)).withColumn(
         "detail",
         F.struct(
             F.col("externalId"),
             F.coalesce(i["title"], F.col("title")).alias("title"),
-            clean_text(html).alias("descriptionText"),
+            F.col("__text").alias("descriptionText"),
             F.nullif(html, F.lit("")).alias("descriptionHtml"),
             i["location"].alias("location"),
             F.lit(None).cast("string").alias("department"),
@@ -381,7 +384,7 @@ def workday_details(jobs: DataFrame) -> DataFrame:
             F.col("url").alias("applyUrl"),
             F.coalesce(F.get_json_object("body", "$.jobPostingInfo"), F.lit("{}")).alias("rawMetadata"),
         ),
-    ).drop("__info", "body")
+    ).drop("__info", "__text", "body")
 
 
 def normalise_postings(details: DataFrame, sites: DataFrame, now: str) -> DataFrame:
