@@ -2,14 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from postloom.catalog.base import NOW, query, sql_canonical, sql_fingerprint, sql_generic, sql_norm, table
+from postloom.catalog.base import NOW, SQL, query, sql_canonical, sql_fingerprint, sql_generic, sql_norm, table
 from postloom.catalog.keys import TITLE_SQL, _titles
 from postloom.operators.merge import (
     dedup_by_identity, dedup_by_requisition, dedup_by_text, dedup_by_url, link_components,
     merge_postings, tier_keys, tier_links,
 )
 from postloom.session import cut
-from postloom.sources.store import publish_postings, read_postings
+from postloom.sources.store import publish_postings, publish_ranges, read_postings, read_published, split_points
+from postloom.streaming.intake import merge_version
 from postloom.session import scratch_root
 
 
@@ -200,3 +201,19 @@ def published_store(spark, sf_dir):
     publish_postings(postings(spark, sf_dir).drop("is_batch"), root, fmt="json")
     good, _ = read_postings(spark, root)
     return good.select("seq", "id", "location", F.length("descriptionText").cast("long").alias("chars"))
+
+
+@query(SQL["tiered_merge"])
+def store_two_versions(spark, sf_dir):
+    """The tiered merge through a ranged store: of the second version only changed ranges are written."""
+    import uuid
+
+    store, batch = split_postings(spark, sf_dir)
+    root = f"{scratch_root(spark)}/store-{uuid.uuid4().hex}"
+    publish_ranges(store.join(tier_keys(store), "seq"), root, 1, split_points(store.select("seq"), 100))
+    merge_version(batch, root, 2, NOW, rows_per_range=100)
+    return read_published(spark, root).select(
+        "seq", "id", "discoveredAt", "lastSeenAt", "title", "requisitionId",
+        F.regexp_extract("applyUrl", r"([^/]*)$", 1).alias("page"),
+        F.array_join("discoveredFrom", ",").alias("origins"), F.array_join("matchedProfiles", ",").alias("profiles"),
+    )

@@ -219,16 +219,14 @@ def capture_urls(spark, sf_dir):
 
 @query(f"""with {PROGRESS_SQL}, run as (select lower(s_name) || '::' || lower(p_name) || '::united states' as key,
       max(case when l_linenumber < 7 then l_linenumber end) as page, bool_and(l_linenumber < 7) as done, min(s_name) as source
-      from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey
-      where l_returnflag = 'A' group by 1)
+      from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1)
     select key, coalesce(p.source, r.source) as source, coalesce(r.page, p.last_page, 0) as "lastPage",
       coalesce(r.done, p.completed) as completed, case when r.key is null then '2025-01-01' else '2025-06-01T00:00:00.000Z' end as "lastUpdated"
     from progress p full join run r using (key)""")
 def progress_update(spark, sf_dir):
     lines, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     pages = (
-        lines.where(F.col("l_returnflag") == "A")
-        .join(part, F.col("p_partkey") == F.col("l_partkey"))
+        lines.join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .select(
             progress_key(F.col("s_name"), F.col("p_name"), F.lit("United States")).alias("key"),

@@ -350,10 +350,10 @@ def merge_with_keys(
     slots = assign_slots(store_keys, batch_keys, blocks, rows_per_range)
     merged = merge_slots(stack_batches(store, batch), slots, now)
     all_keys = batch_keys if store_keys is None else store_keys.unionByName(batch_keys)
-    return merged, _merged_keys(all_keys, slots)
+    return merged, merged_keys(all_keys, slots)
 
 
-def _merged_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
+def merged_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
     """Keys of the merged store: those of the last row of each slot."""
     members = slots.unionByName(slots.select(F.col("slot").alias("seq"), "slot").distinct())
     last = slots.groupBy("slot").agg(F.max("seq").alias("last_seq"))

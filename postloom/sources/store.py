@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BinaryType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from postloom.schemas import (
     LISTING,
@@ -142,6 +152,9 @@ def read_published(spark: SparkSession, root: str, version: int | None = None) -
     version = current_version(spark, root) if version is None else version
     if version is None:
         return spark.createDataFrame([], STORED_POSTING)
+    ranges = read_ranges(spark, root, version)
+    if ranges is not None:
+        return load_ranges(spark, root, ranges).select(*STORED_POSTING.fieldNames())
     reader = spark.read.schema(STORED_POSTING)
     return reader.format(_format(spark, root)).load(f"{root}/v={version}/postings")
 
@@ -149,6 +162,9 @@ def read_published(spark: SparkSession, root: str, version: int | None = None) -
 def read_keys(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
     """Key table published with a version, if it was."""
     version = current_version(spark, root) if version is None else version
+    ranges = None if version is None else read_ranges(spark, root, version)
+    if ranges is not None:
+        return load_ranges(spark, root, ranges).select("seq", *KEY_COLUMNS)
     path = f"{root}/v={version}/keys"
     return spark.read.parquet(path) if version is not None and path_exists(spark, path) else None
 
@@ -184,6 +200,92 @@ def publish_postings(
     return version
 
 
+# --- ranged store ----------------------------------------------------------------------
+#
+# A version is a list of ranges of ``seq``, each a folder of Parquet files that may belong to an
+# earlier version. A merge writes the ranges it changes and points at the others. Match keys are
+# stored beside the postings, as columns of the same files.
+
+RANGES = "ranges.json"
+ROWS_PER_RANGE = 1_000_000
+KEY_COLUMNS = ["k1", "k2", "k3", "k4"]
+RANGED_POSTING = StructType(
+    [*STORED_POSTING.fields, *[StructField(k, BinaryType()) for k in KEY_COLUMNS]]
+)
+
+
+def read_ranges(spark: SparkSession, root: str, version: int) -> list[dict] | None:
+    """``lo, rows, version, range`` of each range in order; None if the version is not ranged."""
+    path = f"{root}/v={version}/{RANGES}"
+    return json.loads(_read_small(spark, path)) if path_exists(spark, path) else None
+
+
+def load_ranges(spark: SparkSession, root: str, ranges: list[dict]) -> DataFrame:
+    """Postings and keys of the given ranges."""
+    if not ranges:
+        return spark.createDataFrame([], RANGED_POSTING)
+    paths = [f"{root}/v={r['version']}/ranges/range={r['range']}" for r in ranges]
+    return spark.read.schema(RANGED_POSTING).parquet(*paths)
+
+
+def range_index(seq: Column, bounds: list[int]) -> Column:
+    """Index of the last bound at or below ``seq``; -1 below all of them."""
+    starts = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def find(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, values.to_numpy(), side="right") - 1)
+
+    return find(seq)
+
+
+def split_points(seqs: DataFrame, rows_per_range: int) -> list[int]:
+    """Lower bounds that cut ``seqs`` into ranges of about ``rows_per_range`` rows."""
+    low, rows = seqs.agg(F.min("seq"), F.count(F.lit(1))).first()
+    if not rows:
+        return []
+    parts = math.ceil(rows / rows_per_range)
+    inner = seqs.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    return sorted({int(low), *(int(x) for x in inner)})
+
+
+def publish_ranges(
+    rows: DataFrame, root: str, version: int, bounds: list[int], untouched: list[dict] | None = None
+) -> None:
+    """Write ``rows`` (postings with keys) as ranges that start at ``bounds``, and make a version
+    of them and the ``untouched`` ranges. Writing the same version again replaces it."""
+    spark = rows.sparkSession
+    target = f"{root}/v={version}/ranges"
+    placed = rows.select(*RANGED_POSTING.fieldNames()).withColumn("range", range_index(F.col("seq"), bounds))
+    placed.write.mode("overwrite").partitionBy("range").parquet(target)
+    schema = StructType([RANGED_POSTING["seq"], StructField("range", IntegerType())])
+    found = spark.read.schema(schema).parquet(target).groupBy("range")
+    written = [
+        {"lo": r["lo"], "rows": r["n"], "version": version, "range": r["range"]}
+        for r in found.agg(F.min("seq").alias("lo"), F.count(F.lit(1)).alias("n")).collect()
+    ]
+    ranges = sorted([*(untouched or []), *written], key=lambda r: r["lo"])
+    _rename_into_place(spark, f"{root}/v={version}/{RANGES}", json.dumps(ranges))
+    _rename_into_place(spark, f"{root}/{POINTER}", json.dumps({"version": version, "format": "parquet"}))
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete versions that neither belong to the newest ``keep`` nor hold a range of theirs."""
+    newest = current_version(spark, root)
+    if newest is None:
+        return []
+    used = set(range(newest - keep + 1, newest + 1))
+    for version in list(used):
+        used |= {r["version"] for r in read_ranges(spark, root, version) or []} if version > 0 else set()
+    dropped = []
+    for version in range(1, newest):
+        fs, target = _fs(spark, f"{root}/v={version}")
+        if version not in used and fs.exists(target):
+            fs.delete(target, True)
+            dropped.append(version)
+    return dropped
+
+
 # --- registry and progress -------------------------------------------------------------
 
 

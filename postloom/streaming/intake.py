@@ -9,10 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from postloom.operators.merge import merge_with_keys
-from postloom.schemas import STORED_LISTING
+from postloom.operators.merge import (
+    assign_slots,
+    merge_slots,
+    merge_with_keys,
+    merged_keys,
+    stack_batches,
+    tier_keys,
+)
+from postloom.schemas import STORED_LISTING, STORED_POSTING
 from postloom.session import cut
-from postloom.sources.store import current_version, publish_postings, read_keys, read_published
+from postloom.sources.store import (
+    KEY_COLUMNS,
+    ROWS_PER_RANGE,
+    load_ranges,
+    publish_ranges,
+    range_index,
+    read_published,
+    read_ranges,
+    split_points,
+)
 
 
 def listing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -47,19 +63,51 @@ def stream_drop_seen(
 
 
 def merge_version(
-    batch: DataFrame, root: str, version: int, now: str, blocks: int | None = None
-) -> None:
-    """Write version ``version`` from version ``version - 1`` and the batch.
-
-    The result depends only on those two, so running it again after a failure writes the same
-    version and never merges a batch twice.
+    batch: DataFrame,
+    root: str,
+    version: int,
+    now: str,
+    blocks: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> int:
+    """Write version ``version`` from version ``version - 1`` and the batch; returns how many
+    ranges of the store were written.
+
+    Matching reads the keys of the whole store, which are narrow. Only ranges that hold a
+    replaced posting are then read and written again; new postings fill up the last range or
+    start new ones. The result depends only on the two inputs, so running it again after a
+    failure writes the same version and never merges a batch twice.
     """
     spark = batch.sparkSession
-    has_prior = version > 1
-    store = read_published(spark, root, version - 1) if has_prior else None
-    keys = read_keys(spark, root, version - 1) if has_prior else None
-    merged, new_keys = merge_with_keys(store, batch, now, store_keys=keys, blocks=blocks)
-    publish_postings(merged, root, keys=new_keys, version=version)
+    prior = read_ranges(spark, root, version - 1) if version > 1 else []
+    batch_keys = cut(tier_keys(batch), "batch-keys")
+    if prior is None:  # a store published whole: from now on it has ranges
+        old = read_published(spark, root, version - 1)
+        rows, keys = merge_with_keys(old, batch, now, blocks=blocks)
+        rows = cut(rows, "merged")
+        bounds = split_points(rows.select("seq"), rows_per_range)
+        publish_ranges(rows.join(keys, "seq"), root, version, bounds)
+        return len(bounds)
+    store_keys = load_ranges(spark, root, prior).select("seq", *KEY_COLUMNS) if prior else None
+    slots = cut(assign_slots(store_keys, batch_keys, blocks), "slots")
+    starts = [r["lo"] for r in prior]
+    seqs = batch_keys.select("seq")
+    first_new = seqs.agg(F.min("seq")).first()[0]
+    old = slots.where(F.col("slot") < F.lit(first_new)) if first_new is not None else slots
+    hit = {r["i"] for r in old.select(range_index(F.col("slot"), starts).alias("i")).distinct().collect()} if prior else set()
+    fresh = split_points(seqs, rows_per_range)
+    if prior and prior[-1]["rows"] < rows_per_range:
+        hit.add(len(prior) - 1)  # the last range is not full yet: the first new rows go there
+        fresh = fresh[1:]
+    touched = [r for i, r in enumerate(prior) if i in hit]
+    part = cut(load_ranges(spark, root, touched), "touched") if touched else None
+    store = None if part is None else part.select(*STORED_POSTING.fieldNames())
+    rows = merge_slots(stack_batches(store, batch), slots, now)
+    keys = batch_keys if part is None else part.select("seq", *KEY_COLUMNS).unionByName(batch_keys)
+    whole = rows.join(merged_keys(keys, slots), "seq")
+    bounds = [*[r["lo"] for r in touched], *fresh]
+    publish_ranges(whole, root, version, bounds, [r for i, r in enumerate(prior) if i not in hit])
+    return len(bounds)
 
 
 def stream_merge(
@@ -83,6 +131,3 @@ def stream_merge(
     writer = listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-
-def store_version(spark: SparkSession, root: str) -> int | None:
-    return current_version(spark, root)

@@ -6,7 +6,8 @@ import os
 from postloom.operators.merge import merge_postings
 from postloom.schemas import LISTING, PROGRESS, SEEN_IDS, STORED_LISTING, STORED_POSTING
 from postloom.sources.store import (
-    append_listings, current_version, publish_postings, read_listings, read_postings, read_progress, read_published, read_registry, write_progress,
+    append_listings, current_version, drop_old_versions, publish_postings, read_keys, read_listings, read_postings, read_progress,
+    read_published, read_ranges, read_registry, write_progress,
 )
 from postloom.streaming.intake import listing_stream, merge_version, split_stream, stream_drop_seen, stream_merge
 
@@ -129,3 +130,35 @@ def test_stream_merge_equals_merging_batches_in_turn(spark, folder):
     merge_version(postings(replay), f"{folder}/store", 2, "t1")
     assert current_version(spark, f"{folder}/store") == 2
     assert sorted((r.seq, r.id, r.title, r.discoveredAt, r.lastSeenAt) for r in read_published(spark, f"{folder}/store").collect()) == want
+
+
+def test_a_small_batch_rewrites_only_the_ranges_it_changes(spark, folder):
+    root = f"{folder}/ranged"
+    first = spark.createDataFrame([posting(i, f"https://a.com/{i}") for i in range(100)], STORED_POSTING)
+    assert merge_version(first, root, 1, "t0", rows_per_range=10) >= 9
+    before = read_ranges(spark, root, 1)
+    # One known and one new posting: the range of the known one, and the last or a new one.
+    batch = spark.createDataFrame([posting(200, "https://a.com/33"), posting(201, "https://b.com/")], STORED_POSTING)
+    assert merge_version(batch, root, 2, "t1", rows_per_range=10) <= 3
+    after = read_ranges(spark, root, 2)
+    kept = [r for r in after if r["version"] == 1]
+    assert len(kept) >= len(before) - 2 and all(r in before for r in kept)
+    whole = merge_postings(merge_postings(None, first, "t0"), batch, "t1")
+    rows = lambda df: sorted((r.seq, r.id, r.canonicalUrl, r.discoveredAt, r.lastSeenAt) for r in df.collect())
+    assert rows(read_published(spark, root)) == rows(whole)
+    assert {r.seq for r in read_keys(spark, root).collect()} == {r[0] for r in rows(whole)}
+    # Running it again writes the same version; a version that is still in use is not dropped.
+    merge_version(batch, root, 2, "t1", rows_per_range=10)
+    assert rows(read_published(spark, root)) == rows(whole)
+    assert drop_old_versions(spark, root, keep=1) == []
+    merge_version(batch.limit(0), root, 3, "t2", rows_per_range=10)
+    assert rows(read_published(spark, root)) == rows(whole)
+
+
+def test_a_store_published_whole_gets_ranges(spark, folder):
+    root = f"{folder}/plain"
+    first = spark.createDataFrame([posting(i, f"https://a.com/{i}") for i in range(30)], STORED_POSTING)
+    publish_postings(first, root)
+    merge_version(spark.createDataFrame([posting(99, "https://a.com/7")], STORED_POSTING), root, 2, "t1", rows_per_range=10)
+    assert len(read_ranges(spark, root, 2)) >= 2 and read_published(spark, root).count() == 30
+    assert drop_old_versions(spark, root, keep=1) == [1] and read_published(spark, root).count() == 30
