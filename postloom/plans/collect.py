@@ -11,6 +11,8 @@ from postloom.operators.merge import merge_with_keys
 from postloom.operators.ordered import number_rows, small
 from postloom.operators.profiles import match_profiles, profile_totals, role_searches
 from postloom.operators.summary import run_summary, site_errors
+from postloom.plans.generic import generic_jobs as read_generic
+from postloom.plans.generic import selector_errors
 from postloom.session import cut
 from postloom.sources.payloads import (
     BOARD_KINDS,
@@ -46,6 +48,8 @@ def collect(
     limit: int | None = None,
     store_keys: DataFrame | None = None,
     generic_jobs: DataFrame | None = None,
+    generic_pages: DataFrame | None = None,
+    generic_details: DataFrame | None = None,
     max_pages: int | None = None,
     max_jobs: int | None = None,
 ) -> RunResult:
@@ -55,8 +59,9 @@ def collect(
     payload; so the run limit takes the first sites first. ``max_pages`` and ``max_jobs`` are
     settings: without them nothing is left out.
 
-    ``generic_jobs`` holds already extracted pages of generic sites: ``site_id, seq, url,
-    matchedProfiles, detail``.
+    ``generic_pages`` and ``generic_details`` are captured result and job pages of generic sites
+    (see :func:`postloom.plans.generic.generic_jobs`); ``generic_jobs`` holds already extracted
+    ones: ``site_id, seq, url, matchedProfiles, detail``.
     """
     wanted = sites.where("enabled")
     if site_ids is not None:
@@ -71,7 +76,10 @@ def collect(
         triage_payloads(mine).select("site_id", "seq", "source_kind", "request_keyword", "verdict", "error"),
         "verdicts",
     )
-    errors = cut(_without_generic_silence(site_errors(wanted, verdicts), wanted), "site-errors")
+    errors = _without_generic_silence(site_errors(wanted, verdicts), wanted)
+    told = errors.select("site_id")
+    errors = errors.unionByName(selector_errors(wanted).join(told, "site_id", "left_anti"))
+    errors = cut(errors, "site-errors")
     bad = verdicts.where(F.col("verdict") != "ok")
     stopped = errors.where("list_failed").select("site_id")
     ok = mine.join(bad.select("seq"), "seq", "left_anti").join(small(stopped), "site_id", "left_anti")
@@ -96,6 +104,10 @@ def collect(
         .join(answers, ["site_id", "externalId"], "left")
     )
     parts.append(workday_details(kept).select("site_id", "seq", "matchedProfiles", "detail"))
+    if generic_pages is not None and generic_details is not None:
+        able = wanted.join(small(stopped.withColumnRenamed("site_id", "id")), "id", "left_anti")
+        found_pages = read_generic(generic_pages, generic_details, able, searches, max_pages, max_jobs)
+        parts.append(cut(found_pages.select("site_id", "seq", "matchedProfiles", "detail"), "generic-jobs"))
     if generic_jobs is not None:
         ids = wanted.select(F.col("id").alias("site_id"))
         rows = generic_jobs.join(small(ids), "site_id")

@@ -8,12 +8,12 @@ from urllib.parse import quote, urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from postloom.functions.text import WS_CHARS, clean_text, falsy_or
 from postloom.operators.ordered import spread
 from postloom.operators.resolve import detail_struct, page_detail
-from postloom.schemas import INT, shape
+from postloom.schemas import FLAG, INT, shape
 from postloom.sources.html import Element, first, parse, select, selector_error, trimmed
 
 # Where each portal keeps the parts of a result card.
@@ -122,7 +122,7 @@ def _map_pages(
     pages: DataFrame, columns: list[str], read: Callable[..., Iterator[tuple]], added: str, keep: list[str]
 ) -> DataFrame:
     """Run ``read(*values)`` on each page and add its tuples to the page's ``keep`` columns."""
-    new = shape(added, pos=INT)
+    new = shape(added, pos=INT, has_next=FLAG)
     names = new.fieldNames()
     schema = StructType([*[pages.schema[c] for c in keep], *new.fields])
 
@@ -189,6 +189,34 @@ def extract_links(raw_pages: DataFrame, selector: str) -> DataFrame:
     return _map_pages(pages, ["page_url", "html"], read, "pos url", ["page_seq"])
 
 
+@F.pandas_udf(StringType())
+def selector_fault(selectors: pd.Series) -> pd.Series:
+    """What is wrong with a selector; null for usable and for missing ones."""
+    return selectors.map(lambda s: selector_error(s) if s else None)
+
+
+def extract_site_links(pages: DataFrame) -> DataFrame:
+    """Links of pages that carry their site's ``jobLinkSelector`` and ``advanceSelector``.
+
+    For each page one row with ``pos`` -1 and ``has_next``, and one for each non-empty link; all
+    with the page's columns but address and markup. Pages whose selector cannot be used have no
+    links.
+    """
+
+    def read(base, html, selector, advance):
+        root = parse(html)
+        usable = bool(advance) and not selector_error(advance)
+        yield -1, "", usable and first(root, advance) is not None
+        if not selector_error(selector):
+            links = (_href(n, base) for n in select(root, selector))
+            yield from ((i, x, False) for i, x in enumerate(x for x in links if x))
+
+    renamed = pages.withColumnRenamed("url", "page_url")
+    dropped = ("page_url", "html", "jobLinkSelector", "advanceSelector")
+    keep = [c for c in renamed.columns if c not in dropped]
+    return _map_pages(renamed, list(dropped), read, "pos url has_next", keep)
+
+
 def extract_details(detail_pages: DataFrame) -> DataFrame:
     """Add ``detail`` to pages of sites with selectors.
 

@@ -232,7 +232,7 @@ def range_index(seq: Column, bounds: list[int]) -> Column:
     """Index of the last bound at or below ``seq``; -1 below all of them."""
     starts = np.array(bounds, dtype=np.int64)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def find(values: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, values.to_numpy(), side="right") - 1)
 

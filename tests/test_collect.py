@@ -146,3 +146,39 @@ def test_too_many_rows_of_a_payload_are_an_error(spark):
     df = spark.range(1).select(position_seq(F.lit(1), F.lit(1 << 20)).alias("seq"))
     with pytest.raises(Exception, match="more than 1048576 rows"):
         df.collect()
+
+
+def test_generic_sites_from_captured_pages(spark):
+    block = dict(
+        searchInputSelector="#q", searchButtonSelector="#go", resultCardSelector=".card", jobLinkSelector="a.job", nextButtonSelector=".next",
+        titleSelector="h1", locationSelector=".place", descriptionSelector=".text",
+    )
+    sites = [site(0, "own", "generic", generic=block), site(1, "odd", "generic", generic={**block, "descriptionSelector": "a > b"})]
+    roles = [(0, "r0", "sdet", ["SDET"]), (1, "r1", "cloud", ["Cloud"])]
+    links = lambda *names: "".join(f"<a class='job' href='/j/{n}'>x</a>" for n in names)
+    more = "<a class='next'>more</a>"
+    pages = [
+        (100, "own", "SDET", 1, "https://own.com/s", links("a", "b") + more),
+        (101, "own", "SDET", 2, "https://own.com/s", links("b") + more),  # adds nothing: the last one read
+        (102, "own", "SDET", 3, "https://own.com/s", links("never") + more),
+        (103, "own", "Cloud", 1, "https://own.com/s", links("b", "c")),
+        (104, "own", "Cloud", 2, "https://own.com/s", links("late")),  # nothing led here
+        (105, "own", "Other", 1, "https://own.com/s", links("other")),
+        (106, "odd", "SDET", 1, "https://odd.com/s", links("z")),
+    ]
+    detail = "<h1> Role {0} </h1><p class='place'>Rome</p><div class='text'><b>Needs</b> 4 years of {0}</div>"
+    details = [(f"https://own.com/j/{n}", detail.format(n)) for n in ("a", "b", "never", "late", "other")]
+    run = collect(
+        spark.createDataFrame(sites, SITE), spark.createDataFrame(roles, ROLE), spark.createDataFrame([], RAW_PAYLOAD), None, NOW,
+        generic_pages=spark.createDataFrame(pages, "seq long, site_id string, keyword string, page_no int, url string, html string"),
+        generic_details=spark.createDataFrame(details, "url string, html string"),
+    )
+    rows = {r.canonicalUrl: r for r in run.store.collect()}
+    assert sorted(rows) == ["https://own.com/j/a", "https://own.com/j/b"]
+    b = rows["https://own.com/j/b"]
+    assert (b.title, b.location, b.requiredYears, b.sourceType, b.company) == ("Role b", "Rome", 4, "generic", "Own")
+    assert b.matchedProfiles == ["sdet", "cloud"] and rows["https://own.com/j/a"].matchedProfiles == ["sdet"]
+    errors = {r.site_id: r.message for r in run.errors.collect()}
+    assert errors == {"odd": 'Site "odd" has a selector that cannot be used: unsupported selector: a > b'}
+    s = run.summary.first()
+    assert (s.sitesAttempted, s.sitesSucceeded, s.sitesFailed) == (2, 1, 1)
