@@ -34,6 +34,11 @@ HEADLINE = [
     "page_cards",
     "resolved_postings",
     "tiered_merge",
+    "published_store",
+    "components",
+    "progress_update",
+    "frontier",
+    "store_two_versions",
 ]
 
 

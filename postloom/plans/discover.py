@@ -151,8 +151,8 @@ def discover(
 ) -> DiscoverResult:
     """One run over landed result pages.
 
-    ``career_listings`` adds listings of registry companies (``seq``, ``key``, ``role_profile``
-    and the listing fields), already filtered against ``seen``. ``sources`` is the full list of
+    ``career_listings`` adds listings of registry companies, as
+    :func:`postloom.plans.companies.company_listings` makes them, already filtered against ``seen``. ``sources`` is the full list of
     targets, so that a resumed run counts those that were finished before; by default the
     sources still in the frontier. ``errors`` is one row per search that broke off.
     """
@@ -181,7 +181,9 @@ def discover(
     )
     attempted = frontier.select("source").distinct() if sources is None else sources.select("source").distinct()
     broken = errors.select("source").distinct()
-    new_seen = seen_rollup(listings, seen)
+    # Jobs of companies are remembered with the company's name: ids of two boards may be equal.
+    named = F.coalesce("seen_id", "sourceJobId") if "seen_id" in listings.columns else F.col("sourceJobId")
+    new_seen = seen_rollup(listings.withColumn("known_as", named), seen, "known_as")
     before = batch.limit(0) if store is None else store
 
     def n(df: DataFrame):

@@ -1,5 +1,7 @@
 """Result pages end to end, and the stop rules one by one."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,9 +9,10 @@ from postloom.operators.listings import drop_seen, dry_stop, link_stop, stall_st
 from postloom.operators.ordered import first_n_in_key, lag_in_key, lookup_join
 from postloom.operators.progress import crawl_frontier, resume_cursor, target_sources
 from postloom.operators.resolve import match_company
+from postloom.plans.companies import company_listings
 from postloom.plans.discover import discover, resolve
 from postloom.sources.extract import extract_cards, unusable_sources
-from postloom.schemas import PROGRESS, RAW_PAGE, REGISTRY, ROLE, SEEN_IDS, SITE
+from postloom.schemas import PROGRESS, RAW_PAGE, RAW_PAYLOAD, REGISTRY, ROLE, SEEN_IDS, SITE
 from postloom.operators.profiles import match_profiles, tag_listings
 
 NOW = "2026-03-01T00:00:00.000Z"
@@ -255,3 +258,33 @@ def test_blocked_helpers_equal_plain_ones(spark):
     wide = {(r.seq, r.name) for r in lookup_join(df, names, "key", hot_rows=40).collect()}
     assert wide == {(r.seq, r.name) for r in df.join(names, "key", "left").collect()}
     assert lookup_join(df, names, "key", "left_anti", hot_rows=40).count() == df.join(names, "key", "left_anti").count()
+
+
+def test_company_boards_to_listings(spark):
+    board = lambda *jobs: json.dumps({"jobs": [{"id": i, "title": t, "absolute_url": f"https://g.com/{i}", "location": {"name": "Oslo"}} for i, t in jobs]})
+    registry = spark.createDataFrame(
+        [
+            (0, "Alpha", None, "alpha.com", "https://boards.greenhouse.io/alpha", "greenhouse", None, "verified", None),
+            (1, "Beta", None, "beta.com", "https://beta.com", "workday", None, "verified", None),
+            (2, "Gamma", None, "gamma.com", "https://gamma.com", "lever", "gamma", "verified", None),
+            (3, "Delta", None, "delta.com", "https://delta.com", "greenhouse", "delta", "verified", None),
+        ],
+        REGISTRY,
+    )
+    payloads = spark.createDataFrame(
+        [
+            (1, "company-careers::alpha", "greenhouse", None, 1, "u", 200, None, board((1, "SDET"), (2, "Chef"), (3, "SDET II"))),
+            (2, "company-careers::gamma", "lever", None, 1, "u", 200, None, "oops"),
+            (3, "company-careers::delta", "greenhouse", None, 1, "u", 200, None, board((1, "Cloud"))),
+        ],
+        RAW_PAYLOAD,
+    )
+    searches = spark.createDataFrame([(0, "sdet", ["sdet"])], "search_no long, keyword string, profileIds array<string>")
+    seen = spark.createDataFrame([("company-careers::sdet::us", "alpha::3", 0)], SEEN_IDS)
+    run = company_listings(registry, payloads, searches, seen, "SDET", "US", "sdet", NOW)
+    rows = {(r.company, r.sourceJobId): r for r in run.listings.collect()}
+    assert sorted(rows) == [("Alpha", "1"), ("Alpha", "2"), ("Delta", "1")]
+    assert rows["Alpha", "1"].matchedProfiles == ["sdet"] and rows["Alpha", "1"].location == "Oslo"
+    assert [r.company for r in run.skipped.collect()] == ["Beta"]
+    assert [r.message for r in run.errors.collect()] == ['Lever site "gamma" returned a non-JSON response']
+    assert run.cursor.first().cursor == 2
