@@ -27,6 +27,7 @@ CACHED_PIECES = 400_000
 CACHED_PAIRS = 1_000_000
 CACHED_PREFIXES = 1_000_000
 CACHED_PIECE_BYTES = 64
+ROWS_AT_ONCE = 500  # texts of a batch whose ids are held at the same time
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -251,7 +252,7 @@ def encode_documents(
         cache = _cache(content.value)
         find = regex.compile(pattern).findall
         tokens = cache.vocabulary.tokens
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             packed, offsets, decoded = [], [0], []
             for text in batch.column(1):
                 own = b"".join([cache[p] for p in find(text.as_py() or "")])
