@@ -20,7 +20,9 @@ WINDOW = 3  # lines in a block
 SURGE = 86  # characters in a block that make text of it
 
 # Names of elements by their part in a page: fixed values of HTML.
-RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|textarea|select|title"
+RAW = "script|style|noscript|template|iframe|textarea|title"  # unclosed, they hide the rest of the page
+ENCLOSED = frozenset("object svg math canvas audio video select".split())  # unclosed, they hide nothing
+FOREIGN = frozenset("svg math".split())  # a slash at the end of the tag closes them
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
@@ -47,7 +49,7 @@ MAIN_NAME = re.compile(r"^(?:article|main|post|entry|story)[-_]?(?:body|content|
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>{RAW})\b(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<raw>{RAW})(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-z][^\s/<>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>
     |<(?P<end2>/?)(?P<name2>[a-z][^\s/<>]*)(?P<rest2>[^<>]*)>
     |<[!?/][^<>]*>""",
@@ -80,7 +82,7 @@ def lines_of(html: str) -> list[Line]:
     lines = [Line(0)]
     # Open elements that change the zone: name, depth of equal names inside, zone outside.
     zones: list[list] = []
-    zone, links, at = 0, 0, 0
+    zone, links, at, skip = 0, 0, 0, 0
     lowered = html.lower()
     # The last place of each kind of end tag: an element that is never closed sets nothing aside.
     last_end: dict[str, int] = {}
@@ -90,6 +92,15 @@ def lines_of(html: str) -> list[Line]:
             last_end[name] = lowered.rfind(f"</{name}")
         return last_end[name] > place
 
+    unclosed: set[str] = set()
+
+    def end_of(name: str, place: int) -> int:
+        """Where the next end tag of an enclosed element ends, 0 if there is none."""
+        found = None if name in unclosed else re.compile(rf"</{name}\s*>").search(lowered, place)
+        if found is None:
+            unclosed.add(name)
+        return found.end() if found else 0
+
     def put(text: str) -> None:
         if zone >= 0 and text:
             line = lines[-1]
@@ -98,6 +109,9 @@ def lines_of(html: str) -> list[Line]:
                 line.weight += len(text.strip())
 
     for token in _TOKEN.finditer(html):
+        if token.start() < skip:
+            at = max(at, token.end())
+            continue
         put(html[at : token.start()])
         at = token.end()
         name = (token["name"] or token["name2"] or "").lower()
@@ -105,6 +119,11 @@ def lines_of(html: str) -> list[Line]:
             continue
         rest = token["rest"] or token["rest2"] or ""
         ends = bool(token["end"] or token["end2"])
+        if name in ENCLOSED:
+            if not ends and not (name in FOREIGN and rest.endswith("/")):
+                skip = end_of(name, at)
+                at = max(at, skip)
+            continue
         if name == "a":
             links = 0 if ends else 1
         if name == "br":

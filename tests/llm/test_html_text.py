@@ -56,3 +56,31 @@ def test_odd_pages(spark):
     assert rows[3].count("\n\n") == 2999
     assert rows[5] == rows[6] == LONG
     assert extract_text(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<svg-icon name='x'></svg-icon>",
+        "<video-player src=a></video-player>",
+        "<select-box></select-box>",
+        "<template-x></template-x>",
+        "<title-bar></title-bar>",
+        "<svg viewBox='0 0 1 1'/>",
+        "<math/>",
+        "<svg><text>no</text></svg>",
+        "<select><option>no</select>",
+        "<template>no</template>",
+        "<object data=a>",
+        "<video src=a>",
+        "<svg>",
+    ],
+)
+def test_only_closed_or_raw_elements_hide_text(inner):
+    html = f"<article><p>{LONG}</p>{inner}<p>Last one.</p></article>"
+    assert main_text(html) == f"{LONG}\n\nLast one."
+
+
+@pytest.mark.parametrize("name", "script style title textarea iframe noscript template".split())
+def test_unclosed_raw_elements_hide_the_rest(name):
+    assert main_text(f"<article><p>{LONG}</p><{name}>x<p>y</p></article>") == LONG
