@@ -173,33 +173,34 @@ def lines_of(html: str) -> list[Line]:
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by blank lines; empty if there is none.
 
-    A declared article (``article``, ``main``, or a container named as its body) confines the
-    search, and any text in it counts. Elsewhere a run of lines is kept if the text in some
-    window of it surges; without any surge the run with most text is kept.
+    A declared article (``article``, ``main``, or a container named as its body) is taken if it
+    holds a third of the text outside links. Else a run of lines surges if the text in some
+    window of it reaches ``surge``, or a quarter of the page's largest window if that is less;
+    all from the first to the last run that surges is kept.
     """
     found = [(line.text(), line.weight, line.zone) for line in lines_of(html or "")]
-    # Empty lines inside a run carry no information; those put for an aside part the runs.
-    found = [f for f in found if f[0] or f[2] < 0]
-    declared = any(zone == 1 and text for text, _, zone in found)
-    weights = [0 if zone < 0 or (declared and zone != 1) else weight for _, weight, zone in found]
+    # An aside inside the text does not part it: what announces itself as something else is left out first.
+    found = [f for f in found if f[0] and f[2] >= 0]
+    inside = sum(weight for _, weight, zone in found if zone == 1)
+    declared = any(zone == 1 for _, _, zone in found) and inside * 3 >= sum(weight for _, weight, _ in found)
+    if declared:
+        return "\n\n".join(text for text, _, zone in found if zone == 1)
+    weights = [weight for _, weight, _ in found]
     sums, total = [], sum(weights[:window])
     for i, weight in enumerate(weights):
         sums.append(total)
         total += (weights[i + window] if i + window < len(weights) else 0) - weight
     runs: list[list[int]] = [[]]
-    for i, (text, weight, zone) in enumerate(found):
-        usable = bool(text) and zone >= 0 and (zone == 1 or not declared)
-        if usable and (weight or declared or sums[i]):
+    for i, weight in enumerate(weights):
+        if weight or sums[i]:
             runs[-1].append(i)
-        elif not declared and runs[-1] and not sums[i]:
+        elif runs[-1]:
             runs.append([])  # a dive: no text for a whole window
-        elif zone < 0 and not declared and runs[-1]:
-            runs.append([])
-    least = 1 if declared else surge
+    least = max(1, min(surge, max(sums, default=0) / 4))
     kept = [r for r in runs if r and max(sums[i] for i in r) >= least]
-    if not kept and any(runs):
-        kept = [max(runs, key=lambda r: sum(weights[i] for i in r))]
-    return "\n\n".join(found[i][0] for r in kept for i in r)
+    if not kept:
+        return ""
+    return "\n\n".join(text for text, _, _ in found[kept[0][0] : kept[-1][-1] + 1])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

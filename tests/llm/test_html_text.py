@@ -84,3 +84,24 @@ def test_only_closed_or_raw_elements_hide_text(inner):
 @pytest.mark.parametrize("name", "script style title textarea iframe noscript template".split())
 def test_unclosed_raw_elements_hide_the_rest(name):
     assert main_text(f"<article><p>{LONG}</p><{name}>x<p>y</p></article>") == LONG
+
+
+@pytest.mark.parametrize("aside", ['<div class="ad">x</div>', "<aside>x</aside>", '<div class="share-box"><a href=a>x</a></div>'])
+def test_an_inner_aside_does_not_end_the_text(aside):
+    for last in ("Short closing sentence.", "短い結びの文です。", "<ul><li>One</li><li>Two</li></ul>"):
+        html = f"<body><div><p>{LONG * 3}</p>{aside}<p>{last}</p></div></body>"
+        blocks = ["One", "Two"] if "<ul>" in last else [last]
+        assert main_text(html) == "\n\n".join([LONG * 3, *blocks])
+
+
+def test_a_teaser_article_does_not_replace_the_body():
+    teaser = '<article class="teaser"><p>Read this next.</p></article>'
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div>{teaser}").startswith(f"{LONG}\n\n{LONG}")
+
+
+def test_links_and_short_paragraphs_inside_the_text_stay():
+    links = "".join(f"<p><a href=a>Link {i}</a></p>" for i in range(5))
+    html = f"<p>{LONG}</p>{links}<p>{LONG}</p>"
+    assert main_text(html) == "\n\n".join([LONG, *(f"Link {i}" for i in range(5)), LONG])
+    menu = "".join(f"<p><a href=a>漢 {i}</a></p>" for i in range(5))
+    assert main_text(f"<p>漢字の段落です。</p>{menu}<p>次の段落です。</p>").count("段落") == 2
