@@ -14,8 +14,10 @@ from postloom.llm import (
     html_text,
     licences,
     mixing,
+    prefix_trie,
     quality,
     simhash,
+    strata,
     topk,
     toxicity,
     url_rules,
@@ -183,3 +185,47 @@ def op10_quality_pairs(spark, sf_dir):
         "score",
         (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
     )
+
+
+@query(
+    r"""
+    with words as (
+      select row_number() over () as r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+      from documents
+    ), sized as (
+      select r, doc_id, w, len(w)::bigint as n from words where len(w) > 0
+    ), whole as (
+      select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sized
+    ), tfs as (
+      select r, doc_id, n, term, count(*)::bigint as tf
+      from (select r, doc_id, n, unnest(w) as term from sized) x group by r, doc_id, n, term
+    ), dfs as (
+      select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as weight
+      from tfs, whole group by term, n_docs
+    ), asked as (
+      select q, item_id, term, count(*)::bigint as times from (
+        select row_number() over () as q, item_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark
+      ) x group by q, item_id, term
+    ), scored as (
+      select q, item_id, r, doc_id, sum(times * weight
+        * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+      from asked join tfs using (term) join dfs using (term), whole
+      group by q, item_id, r, doc_id
+    )
+    select item_id, rank::integer as rank, doc_id, score from (
+      select *, row_number() over (partition by q order by score desc, doc_id) as rank from scored where score > 0
+    ) x where rank <= 20
+    """
+)
+def op11_strata_search(spark, sf_dir):
+    return strata.lexical_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), splice=True)

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op9": "query_id rank vec_id score",
     "op10": "doc_id held_out score predicted",
+    "op11": "item_id rank doc_id score",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13": "doc_id n_shingles component_id",
 }
 
 
@@ -34,7 +37,7 @@ def by_number(number):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -50,7 +53,7 @@ def test_contract_columns(spark, number):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
