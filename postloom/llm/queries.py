@@ -14,6 +14,7 @@ from postloom.llm import (
     html_text,
     licences,
     mixing,
+    ngram_join,
     prefix_trie,
     quality,
     simhash,
@@ -229,3 +230,8 @@ def op11_strata_search(spark, sf_dir):
 @query()
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), splice=True)
+
+
+@query()
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
