@@ -169,6 +169,30 @@ def _failed(pages: DataFrame) -> Column:
     return F.coalesce("failed", F.lit(False)) if "failed" in pages.columns else F.lit(False)
 
 
+def page_verdicts(
+    pages: DataFrame, cards: DataFrame, keys: list[str], id_col: str, seen: DataFrame | None = None,
+    endless: Column | None = None,
+) -> DataFrame:
+    """``pages`` with ``before`` and ``after``: whether the stop rules end the crawl ahead of a page, or with it.
+
+    The rules are those of :func:`dry_stop`, and of :func:`stall_stop` where ``endless`` holds. ``n_before``, if there is
+    such a column, is the number of cards of the page ahead of the first one here.
+    """
+    counted = _with_new_ids(pages, new_ids_per_page(cards, seen, keys, id_col), keys)
+    lagged = lag_in_key(counted, keys, "page_no", "n_cards", "__lag")
+    shown = F.coalesce("__lag", "n_before") if "n_before" in pages.columns else F.col("__lag")
+    failed = _failed(pages)
+    stall = F.lit(False) if endless is None else F.coalesce(endless, F.lit(False))
+    same = F.coalesce(F.col("n_cards") == shown, F.lit(False))
+    dry = (F.col("new_ids") == 0) & (stall | (F.col("page_no") > F.col("start_page")))
+    return lagged.select(
+        *keys, "page_no", "n_cards",
+        failed.alias("failed"),
+        (~failed & ((F.col("n_cards") == 0) | (stall & same))).alias("before"),
+        (~failed & dry).alias("after"),
+    )
+
+
 def dry_stop(
     pages: DataFrame, cards: DataFrame, keys: list[str], id_col: str = "sourceJobId",
     seen: DataFrame | None = None, max_pages: int | None = None,

@@ -73,11 +73,20 @@ def _rename_into_place(spark: SparkSession, path: str, text: str) -> None:
 # --- JSON lines ------------------------------------------------------------------------
 
 
-def with_arrival_seq(df: DataFrame, start: int = 0) -> DataFrame:
-    """Number the lines of a text-file scan in file order.
+def in_file_order(placed: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: 0, 1, 2, ... in the order of the splits, which ``order`` names, and of ``__n`` in each split.
 
     Each split counts its own lines; the offsets come from one row per split.
     """
+    splits = placed.groupBy(*order).agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("__offset", F.coalesce(F.sum("__lines").over(before), F.lit(0)))
+    numbered = placed.join(offsets, order).withColumn(out, F.col("__n") - F.col("__first") + F.col("__offset"))
+    return numbered.drop("__first", "__lines", "__offset")
+
+
+def with_arrival_seq(df: DataFrame, start: int = 0) -> DataFrame:
+    """Number the lines of a text-file scan in file order."""
     placed = df.withColumns(
         {
             "__file": F.col("_metadata.file_path"),
@@ -85,16 +94,8 @@ def with_arrival_seq(df: DataFrame, start: int = 0) -> DataFrame:
             "__n": F.monotonically_increasing_id(),
         }
     )
-    splits = placed.groupBy("__file", "__start").agg(
-        F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__lines")
-    )
-    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("__offset", F.coalesce(F.sum("__lines").over(before), F.lit(0)))
-    return (
-        placed.join(offsets, ["__file", "__start"])
-        .withColumn("seq", F.col("__n") - F.col("__first") + F.col("__offset") + F.lit(start))
-        .drop("__file", "__start", "__n", "__first", "__lines", "__offset")
-    )
+    numbered = in_file_order(placed, ["__file", "__start"], "seq")
+    return numbered.withColumn("seq", F.col("seq") + F.lit(start)).drop("__file", "__start", "__n")
 
 
 def _read_json_lines(

@@ -22,6 +22,7 @@ from postloom.session import cut
 from postloom.sources.store import (
     KEY_COLUMNS,
     ROWS_PER_RANGE,
+    in_file_order,
     load_ranges,
     publish_ranges,
     range_index,
@@ -29,15 +30,53 @@ from postloom.sources.store import (
     read_ranges,
     split_points,
 )
+from postloom.streaming.tables import BatchTable
 
 
-def listing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New listing files as they land. Unreadable lines keep only ``_corrupt``."""
+ARRIVAL = ["__landed", "__file", "__start"]
+
+
+def listing_stream(
+    spark: SparkSession, path: str, max_files: int | None = None, arrival: bool = False
+) -> DataFrame:
+    """New listing files as they land. Unreadable lines keep only ``_corrupt``. With ``arrival`` a row also carries where
+    it stands, as :func:`number_arrivals` needs it."""
     schema = StructType([*STORED_LISTING.fields, StructField("_corrupt", StringType())])
     reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    rows = reader.json(path)
+    if not arrival:
+        return rows
+    return rows.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("__landed"),
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+    )
+
+
+def arrival_counter(spark: SparkSession, root: str) -> BatchTable:
+    """The next free arrival number, as of every micro-batch."""
+    return BatchTable(spark, root, StructType.fromDDL("name string, next long"), ["name"], latest=True, buckets=1)
+
+
+def number_arrivals(batch: DataFrame, batch_id: int, counter: BatchTable) -> DataFrame:
+    """A micro-batch of :func:`listing_stream` with ``seq`` on every row.
+
+    Lines that carry a number keep it. The others are numbered in the order of their files (when they
+    landed, then by name) and of the lines, above every number of earlier batches and of this one. The counter is
+    kept per batch, so a replayed batch gets the same numbers.
+    """
+    placed = cut(batch.withColumn("__n", F.monotonically_increasing_id()), "arrivals")
+    rows, own = placed.agg(F.count(F.lit(1)), F.max("seq")).first()
+    before = counter.before(batch_id).agg(F.max("next")).first()[0] or 0
+    first = before if own is None else max(before, own + 1)
+    one = batch.sparkSession.range(1).select(F.lit("seq").alias("name"), F.lit(first + rows).alias("next"))
+    counter.compact(batch_id)
+    counter.write(one, batch_id)
+    numbered = in_file_order(placed, ARRIVAL, "__place")
+    return numbered.withColumn("seq", F.coalesce("seq", F.col("__place") + F.lit(first))).drop("__n", "__place", *ARRIVAL)
 
 
 def split_stream(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
