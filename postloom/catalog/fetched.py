@@ -8,7 +8,8 @@ from postloom.catalog.base import NOW, query, sql_clean, sql_years, table
 from postloom.catalog.tagging import REGISTRY, page_registry
 from postloom.operators.resolve import assemble_resolved, attach_details, match_company, with_final_ats
 from postloom.operators.summary import run_summary, site_errors
-from postloom.plans.collect import in_site_order
+from postloom.plans.collect import collect, in_site_order
+from postloom.schemas import RAW_PAYLOAD, ROLE, SITE
 from postloom.session import scratch_root
 from postloom.sources.extract import extract_cards, extract_details, extract_fallback, extract_links
 from postloom.sources.payloads import (
@@ -114,6 +115,54 @@ def site_order_limit(spark, sf_dir):
     return take_first(greenhouse_jobs(ordered), 500).select("seq", "site_id", "externalId")
 
 
+@query("""with captures as (select o_orderkey // 10 as seq, (o_orderkey // 10) % 3 as site, list(o_orderkey order by o_orderkey) as keys
+      from orders group by all), lowest as (select min(seq) as start from captures),
+    placed as (select *, row_number() over (order by site, seq) - 1 + start as place from captures, lowest)
+    select place * 1048576 + unnest(range(len(keys))) as seq, 's' || site as source,
+      case when site = 1 then 'generic' else 'greenhouse' end as "sourceType",
+      case when site = 1 then 'https://g.co/' else 'https://b.com/' end || unnest(keys) as "canonicalUrl", 'Clerk ' || unnest(keys) as title
+    from placed""")
+def mixed_run(spark, sf_dir):
+    """A whole run over boards of two sites and result pages of a third, merged into a store: one numbering."""
+    order = F.col("o_orderkey").cast("string")
+    title = F.concat(F.lit("Clerk "), order)
+    job = F.struct(
+        F.col("o_orderkey").alias("id"), title.alias("title"), F.concat(F.lit("https://b.com/"), order).alias("absolute_url"),
+        F.lit("").alias("content"),
+    )
+    link = F.concat(F.lit("<a class='job' href='https://g.co/"), order, F.lit("'>x</a>"))
+    own = F.col("site_id") == "s1"
+    boards = _boards(spark, sf_dir, job, "jobs").where(~own).withColumn("source_kind", F.lit("greenhouse"))
+    pages = _boards(spark, sf_dir, link).where(own).select(
+        "seq", "site_id", F.lit(None).cast("string").alias("keyword"), (F.floor(F.col("seq") / 3) + 1).cast("int").alias("page_no"),
+        F.lit("https://g.co/s").alias("url"), F.concat(F.array_join(F.from_json("body", "array<string>"), ""), F.lit("<a class='next'>more</a>")).alias("html"),
+    )
+    details = table(spark, sf_dir, "orders").where(F.floor(F.col("o_orderkey") / 10) % 3 == 1).select(
+        F.concat(F.lit("https://g.co/"), order).alias("url"), F.concat(F.lit("<h1>"), title, F.lit("</h1>")).alias("html")
+    )
+    kinds = F.when(F.col("id") == "s1", "generic").otherwise("greenhouse")
+    used = {
+        "jobLinkSelector": "a.job", "nextButtonSelector": ".next", "titleSelector": "h1", "locationSelector": ".place",
+        "descriptionSelector": ".text", "searchInputSelector": "#q", "searchButtonSelector": "#go", "resultCardSelector": ".card",
+    }
+    sites = _sites(spark, sf_dir, "greenhouse").drop("workday").withColumns(
+        {
+            "adapter": kinds,
+            "greenhouse": F.struct(F.col("id").alias("boardToken")),
+            "generic": F.struct(*[F.lit(used.get(n)).cast("string").alias(n) for n in SITE["generic"].dataType.fieldNames()]),
+        }
+    )
+    run = collect(
+        _filled(sites, SITE), spark.createDataFrame([], ROLE), _filled(boards, RAW_PAYLOAD), None, NOW,
+        generic_pages=pages, generic_details=details,
+    )
+    return run.store.select("seq", "source", "sourceType", "canonicalUrl", "title")
+
+
+def _filled(df, schema):
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 @query("""with rows as (select o_orderkey, 's' || (o_orderkey // 10) % 3 as site_id, 'P' || o_custkey as path, (o_orderkey // 10) % 4 as word,
       (o_orderkey // 10) * 1048576 + row_number() over (partition by o_orderkey // 10 order by o_orderkey) - 1 as seq from orders)
     select site_id, path as "externalId", min(seq) as seq, arg_max('Clerk ' || o_orderkey, seq) as title,

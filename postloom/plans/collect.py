@@ -16,8 +16,10 @@ from postloom.plans.generic import selector_errors
 from postloom.session import cut
 from postloom.sources.payloads import (
     BOARD_KINDS,
+    ROWS_PER_PAYLOAD,
     cap_per_source,
     normalise_postings,
+    position_seq,
     site_identity,
     take_first,
     triage_payloads,
@@ -61,7 +63,8 @@ def collect(
 
     ``generic_pages`` and ``generic_details`` are captured result and job pages of generic sites
     (see :func:`postloom.plans.generic.generic_jobs`); ``generic_jobs`` holds already extracted
-    ones: ``site_id, seq, url, matchedProfiles, detail``.
+    ones: ``site_id, seq, url, matchedProfiles, detail``. Payloads and pages of a run are numbered
+    together, each with a number of its own; an extracted job's ``seq`` is its page's number and its place.
     """
     wanted = sites.where("enabled")
     if site_ids is not None:
@@ -69,7 +72,19 @@ def collect(
     wanted = cut(wanted, "sites")
     searches = cut(role_searches(roles, profiles), "searches")
     names = site_identity(wanted).where("config_error is null")
-    mine = in_site_order(payloads, wanted)
+    captures = [payloads]
+    if generic_pages is not None and generic_details is not None:
+        captures.append(generic_pages)
+    if generic_jobs is not None:
+        captured = F.floor(F.col("seq") / ROWS_PER_PAYLOAD).cast("long")
+        captures.append(generic_jobs.withColumn("__at", F.col("seq") % ROWS_PER_PAYLOAD).withColumn("seq", captured))
+    ordered = all_in_site_order(captures, wanted)
+    mine = ordered[0]
+    if generic_jobs is not None:
+        jobs = ordered.pop()
+        generic_jobs = jobs.withColumn("seq", position_seq(F.col("seq"), F.col("__at"))).drop("__at")
+    if len(ordered) > 1:
+        generic_pages = ordered[1]
     mine = mine.join(small(names.select(F.col("id").alias("site_id"), "ident")), "site_id")
     # Verdicts are kept without the bodies; the few bad payloads are then left out by number.
     verdicts = cut(
@@ -127,12 +142,29 @@ def collect(
 def in_site_order(payloads: DataFrame, sites: DataFrame) -> DataFrame:
     """Payloads of ``sites`` with ``seq`` dealt anew in the order of (site, arrival). The new
     numbers start at the smallest given one, so they stay above everything stored before."""
+    return all_in_site_order([payloads], sites)[0]
+
+
+def all_in_site_order(captures: list[DataFrame], sites: DataFrame) -> list[DataFrame]:
+    """The frames with ``seq`` dealt anew in the order of (site, arrival) over all of them, so that payloads and
+    pages of one run share one numbering. A number may stand in several rows of a frame: they are one capture.
+
+    The new numbers take the room of the given ones, which must therefore be enough for all captures.
+    """
     where = small(sites.select(F.col("id").alias("site_id"), F.col("seq").alias("site_seq")))
-    thin = payloads.select("site_id", "seq").join(where, "site_id")
-    numbered = cut(number_rows(thin, ["site_seq", "seq"], "place"), "payload-order")
-    start = numbered.agg(F.min("seq")).first()[0] or 0
-    new = numbered.select("seq", (F.col("place") + F.lit(start)).alias("ordered"))
-    return payloads.join(new, "seq").drop("seq").withColumnRenamed("ordered", "seq")
+    thin = [f.select(F.lit(k).alias("kind"), "site_id", "seq").distinct() for k, f in enumerate(captures)]
+    thin = _stack(thin).join(where, "site_id")
+    numbered = cut(number_rows(thin, ["site_seq", "seq", "kind"], "place"), "capture-order")
+    start, last, rows = numbered.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    if rows and start + rows - 1 > last:
+        raise ValueError("payloads and pages of a run must not use the same numbers: later runs would meet the new ones")
+    new = numbered.select("kind", "site_id", "seq", (F.col("place") + F.lit(start or 0)).alias("ordered"))
+    out = []
+    for k, frame in enumerate(captures):
+        mine = new.where(F.col("kind") == k).drop("kind")
+        placed = frame.join(mine, ["site_id", "seq"]).drop("seq").withColumnRenamed("ordered", "seq")
+        out.append(placed.select(*frame.columns))
+    return out
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:

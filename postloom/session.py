@@ -55,3 +55,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote. Neither it nor anything not yet written that is made of it
+    may be read afterwards."""
+    spark = df.sparkSession
+    root = scratch_root(spark).rstrip("/") + "/"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        base = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)).toString() + "/"
+        if fs.makeQualified(path).toString().startswith(base):
+            fs.delete(path, True)

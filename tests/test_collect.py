@@ -182,3 +182,38 @@ def test_generic_sites_from_captured_pages(spark):
     assert errors == {"odd": 'Site "odd" has a selector that cannot be used: unsupported selector: a > b'}
     s = run.summary.first()
     assert (s.sitesAttempted, s.sitesSucceeded, s.sitesFailed) == (2, 1, 1)
+
+
+def test_payloads_and_generic_pages_share_one_numbering(spark):
+    block = dict(
+        searchInputSelector="#q", searchButtonSelector="#go", resultCardSelector=".card", jobLinkSelector="a.job", nextButtonSelector=".next",
+        titleSelector="h1", locationSelector=".place", descriptionSelector=".text",
+    )
+    board = lambda *ids: {"jobs": [{"id": i, "title": f"T{i}", "absolute_url": f"https://b.com/{i}", "content": f"job {i}"} for i in ids]}
+    sites = spark.createDataFrame([site(0, "acme", "greenhouse", greenhouse=dict(boardToken="acme")), site(1, "own", "generic", generic=block), site(2, "zed", "greenhouse", greenhouse=dict(boardToken="zed"))], SITE)
+    roles = spark.createDataFrame([], ROLE)
+    schema = "seq long, site_id string, keyword string, page_no int, url string, html string"
+
+    def run(first, store, keys, now):
+        payloads = spark.createDataFrame(
+            [payload(first, "zed", "greenhouse", board(7)), payload(first + 10, "acme", "greenhouse", board(1, 2))], RAW_PAYLOAD
+        )
+        pages = spark.createDataFrame(
+            [(first + 1, "own", None, 1, "https://own.com/s", "<a class='job' href='/j/a'>x</a><a class='next'>more</a>"),
+             (first + 2, "own", None, 2, "https://own.com/s", "<a class='job' href='/j/b'>x</a>")], schema,
+        )
+        details = spark.createDataFrame([(f"https://own.com/j/{n}", f"<h1>Role {n}</h1><div class='text'>about {n}</div>") for n in "ab"], "url string, html string")
+        return collect(sites, roles, payloads, store, now, store_keys=keys, generic_pages=pages, generic_details=details)
+
+    one = run(10, None, None, NOW)
+    order = [(r.source, r.canonicalUrl[-1]) for r in one.store.orderBy("seq").collect()]
+    assert order == [("acme", "1"), ("acme", "2"), ("own", "a"), ("own", "b"), ("zed", "7")]
+    assert one.store.select("seq").distinct().count() == 5
+    assert [r.canonicalUrl[-1] for r in one.batch.orderBy("seq").limit(3).collect()] == ["1", "2", "a"]
+    two = run(30, one.store, one.keys, "2026-05-01")
+    rows = {r.canonicalUrl[-1]: (r.seq, r.discoveredAt, r.lastSeenAt) for r in two.store.collect()}
+    assert rows == {r.canonicalUrl[-1]: (r.seq, NOW, "2026-05-01") for r in one.store.collect()}
+    clash = spark.createDataFrame([payload(10, "acme", "greenhouse", board(1))], RAW_PAYLOAD)
+    page = spark.createDataFrame([(10, "own", None, 1, "https://own.com/s", "")], schema)
+    with pytest.raises(ValueError, match="same numbers"):
+        collect(sites, roles, clash, None, NOW, generic_pages=page, generic_details=spark.createDataFrame([], "url string, html string"))
