@@ -14,9 +14,9 @@ The sample also puts common shingles last in the order. Neither changes which li
 
 Sets that meet are compared step by step, because only connected groups are wanted: first every set of
 a bucket with one leader, then, where a bucket still holds several groups, with a few more leaders, and last
-the sets outside the largest group of a bucket with all others of it. Sizes and 256 parity bits
-rule pairs out without their shingles; the others are verified on whole sets, which are read from the texts
-of just those documents.
+the sets outside the largest group of a bucket with all others of it. Sizes and parities, a
+few bits for each shingle, rule out nearly all pairs that are not alike; the others are verified on whole
+sets, which are read from the texts of just those documents.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.llm.graph import components
 from postloom.operators.ordered import lookup_join, small
-from postloom.session import cut
+from postloom.session import cut, discard
 
 SEED = 42
 WIDTH = 5
@@ -115,6 +115,20 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """The same with at least two cells for each element, so that it tells long sets apart as well."""
+    cells = max(256, 1 << math.ceil(math.log2(2 * max(len(hashes), 1))))
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide parities differ; the longer one is folded to the length of the other."""
+    size = min(len(a), len(b))
+    one, other = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.unpackbits(one ^ other).sum())
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 80 * union, of two sorted sets."""
     if not len(a) or not len(b):
@@ -230,9 +244,9 @@ def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def read_sets(documents: DataFrame, order: Order, boundary: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, node, n, b0..b3, text_key, marks)`` of every row. ``node`` is a 128-bit digest of the set, null if it is empty;
+    """``(id_col, node, n, b0..b3, wide, text_key, marks)`` of every row. ``node`` is a 128-bit digest of the set, null if it is empty;
     ``text_key`` finds the text again."""
-    fields = T.StructType.fromDDL("node binary, n int, b0 long, b1 long, b2 long, b3 long, text_key long, marks array<bigint>")
+    fields = T.StructType.fromDDL("node binary, n int, b0 long, b1 long, b2 long, b3 long, wide binary, text_key long, marks array<bigint>")
     schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), *fields.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +258,7 @@ def read_sets(documents: DataFrame, order: Order, boundary: int, width: int, id_
                 pa.array(nodes, pa.binary()),
                 pa.array(map(len, sets), pa.int32()),
                 *[pa.array(bits[:, k]) for k in range(4)],
+                pa.array(map(wide_parity, sets), pa.binary()),
                 piece.column("text_key"),
                 _lists([marks(s, order, boundary) for s in sets]),
             ]
@@ -258,15 +273,25 @@ class Joined:
     """Distinct sets of a table, and how to compare them."""
 
     def __init__(self, documents: DataFrame, sets: DataFrame, width: int, text_col: str):
-        """``sets``: ``(id, node, n, b0..b3, text_key)``, one row for each different set."""
+        """``sets``: ``(id, node, n, b0..b3, wide, text_key)``, one row for each different set."""
         self.documents, self.sets, self.width, self.text_col = documents, sets, width, text_col
 
     def described(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and parities do not rule out."""
+        facts = ("n", *BITS, "wide")
         for side in ("a", "b"):
-            facts = self.sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *BITS)])
-            pairs = pairs.join(facts, side)
-        return pairs.where(may_link("_a", "_b")).select("a", "b")
+            pairs = pairs.join(self.sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in facts]), side)
+        sides = ["a", "b", "n_a", "n_b", "wide_a", "wide_b"]
+        schema = T.StructType.fromDDL("a long, b long")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, n, m, one, other = (batch.column(c) for c in sides)
+                rows = zip(n.to_pylist(), m.to_pylist(), one, other, strict=True)
+                hit = [9 * bits_apart(x.as_py(), y.as_py()) <= n + m for n, m, x, y in rows]
+                yield pa.RecordBatch.from_arrays([a, b], names=schema.names).filter(pa.array(hit, pa.bool_()))
+
+        return pairs.where(may_link("_a", "_b")).select(*sides).mapInArrow(run, schema)
 
     def hashes_of(self, ids: DataFrame) -> DataFrame:
         """``(id, hashes)`` of the sets with these ids, from the texts of their documents."""
@@ -328,7 +353,9 @@ class Joined:
                 )
 
         sides = rows.repartition("a", "place").sortWithinPartitions("a", "place", "b")
-        return cut(sides.mapInArrow(run, schema), "join-links")
+        links = cut(sides.mapInArrow(run, schema), "join-links")
+        discard(sets)
+        return links
 
 
 def may_link(a: str, b: str):
@@ -349,6 +376,13 @@ def _placed(links: DataFrame) -> DataFrame:
     return cut(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "join-parts")
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are not known to be in one part."""
+    for side in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}")), side, "left")
+    return pairs.where(F.col("part_a").isNull() | F.col("part_b").isNull() | (F.col("part_a") != F.col("part_b"))).select("a", "b")
+
+
 def _several(members: DataFrame, parts: DataFrame) -> DataFrame:
     """``(mark, id, part)`` of the buckets whose members are still in several parts."""
     placed = members.join(parts, "id", "left").select("mark", "id", F.coalesce("part", "id").alias("part"))
@@ -381,8 +415,11 @@ def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None =
 
     pairs = met.where("sets = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     led = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    found = joined.verify(pairs.unionByName(led).distinct())
-    links = found if links is None else links.unionByName(found)
+    pairs = pairs.unionByName(led).distinct()
+    if links is None:
+        links = joined.verify(pairs)
+    else:
+        links = links.unionByName(joined.verify(_apart(pairs, _placed(links))))
     members = members.select("mark", "id")
     parts = _placed(links)
     open_ = _several(members, parts)
@@ -392,26 +429,34 @@ def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None =
     # A few more leaders for each bucket: most sets of a group are alike to one of them.
     orders = [F.xxhash64("id", F.lit(k)) for k in range(LEADERS)]
     leaders = open_.groupBy("mark").agg(
-        F.array_distinct(F.array(*[F.max_by(F.struct("id", "part"), o) for o in orders])).alias("leaders")
+        F.min("id").alias("low"),
+        F.array_distinct(F.array(*[F.max_by(F.struct("id", "part"), o) for o in orders])).alias("leaders"),
     )
-    led = open_.join(leaders, "mark").select("id", "part", F.explode("leaders").alias("leader"))
-    led = led.where("part <> leader.part").select(*_pair("id", "leader.id"))
-    links = cut(links.unionByName(joined.verify(led.distinct())), "join-links")
+    led = cut(open_.join(leaders, "mark"), "join-members")
+    pairs = led.where("id <> low").select("id", "part", F.explode("leaders").alias("leader"))
+    pairs = pairs.where("part <> leader.part").select(*_pair("id", "leader.id"))
+    links = cut(links.unionByName(joined.verify(pairs.distinct())), "join-links")
     parts = _placed(links)
-    open_ = _several(open_.select("mark", "id"), parts)
+    # A leader has been compared with all of its bucket: the others are left.
+    left = led.where("id <> low").where(~F.exists("leaders", lambda x: x["id"] == F.col("id")))
+    open_ = _several(left.select("mark", "id"), parts)
     if open_.isEmpty():
         return parts
 
-    # What is left: the sets outside the largest part of a bucket against all of the bucket.
+    # What is left: the sets outside the largest part of a bucket against all others of it.
     facts = joined.sets.select("id", "n", *BITS)
     sizes = open_.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("sets"))
     largest = sizes.groupBy("mark").agg(F.max_by("part", F.struct("sets", "part")).alias("largest"))
-    whole = cut(open_.join(largest, "mark").join(facts, "id"), "join-members")
-    names = ["mark", "id", "part", "n", *BITS]
+    whole = open_.join(largest, "mark").join(facts, "id")
+    # Two sets that share a passage meet in many buckets. Where both have the same bucket just before, they
+    # have met there already, so they meet at the first of each run of common buckets.
+    whole = cut(whole.withColumn("prior", F.lag("mark").over(Window.partitionBy("id").orderBy("mark"))), "join-members")
+    names = ["mark", "id", "part", "n", "prior", *BITS]
     few = whole.where("part <> largest").select(*[F.col(c).alias(f"{c}_x" if c != "mark" else c) for c in names])
     many = whole.select(*[F.col(c).alias(f"{c}_y" if c != "mark" else c) for c in (*names, "largest")])
     once = (F.col("part_y") == F.col("largest_y")) | (F.col("id_x") < F.col("id_y"))
-    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once & may_link("_x", "_y")
+    fresh = F.coalesce(F.col("prior_x") != F.col("prior_y"), F.lit(True))
+    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once & fresh & may_link("_x", "_y")
     rest = few.join(many, on).select(*_pair("id_x", "id_y")).distinct()
     return _placed(cut(links.unionByName(joined.verify(rest)), "join-links"))
 
@@ -434,17 +479,19 @@ def ngram_components(
     sample, part = sampled_sets(documents, width, text_col)
     order = Order(common_shingles(sample))
     boundary = choose_boundary(sample, order, part)
-    rows = cut(read_sets(documents, order, boundary, width, id_col, text_col), "join-rows")
-    classes = distinct_sets(rows, id_col)
+    read = cut(read_sets(documents, order, boundary, width, id_col, text_col), "join-rows")
+    classes = distinct_sets(read, id_col)
+    rows = cut(read.select(id_col, "node", "n"), "join-thin")
+    discard(read)
     joined = Joined(documents, classes.drop("marks", "smallest"), width, text_col)
     parts = connected_sets(joined, classes.where("n >= 4").select("id", "marks"))
     return label_rows(rows, classes, parts, id_col)
 
 
 def distinct_sets(rows: DataFrame, id_col: str) -> DataFrame:
-    """``(id, node, n, b0..b3, text_key, marks, smallest)``: one row for each different set, numbered by ``id``;
+    """``(id, node, n, b0..b3, wide, text_key, marks, smallest)``: one row for each different set, numbered by ``id``;
     ``smallest`` is the smallest id of its rows."""
-    kept = ["n", *BITS, "text_key", "marks"]
+    kept = ["n", *BITS, "wide", "text_key", "marks"]
     numbered = rows.where("node is not null").withColumn("id", F.monotonically_increasing_id())
     one = numbered.groupBy("node").agg(
         F.min("id").alias("id"), F.min(id_col).alias("smallest"), *[F.first(c).alias(c) for c in kept]

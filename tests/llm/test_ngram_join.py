@@ -92,12 +92,14 @@ def test_boundary_is_least_cost(spark):
 def test_marks_and_parity():
     draw = np.random.default_rng(0)
     order = ngram_join.Order(draw.integers(0, 2**63, 50).astype(np.uint64))
-    for n in range(4, 60):
+    for n in [*range(4, 60), 150, 400]:
         a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
         gone = draw.integers(0, n // 9 + 1)
         b = np.unique(np.concatenate([a[gone:], draw.integers(0, 2**63, n // 9 + 1 - gone).astype(np.uint64)]))
         bits = np.unpackbits((ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint8)).sum()
         assert bits <= len(np.setxor1d(a, b))
+        for x, y in ((a, b), (a, b[: n // 3 + 1])):
+            assert ngram_join.bits_apart(ngram_join.wide_parity(x), ngram_join.wide_parity(y)) <= len(np.setxor1d(x, y))
         if ngram_join.alike(a, b):
             for boundary in (0, 10, 30, 100):
                 assert np.intersect1d(ngram_join.marks(a, order, boundary), ngram_join.marks(b, order, boundary)).size
