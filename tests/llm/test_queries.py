@@ -12,7 +12,7 @@ import corpus_pipeline
 from postloom.llm import bpe, mixing, quality, queries, simhash
 from postloom.session import cut
 from tests.llm.helpers import DATA, HAVE_DATA
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
 
 pytestmark = pytest.mark.skipif(not HAVE_DATA, reason="test tables not present")
 
@@ -125,8 +125,7 @@ def test_pipeline_stage_by_stage(spark, library):
     assert sum(1 for t, k in known if not t and not k) <= 0.01 * len(known)
     # Near duplicates, by comparing all pairs.
     texts = {r["doc_id"]: r["text"] for r in steps[2].collect()}
-    groups = brute_components({i: brute_fingerprint(t) for i, t in texts.items()}, corpus_pipeline.STAGE_DISTANCE)
-    assert ids[3] == sorted(i for i, c in groups.items() if i == c)
+    assert ids[3] == brute_kept(texts)
     # Mixing: as often as the operator says.
     copies = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(steps[3]).collect()}
     assert ids[4] == sorted(i for i, n in copies.items() for _ in range(n))
