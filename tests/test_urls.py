@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from postloom.functions import urls as U
 
 CASES = [
-    ("https://Work.ORG/open/77/#top", "https://work.org/open/77"),
-    ("https://b.io/r/9?gh_jid=4&gh_src=q&utm_term=z&UTM_medium=w", "https://b.io/r/9?gh_jid=4"),
+    ("https://A.com/x?q=1#frag?not=query", "https://a.com/x?q=1"),
+    ("https://a.com/x?refer=1&trk=2&utmost=3&trkid=4&utm_=5", "https://a.com/x?refer=1&trkid=4&utmost=3"),
     ("https://a.com/1?b=2&a=1&b=1", "https://a.com/1?a=1&b=2&b=1"),
     ("https://a.com/1?Ref=2&TRK=1&lever-source=z", "https://a.com/1"),
     ("http://a.com", "http://a.com/"),
