@@ -33,7 +33,7 @@ from postloom.sources.store import (
 from postloom.streaming.tables import BatchTable
 
 
-ARRIVAL = ["__landed", "__file", "__start"]
+ARRIVAL = ["__file", "__start"]
 
 
 def listing_stream(
@@ -50,7 +50,6 @@ def listing_stream(
         return rows
     return rows.select(
         "*",
-        F.col("_metadata.file_modification_time").alias("__landed"),
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
     )
@@ -64,8 +63,8 @@ def arrival_counter(spark: SparkSession, root: str) -> BatchTable:
 def number_arrivals(batch: DataFrame, batch_id: int, counter: BatchTable) -> DataFrame:
     """A micro-batch of :func:`listing_stream` with ``seq`` on every row.
 
-    Lines that carry a number keep it. The others are numbered in the order of their files (when they
-    landed, then by name) and of the lines, above every number of earlier batches and of this one. The counter is
+    Lines that carry a number keep it. The others are numbered in the order of the names of their
+    files and of the lines, above every number of earlier batches and of this one. The counter is
     kept per batch, so a replayed batch gets the same numbers.
     """
     placed = cut(batch.withColumn("__n", F.monotonically_increasing_id()), "arrivals")
