@@ -2,8 +2,10 @@
 
 Markup is stripped so that every block of a page becomes a line. The lengths of the lines are
 summed over a sliding window; where the sums rise above a threshold the text surges, where
-they fall to nothing it dives, and what lies between is kept. Lines of elements that announce
-themselves as menus, adverts, comments and the like weigh nothing, and neither do links.
+they fall to nothing it dives, and what lies between is kept. That decides every page. What a page says
+about its parts only changes the weights: links weigh nothing; elements that announce themselves as menus,
+adverts, comments and the like are left out first, unless they hold nearly all text of the page; and if a declared
+article holds two fifths of the text, its lines weigh all they have and the others are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BLOCKS = frozenset(
     "optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 ASIDES = frozenset("nav header footer aside form menu button dialog search head fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_ASIDES = frozenset("html body main p-main".split())
 
@@ -44,6 +47,10 @@ _PARTS = (
 ASIDE_NAME = re.compile(
     rf"^(?!(?:has|with|no|without)[-_])(?:[a-z0-9]+[-_]+)?(?:{_PARTS})(?:[-_]+(?:[a-z0-9]+))*$"
 )
+# Words that also name wrappers around a whole page. An element of such a name that holds nearly all text
+# is one; what calls itself an advert, a notice or a comment is that at any length.
+WRAPPER_NAME = re.compile(r"nav|menu|header|masthead|topbar|sidebar|side|aside|rail|widget|form|legal|search|toolbar|skip|tags|related")
+WRAPPERS = frozenset("div section form fieldset td center span".split())
 COMMENT_NAME = re.compile(r"comment|disqus|repl(?:y|ies)|discussion|respond")
 MAIN_NAME = re.compile(r"^(?:article|main|post|entry|story)[-_]?(?:body|content|text)$|^articlebody$")
 
@@ -77,9 +84,23 @@ def _names(rest: str) -> list[str]:
     return [n for m in _NAMES.finditer(rest) for n in (m[1] or m[2] or m[3] or "").lower().split()]
 
 
-def lines_of(html: str) -> list[Line]:
-    """Blocks of a page in order. An element that is set aside gives one empty line."""
+class Aside:
+    """An element that is set aside: where it starts, how much text outside links it holds, and
+    whether it may be a wrapper."""
+
+    __slots__ = ("may_wrap", "start", "weight")
+
+    def __init__(self, start: int, may_wrap: bool):
+        self.start = start
+        self.may_wrap = may_wrap
+        self.weight = 0
+
+
+def lines_of(html: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[Line], list[Aside]]:
+    """Blocks of a page in order, and what is set aside. An element that is set aside gives one empty
+    line. Elements that start at one of ``wrappers`` are not."""
     lines = [Line(0)]
+    asides: list[Aside] = []
     # Open elements that change the zone: name, depth of equal names inside, zone outside.
     zones: list[list] = []
     zone, links, at, skip = 0, 0, 0, 0
@@ -102,7 +123,10 @@ def lines_of(html: str) -> list[Line]:
         return found.end() if found else 0
 
     def put(text: str) -> None:
-        if zone >= 0 and text:
+        if zone < 0:
+            if not links:
+                asides[-1].weight += len(text.strip())
+        elif text:
             line = lines[-1]
             line.parts.append(text)
             if not links:
@@ -149,7 +173,9 @@ def lines_of(html: str) -> list[Line]:
             new = -1 if name != "main" and any(COMMENT_NAME.search(n) for n in names) else 1
         elif name == "header" and zone == 1:
             continue  # the head of the article itself
-        elif name in ASIDES or any(ASIDE_NAME.match(n) for n in names) or _HIDDEN.search(rest):
+        elif token.start() in wrappers:
+            continue
+        elif name in ASIDES or _HIDDEN.search(rest) or name not in HEADINGS and any(ASIDE_NAME.match(n) for n in names):
             new = -1
         else:
             continue
@@ -162,30 +188,47 @@ def lines_of(html: str) -> list[Line]:
             wraps = "<article" in inside or "<main" in inside
             if wraps and not any(COMMENT_NAME.search(n) for n in names):
                 continue
+        if new < 0:
+            called = [n for n in names if ASIDE_NAME.match(n)]
+            plain = name in WRAPPERS and not _HIDDEN.search(rest) and all(WRAPPER_NAME.search(n) for n in called)
+            asides.append(Aside(token.start(), plain and not any(COMMENT_NAME.search(n) for n in names)))
         zones.append([name, 1, zone])
         zone = new
         lines.append(Line(zone))
     tail = html[at:]
     put(tail if "<" not in tail else re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", tail))
-    return lines
+    return lines, asides
+
+
+def weighed_lines(html: str) -> list[tuple[str, int]]:
+    """Text and weight of the blocks that take part."""
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        lines, asides = lines_of(html, wrappers)
+        # An element that holds nearly all text outside links is no aside, whatever its name; so look inside.
+        total = sum(line.weight for line in lines) + sum(a.weight for a in asides)
+        around = {a.start for a in asides if a.may_wrap and a.weight * 5 > total * 4}
+        if not around:
+            break
+        wrappers = wrappers | around
+    found = [(line.text(), line.weight, line.zone) for line in lines]
+    found = [f for f in found if f[0] and f[2] >= 0]
+    inside = sum(weight for _, weight, zone in found if zone == 1)
+    if inside and inside * 5 >= 2 * sum(weight for _, weight, _ in found):
+        return [(text, len(text)) for text, _, zone in found if zone == 1]
+    return [(text, weight) for text, weight, _ in found]
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by blank lines; empty if there is none.
 
-    A declared article (``article``, ``main``, or a container named as its body) is taken if it
-    holds a third of the text outside links. Else a run of lines surges if the text in some
-    window of it reaches ``surge``, or a quarter of the page's largest window if that is less;
-    all from the first to the last run that surges is kept.
+    A run of lines surges if the text in some window of it reaches ``surge``, or a quarter of the
+    page's largest window if that is less, and dives where a whole window has no text. All from the first
+    to the last run that surges is kept, without the link-only lines ahead of its first and after its last
+    line of text.
     """
-    found = [(line.text(), line.weight, line.zone) for line in lines_of(html or "")]
-    # An aside inside the text does not part it: what announces itself as something else is left out first.
-    found = [f for f in found if f[0] and f[2] >= 0]
-    inside = sum(weight for _, weight, zone in found if zone == 1)
-    declared = any(zone == 1 for _, _, zone in found) and inside * 3 >= sum(weight for _, weight, _ in found)
-    if declared:
-        return "\n\n".join(text for text, _, zone in found if zone == 1)
-    weights = [weight for _, weight, _ in found]
+    found = weighed_lines(html or "")
+    weights = [weight for _, weight in found]
     sums, total = [], sum(weights[:window])
     for i, weight in enumerate(weights):
         sums.append(total)
@@ -200,7 +243,8 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     kept = [r for r in runs if r and max(sums[i] for i in r) >= least]
     if not kept:
         return ""
-    return "\n\n".join(text for text, _, _ in found[kept[0][0] : kept[-1][-1] + 1])
+    text_at = [i for i in range(kept[0][0], kept[-1][-1] + 1) if weights[i]]
+    return "\n\n".join(text for text, _ in found[text_at[0] : text_at[-1] + 1])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -8,9 +8,11 @@ detections are settled in the order of priority: one that lies inside a kept one
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -210,15 +212,20 @@ def scan(joined: bytes, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     for rule in rules:
         if any(occurs(w) for w in rule.keywords):
             hits.extend((m.start(), m.end(), rule) for m in rule.pattern.finditer(joined))
-    # By priority, the longer first; what lies inside a kept detection is dropped. Kept ones
-    # that do not lie inside one another have growing ends, so the last to start before decides.
+    # By priority, the longer first; what lies inside a kept detection is dropped. Of the kept ones those
+    # that lie in no other are listed by start; their ends grow too, so the last to start before decides.
     hits.sort(key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label))
     kept: list[tuple[int, int, Rule]] = []
-    reach: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in hits:
-        if not any(a <= start and end <= b for a, b in reach):
-            kept.append((start, end, rule))
-            reach.append((start, end))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low : max(low, high)] = [start]
+        ends[low : max(low, high)] = [end]
     return sorted(kept, key=lambda h: h[:2])
 
 
@@ -281,13 +288,15 @@ def scan_licences(
                 hits = [(a, b, label, "base", 1.0) for a, b, label in base_places(joined)]
                 hits += [(a, b, r.label, r.kind, r.confidence) for a, b, r in scan(joined, ordered)]
                 counts.append(len(words))
+                # Every word has one blank before it: its place counts the words ahead.
+                blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) if hits else None
                 rows.append(
                     [
                         {
                             "label": label,
                             "kind": way,
-                            "first_word": joined.count(b" ", 0, a) - 1,
-                            "words": joined.count(b" ", a, b) + 1,
+                            "first_word": int(np.searchsorted(blanks, a)) - 1,
+                            "words": int(np.searchsorted(blanks, b) - np.searchsorted(blanks, a)) + 1,
                             "confidence": confidence,
                         }
                         for a, b, label, way, confidence in hits

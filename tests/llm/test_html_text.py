@@ -1,6 +1,10 @@
+import re
+
 import pytest
 
+from postloom.llm import queries
 from postloom.llm.html_text import extract_text, main_text
+from tests.llm.helpers import DATA, HAVE_DATA
 
 LONG = "The quick brown fox jumps over the lazy dog and runs on through the wide open fields of grain."
 
@@ -105,3 +109,37 @@ def test_links_and_short_paragraphs_inside_the_text_stay():
     assert main_text(html) == "\n\n".join([LONG, *(f"Link {i}" for i in range(5)), LONG])
     menu = "".join(f"<p><a href=a>漢 {i}</a></p>" for i in range(5))
     assert main_text(f"<p>漢字の段落です。</p>{menu}<p>次の段落です。</p>").count("段落") == 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form action=a><input>{0}<p>Last.</p></form><div class=footer>Foot line</div>",
+        "<div class='two-sidebar-layout'>{0}<p>Last.</p></div><footer>Foot line</footer>",
+        "<div class='sidebar-right'><div class='header-wrap'>{0}<p>Last.</p></div></div><div class=copyright>c</div>",
+        "<form><div class='sidebar-x'>{0}<p>Last.</p><div class='ad'>Buy</div></div></form>",
+        "<div>{0}<p>Last.</p></div><article class='teaser'><p>Short teaser about something else to read.</p></article>",
+    ],
+)
+def test_a_wrapper_with_a_telling_name_is_no_aside(page):
+    body = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert main_text(page.format(body)).split("\n\n")[:3] == [LONG, LONG, "Last."]
+
+
+def test_what_stays_an_aside_at_any_length():
+    for name in ("cookie-notice", "comments", "advert", "newsletter-signup"):
+        assert main_text(f"<div class='{name}'><p>{LONG * 9}</p></div><div><p>{LONG}</p></div>") == LONG
+
+
+def test_headings_and_menu_lines_at_the_edge():
+    assert main_text(f"<h1 class='page-header'>Title here</h1><p>{LONG}</p>") == f"Title here\n\n{LONG}"
+    menu = "<p><a href=a>Home</a></p><p><a href=b>News</a></p>"
+    assert main_text(f"{menu}<p>{LONG}</p><p>End.</p>{menu}") == f"{LONG}\n\nEnd."
+
+
+@pytest.mark.skipif(not HAVE_DATA, reason="test tables not present")
+def test_windows_find_the_article_without_its_tags(spark):
+    """The given pages, with their declared articles renamed, give the same text by the windows alone."""
+    for row in queries.table(spark, DATA, "pages").collect():
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", row["html"])
+        assert main_text(plain) == main_text(row["html"])

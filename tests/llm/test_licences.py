@@ -72,3 +72,36 @@ def test_base_phrases_of_all_kinds_of_texts(spark):
         base = sorted((f["first_word"], f["label"]) for f in rows[i]["found"] if f["kind"] == "base")
         assert (rows[i]["n_words"], base) == brute_base(text)
     assert licences.scan_licences(df.where("false")).collect() == []
+
+
+def test_gates_and_intervals_change_nothing(monkeypatch):
+    """The same rules tried everywhere, with every kept detection compared."""
+    import random
+    from dataclasses import replace
+
+    draw = random.Random(4)
+    phrases = [
+        "licensed under the gnu general public license version 3", "spdx license identifier mit", "all rights reserved",
+        "under the mit license", "the apache license version 2 0", "cc by nc", "creative commons attribution", "gpl 3", "x", "see",
+    ]
+    open_rules = [replace(r, keywords=(b"",)) for r in RULES]
+    for _ in range(60):
+        joined = b" " + " ".join(draw.choices(phrases, k=draw.randrange(1, 30))).encode() + b" "
+        kept = []
+        hits = [(m.start(), m.end(), r) for r in open_rules for m in r.pattern.finditer(joined)]
+        for a, b, r in sorted(hits, key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label)):
+            if not any(c <= a and b <= d for c, d, _ in kept):
+                kept.append((a, b, r))
+        want = sorted((a, b, r.label, r.kind) for a, b, r in kept)
+        assert sorted((a, b, r.label, r.kind) for a, b, r in licences.scan(joined, RULES)) == want
+
+
+def test_a_long_text_of_licences_takes_time_in_proportion(spark):
+    import time
+
+    text = "see under the mit license and cc by nc , " * 20_000
+    start = time.time()
+    row = licences.scan_licences(documents(spark, [text])).collect()[0]
+    assert time.time() - start < 60
+    places = [f["first_word"] for f in row["found"] if f["kind"] == "base"]
+    assert len(places) == 40_000 and places[:2] == [1, 6] and max(places) == row["n_words"] - 3
