@@ -9,7 +9,9 @@ from postloom.operators.merge import (
     merge_postings, tier_keys, tier_links,
 )
 from postloom.session import cut
-from postloom.sources.store import publish_postings, publish_ranges, read_postings, read_published, split_points
+from postloom.sources.store import (
+    ROWS_PER_RANGE, publish_postings, publish_ranges, read_postings, read_published, split_points,
+)
 from postloom.streaming.intake import merge_version
 from postloom.session import scratch_root
 
@@ -210,8 +212,8 @@ def store_two_versions(spark, sf_dir):
 
     store, batch = split_postings(spark, sf_dir)
     root = f"{scratch_root(spark)}/store-{uuid.uuid4().hex}"
-    publish_ranges(store.join(tier_keys(store), "seq"), root, 1, split_points(store.select("seq"), 100))
-    merge_version(batch, root, 2, NOW, rows_per_range=100)
+    publish_ranges(store.join(tier_keys(store), "seq"), root, 1, split_points(store.select("seq"), ROWS_PER_RANGE))
+    merge_version(batch, root, 2, NOW)
     return read_published(spark, root).select(
         "seq", "id", "discoveredAt", "lastSeenAt", "title", "requisitionId",
         F.regexp_extract("applyUrl", r"([^/]*)$", 1).alias("page"),

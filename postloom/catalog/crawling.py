@@ -186,7 +186,7 @@ def progress(spark, sf_dir):
 
 @query(f"""with {ROLES}, {PROGRESS_SQL}, items as (select s_name as source, w.keyword, w.profile, w.pos,
       lower(s_name) || '::' || lower(w.keyword) || '::united states' as key
-      from supplier, (select profile, unnest(keywords) as keyword, unnest([0, 1]) as pos from roles) w)
+      from supplier, (select profile, unnest(keywords) as keyword, unnest(range(len(keywords))) as pos from roles) w)
     select i.key, i.source, i.keyword, i.profile, i.pos, coalesce(p.last_page, 0) + 1 as start_page
     from items i left join progress p using (key) where not coalesce(p.completed, false)""")
 def frontier(spark, sf_dir):

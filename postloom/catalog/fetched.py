@@ -372,15 +372,16 @@ def page_cards(spark, sf_dir):
 
 
 @query(f"""with {REGISTRY}, hits as (select page_id, min(r.seq) as seq from pages p join registry r on contains(lower(url), r.domain) group by 1),
-    known as (select p.page_id, p.url, upper(r.domain) as company, (['greenhouse', 'lever', 'workday', 'generic'])[r.seq % 4 + 1] as ats,
-      page_id % 3 as state from pages p left join hits using (page_id) left join registry r on r.seq = hits.seq)
+    known as (select p.page_id, p.url, html, upper(r.domain) as company, (['greenhouse', 'lever', 'workday', 'generic'])[r.seq % 4 + 1] as ats,
+      from pages p left join hits using (page_id) left join registry r on r.seq = hits.seq)
     select page_id as seq, 'company-careers::' || lower(company) as source, 'company-careers' as "sourceType", company,
-      case when state = 0 and ats <> 'generic' then 'Found ' || page_id else 'Listed ' || page_id end as title,
-      case when ats in ('greenhouse', 'lever') then url when ats = 'workday' and state = 0
-          then coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'j' || page_id) else 'j' || page_id end as "requisitionId",
-      case when state = 0 and ats <> 'generic' then 'Text ' || page_id when ats = 'greenhouse' then ''
-        else 'Job posting found on indeed. Full description not extracted.' end as "descriptionText", 'indeed' as origins
-    from known where not (ats = 'lever' and state <> 0)""")
+      case when ats <> 'generic' then 'Found ' || page_id else coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'Listed ' || page_id) end as title,
+      case when ats in ('greenhouse', 'lever') then url
+        when ats = 'workday' then coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'j' || page_id) else 'j' || page_id end as "requisitionId",
+      case when ats <> 'generic' then 'Text ' || page_id
+        when length(trim({_text_of(ARTICLE)})) > 200 then {_decoded_clean(ARTICLE)} else {_decoded_clean(BODY)} end as "descriptionText",
+      'indeed' as origins
+    from known""")
 def resolved_postings(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     text = F.col("page_id").cast("string")
@@ -401,9 +402,12 @@ def resolved_postings(spark, sf_dir):
             ).alias("jobPostingInfo"),
         )
     )
-    payloads = known.where(F.col("seq") % 3 == 0).select("final_url", "ats", body.alias("body"))
-    no_pages = extract_fallback(spark.createDataFrame([], "final_url string, page_title string, html string"))
-    rows, _ = assemble_resolved(attach_details(known, payloads, no_pages), NOW)
+    # Every posting of a hiring system has its payload; those of generic sites are read from the pages.
+    payloads = known.where(F.col("ats") != "generic").select("final_url", "ats", body.alias("body"))
+    captured = table(spark, sf_dir, "pages").select(
+        F.col("url").alias("final_url"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("page_title"), "html"
+    )
+    rows, _ = assemble_resolved(attach_details(known, payloads, extract_fallback(captured)), NOW)
     return rows.select(
         "seq", "source", "sourceType", "company", "title", "requisitionId", "descriptionText", F.array_join("discoveredFrom", ",").alias("origins")
     )

@@ -12,20 +12,22 @@ from postloom.catalog.base import NOW
 
 
 def roles(spark, sf_dir):
-    """One role per brand: its keywords are the first and last part name of the brand."""
+    """One role per brand: its keywords are all part names of the brand, by their first part."""
     part = table(spark, sf_dir, "part")
-    return part.groupBy("p_brand").agg(
-        F.upper(F.min_by("p_name", "p_partkey")).alias("first"), F.max_by("p_name", "p_partkey").alias("last")
-    ).select(
+    names = part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("at"))
+    listed = names.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("at", "p_name"))).alias("names"))
+    words = F.transform("names", lambda n, i: F.when(i == 0, F.upper(n["p_name"])).otherwise(n["p_name"]))
+    return listed.select(
         F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("seq"),
-        F.col("p_brand").alias("id"), F.col("p_brand").alias("profile"), F.array("first", "last").alias("keywords"),
+        F.col("p_brand").alias("id"), F.col("p_brand").alias("profile"), words.alias("keywords"),
     )
 
 
 ROLES = """roles as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as bigint) as seq, p_brand as profile,
-    [upper(arg_min(p_name, p_partkey)), arg_max(p_name, p_partkey)] as keywords from part group by p_brand)"""
-SEARCHES = f"""{ROLES}, words as (select seq, profile, unnest([0, 1]) as pos, lower(unnest(keywords)) as keyword from roles),
-    firsts as (select keyword, profile, min(seq * 10 + pos) as ord from words group by all),
+    [upper(names[1])] || names[2:] as keywords from (select p_brand, list(p_name order by first_key) as names
+      from (select p_brand, p_name, min(p_partkey) as first_key from part group by all) group by p_brand))"""
+SEARCHES = f"""{ROLES}, words as (select seq, profile, unnest(range(len(keywords))) as pos, lower(unnest(keywords)) as keyword from roles),
+    firsts as (select keyword, profile, min(seq * 100000 + pos) as ord from words group by all),
     searches as (select keyword, min(ord) as no, list(profile order by ord) as profiles from firsts group by keyword)"""
 
 

@@ -246,8 +246,8 @@ def split_points(seqs: DataFrame, rows_per_range: int) -> list[int]:
     if not rows:
         return []
     parts = math.ceil(rows / rows_per_range)
-    inner = seqs.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    return sorted({int(low), *(int(x) for x in inner)})
+    ranged = seqs.repartitionByRange(parts, "seq").groupBy(F.spark_partition_id().alias("part"))
+    return sorted({int(low), *(int(r["lo"]) for r in ranged.agg(F.min("seq").alias("lo")).collect())})
 
 
 def publish_ranges(
@@ -258,7 +258,8 @@ def publish_ranges(
     spark = rows.sparkSession
     target = f"{root}/v={version}/ranges"
     placed = rows.select(*RANGED_POSTING.fieldNames()).withColumn("range", range_index(F.col("seq"), bounds))
-    placed.write.mode("overwrite").partitionBy("range").parquet(target)
+    # A range is a bounded number of rows, so one task writes it, as one file.
+    placed.repartition("range").write.mode("overwrite").partitionBy("range").parquet(target)
     schema = StructType([RANGED_POSTING["seq"], StructField("range", IntegerType())])
     found = spark.read.schema(schema).parquet(target).groupBy("range")
     written = [
