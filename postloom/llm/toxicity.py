@@ -231,9 +231,13 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 3,
+    found_terms: int = MAX_TERMS,
+    used_terms: int = USED_TERMS,
 ) -> ToxicityModel | None:
     """Fit the chain on about ``toxic_rows`` toxic and ``other_rows`` other labelled documents:
     a bounded sample, one document per text. Rows are weighted back to the share of their class.
+    Of the terms that tell, the best ``found_terms`` are looked at, and the first ``used_terms`` of those that
+    occur in different documents are the model's features.
 
     The labels know only toxic or not. The first two categories refine it by what the terms
     say: ``dense`` (at least 1 % of the words match a term) and ``recurring`` (three or more
@@ -248,7 +252,7 @@ def train(
         F.min_by(F.struct(*texts.columns), id_col).alias("row")
     ).select("row.*")
     texts = cut(texts, "toxicity-sample")
-    terms = telling_terms(texts, text_col)
+    terms = telling_terms(texts, text_col, found_terms)
     if not terms:
         return None
     fold = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold")
@@ -265,7 +269,7 @@ def train(
     rates /= max(1, sum(r[3] for r, toxic in zip(rows, y, strict=True) if not toxic))
     # Of terms that occur in the same documents of the sample the first stands for all.
     _, first = np.unique(surprise(rows, rates) > 0, axis=1, return_index=True)
-    used = np.sort(first)[:USED_TERMS]
+    used = np.sort(first)[:used_terms]
     matrix = surprise(rows, rates)[:, used]
     terms, rates = [terms[i] for i in used], rates[used]
     hits, words = found["hits"].to_numpy(), np.maximum(1, found["words"].to_numpy())
