@@ -32,7 +32,6 @@ from postloom.functions.text import (
 from postloom.functions.urls import with_canonical_url
 from postloom.operators.ordered import (
     ROWS_PER_BLOCK,
-    block_count,
     lag_in_key,
     lookup_join,
     ordered_union,
@@ -364,42 +363,41 @@ def merged_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
-def link_components(keys: DataFrame, blocks: int | None = None) -> DataFrame:
+def link_components(keys: DataFrame, hot_rows: int = 5_000_000) -> DataFrame:
     """``(seq, component)``: rows connected through shared tier keys, named by their first row.
 
-    Each key contributes a chain of neighbours instead of a star, so no row has more than
-    eight neighbours. Labels move to the smaller neighbour and then jump along labels.
+    Each key links its rows to its first row. Then large and small stars alternate: every row
+    hands the smallest of its neighbours to the larger ones, and then links the smaller ones and itself to
+    the smallest of them. Rows without a link take no part. A round shortens every way by half or more; it ends
+    when all links point at the first row of their component. Lookups of rows that many others point at
+    are spread (:func:`lookup_join`).
     """
-    links = tier_links(keys)
-    if blocks is None:
-        blocks = block_count(links)
-    near = lag_in_key(links, ["tier", "key"], "seq", "seq", "prev", blocks)
-    near = near.where(F.col("prev").isNotNull()).select("seq", "prev").distinct()
-    both = cut(
-        near.select(F.col("seq").alias("a"), F.col("prev").alias("b")).unionByName(
-            near.select(F.col("prev").alias("a"), F.col("seq").alias("b"))
-        ),
-        "neighbours",
-    )
-    labels = cut(keys.select("seq", F.col("seq").alias("label")), "labels")
-    while True:
-        offers = both.join(labels.withColumnRenamed("seq", "b"), "b").groupBy("a").agg(
-            F.min("label").alias("offer")
-        )
-        lowered = labels.join(offers.withColumnRenamed("a", "seq"), "seq", "left").select(
-            "seq", F.col("label").alias("old"), F.least("label", "offer").alias("label")
+    links = tier_links(keys).select("seq", F.struct("tier", "key").alias("key"))
+    firsts = links.groupBy("key").agg(F.min("seq").alias("to"), F.max("seq").alias("last"))
+    firsts = firsts.where("to < last").select("key", "to")
+    joined = lookup_join(links, firsts, "key", "inner", hot_rows)
+    edges = cut(joined.where("seq <> to").select("seq", "to").distinct(), "links")
+    state = _edge_state(edges)
+    while state[0]:
+        both = edges.unionByName(edges.select(F.col("to").alias("seq"), F.col("seq").alias("to")))
+        nearest = both.groupBy("seq").agg(F.min("to").alias("to")).select(
+            F.col("seq").alias("to"), F.least("seq", "to").alias("first")
         )
-        lowered = cut(lowered, "labels")
-        # Jump: take the label of one's label. Many rows may share a label, so the lookup
-        # counts rows per label and spreads the hot ones.
-        ahead = lowered.select(F.col("seq").alias("label"), F.col("label").alias("further"))
-        jumped = lookup_join(lowered, ahead, "label", "left").select(
-            "seq", "old", F.least("label", "further").alias("label")
-        )
-        jumped = cut(jumped, "labels")
-        labels = jumped.select("seq", "label")
-        if jumped.where(F.col("old") != F.col("label")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        large = lookup_join(edges, nearest, "to", "inner", hot_rows)
+        large = cut(large.select("seq", F.col("first").alias("to")).distinct(), "large-stars")
+        first = large.groupBy("seq").agg(F.min("to").alias("first"))
+        ends = F.explode(F.array("seq", "to")).alias("seq")
+        small_stars = large.join(first, "seq").select(ends, F.col("first").alias("to")).where("seq <> to")
+        edges = cut(small_stars.distinct(), "small-stars")
+        before, state = state, _edge_state(edges)
+        if state == before:
+            break
+    return keys.select("seq").join(edges, "seq", "left").select("seq", F.coalesce("to", "seq").alias("component"))
+
+
+def _edge_state(edges: DataFrame) -> tuple:
+    """How many links there are, and a hash of them all: equal only for equal sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq", "to"))).first())
 
 
 def _dedup(df: DataFrame, key: Column) -> DataFrame:

@@ -173,6 +173,7 @@ def greenhouse_jobs(payloads: DataFrame, max_jobs: int | None = None) -> DataFra
         F.col("job.title").alias("title"),
         F.col("job.absolute_url").alias("url"),
         "raw",
+        "job",
     )
 
 
@@ -187,6 +188,7 @@ def lever_jobs(payloads: DataFrame, max_jobs: int | None = None) -> DataFrame:
         F.col("job.text").alias("title"),
         F.col("job.hostedUrl").alias("url"),
         "raw",
+        "job",
     )
 
 
@@ -306,8 +308,8 @@ def workday_jobs(
 
 
 def greenhouse_details(jobs: DataFrame) -> DataFrame:
-    """Adds ``detail``. ``jobs`` has ``externalId``, ``url`` and ``raw``."""
-    job = F.from_json("raw", GREENHOUSE_JOB)
+    """Adds ``detail``. ``jobs`` has ``externalId``, ``url`` and ``raw``, and may have the parsed ``job``, which is not kept."""
+    job = F.col("job") if "job" in jobs.columns else F.from_json("raw", GREENHOUSE_JOB)
     j = F.col("__job")
     # The cleaned text is a column of its own, so that later uses of it do not repeat the work.
     read = jobs.withColumn("__job", job).withColumn("__text", clean_text(F.coalesce(j["content"], F.lit(""))))
@@ -328,7 +330,7 @@ def greenhouse_details(jobs: DataFrame) -> DataFrame:
             F.col("url").alias("applyUrl"),
             F.col("raw").alias("rawMetadata"),
         ),
-    ).drop("__job", "__text")
+    ).drop("__job", "__text", "job")
 
 
 def iso_millis(millis: Column) -> Column:
@@ -339,7 +341,7 @@ def iso_millis(millis: Column) -> Column:
 
 
 def lever_details(jobs: DataFrame) -> DataFrame:
-    job = F.from_json("raw", LEVER_JOB)
+    job = F.col("job") if "job" in jobs.columns else F.from_json("raw", LEVER_JOB)
     j = F.col("__job")
     text = clean_text(F.coalesce(j["descriptionPlain"], j["description"], F.lit("")))
     return jobs.withColumn("__job", job).withColumn("__text", text).withColumn(
@@ -359,7 +361,7 @@ def lever_details(jobs: DataFrame) -> DataFrame:
             j["applyUrl"].alias("applyUrl"),
             F.col("raw").alias("rawMetadata"),
         ),
-    ).drop("__job", "__text")
+    ).drop("__job", "__text", "job")
 
 
 def workday_details(jobs: DataFrame) -> DataFrame:

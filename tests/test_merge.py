@@ -67,7 +67,7 @@ def test_slots_equal_sequential_fold(spark, seed, blocks, per_range, parts):
 def test_components_equal_union_find(spark):
     rows = cases(5, 120)
     df = spark.createDataFrame(rows, "seq long, is_store boolean, k1 binary, k2 binary, k3 binary, k4 binary").drop("is_store")
-    got = {r.seq: r.component for r in link_components(df, blocks=3).collect()}
+    got = {r.seq: r.component for r in link_components(df, hot_rows=2).collect()}
     root = {r[0]: r[0] for r in rows}
 
     def find(x):
