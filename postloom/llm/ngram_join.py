@@ -42,6 +42,7 @@ SUBSET = 2  # size of the subsets of light sets; smaller sets than 4 link only w
 LIGHTEST = 100  # a set above this size has over 200 subsets and 20 lists: it is heavy at any cost
 MEETING = 8  # cost of two sets that meet, in rows shuffled
 LEADERS = 4
+PRIOR = 8  # buckets of a set that are looked back at
 FILTER_BITS = 26  # bit filters have 8 MB, whatever the table
 MEMBERS_PER_TASK = 512  # sets compared with one leader's set in one go
 BITS = ["b0", "b1", "b2", "b3"]
@@ -448,15 +449,16 @@ def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None =
     sizes = open_.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("sets"))
     largest = sizes.groupBy("mark").agg(F.max_by("part", F.struct("sets", "part")).alias("largest"))
     whole = open_.join(largest, "mark").join(facts, "id")
-    # Two sets that share a passage meet in many buckets. Where both have the same bucket just before, they
-    # have met there already, so they meet at the first of each run of common buckets.
-    whole = cut(whole.withColumn("prior", F.lag("mark").over(Window.partitionBy("id").orderBy("mark"))), "join-members")
+    # Two sets that share a passage meet in many buckets. Where the last few buckets before have one in
+    # common, they have met there already.
+    before = Window.partitionBy("id").orderBy("mark").rowsBetween(-PRIOR, -1)
+    whole = cut(whole.withColumn("prior", F.collect_list("mark").over(before)), "join-members")
     names = ["mark", "id", "part", "n", "prior", *BITS]
     few = whole.where("part <> largest").select(*[F.col(c).alias(f"{c}_x" if c != "mark" else c) for c in names])
     many = whole.select(*[F.col(c).alias(f"{c}_y" if c != "mark" else c) for c in (*names, "largest")])
     once = (F.col("part_y") == F.col("largest_y")) | (F.col("id_x") < F.col("id_y"))
-    fresh = F.coalesce(F.col("prior_x") != F.col("prior_y"), F.lit(True))
-    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once & fresh & may_link("_x", "_y")
+    fresh = ~F.arrays_overlap("prior_x", "prior_y")
+    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once & may_link("_x", "_y") & fresh
     rest = few.join(many, on).select(*_pair("id_x", "id_y")).distinct()
     return _placed(cut(links.unionByName(joined.verify(rest)), "join-links"))
 
