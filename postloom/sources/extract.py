@@ -217,15 +217,15 @@ def extract_site_links(pages: DataFrame) -> DataFrame:
     return _map_pages(renamed, list(dropped), read, "pos url has_next", keep)
 
 
-def extract_details(detail_pages: DataFrame) -> DataFrame:
+def extract_details(detail_pages: DataFrame, closed_references: bool = False) -> DataFrame:
     """Add ``detail`` to pages of sites with selectors.
 
     ``detail_pages`` has ``seq, url, html, listing_title`` and the site's ``titleSelector,
-    locationSelector, descriptionSelector, applyLinkSelector``.
+    locationSelector, descriptionSelector, applyLinkSelector``. ``closed_references`` as in :func:`parse`.
     """
 
     def read(url, html, title_at, location_at, description_at, apply_at):
-        root = parse(html)
+        root = parse(html, closed_references)
         body = first(root, description_at)
         apply = url
         if apply_at and (link := first(root, apply_at)) is not None:
@@ -260,11 +260,12 @@ def extract_details(detail_pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_fallback(detail_pages: DataFrame) -> DataFrame:
-    """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``."""
+def extract_fallback(detail_pages: DataFrame, closed_references: bool = False) -> DataFrame:
+    """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``.
+    ``closed_references`` as in :func:`parse`."""
 
     def read(html):
-        root = parse(html)
+        root = parse(html, closed_references)
         found = None
         for selector in FALLBACK_SELECTORS:
             node = first(root, selector)
