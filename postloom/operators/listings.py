@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import falsy_or
 from postloom.functions.urls import encode_component, url_path
-from postloom.operators.ordered import first_n_in_key, lag_in_key
+from postloom.operators.ordered import first_n_in_key, lag_in_key, shuffled
 from postloom.schemas import LISTING
 from postloom.sources.payloads import cap_pages, collapse_first_seen
 
@@ -132,7 +132,7 @@ def drop_seen(
     """
     old = seen.select(*keys, F.col("source_job_id").alias(id_col))
     fresh = first_seen(df.where(_has_id(id_col)), keys, id_col, order_cols)
-    fresh = fresh.join(old, [*keys, id_col], "left_anti").select(*df.columns)
+    fresh = fresh.join(shuffled(old), [*keys, id_col], "left_anti").select(*df.columns)
     return fresh.unionByName(df.where(~_has_id(id_col)))
 
 
@@ -143,12 +143,12 @@ def new_ids_per_page(
     first = cards.where(_has_id(id_col)).groupBy(*keys, id_col).agg(F.min("page_no").alias("page_no"))
     if seen is not None:
         old = seen.select(*keys, F.col("source_job_id").alias(id_col))
-        first = first.join(old, [*keys, id_col], "left_anti")
+        first = first.join(shuffled(old), [*keys, id_col], "left_anti")
     return first.groupBy(*keys, "page_no").agg(F.count(F.lit(1)).alias("new_ids"))
 
 
 def _with_new_ids(pages: DataFrame, new_ids: DataFrame, keys: list[str]) -> DataFrame:
-    joined = pages.join(new_ids, [*keys, "page_no"], "left")
+    joined = pages.join(shuffled(new_ids), [*keys, "page_no"], "left")
     return joined.withColumn("new_ids", F.coalesce("new_ids", F.lit(0)))
 
 
@@ -242,7 +242,7 @@ def link_stop(
 
 
 def up_to_last_page(df: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(stops, keys).where(F.col("page_no") <= F.col("last_page")).drop("last_page")
+    return df.join(shuffled(stops), keys).where(F.col("page_no") <= F.col("last_page")).drop("last_page")
 
 
 def collapse_links(

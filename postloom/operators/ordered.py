@@ -20,9 +20,17 @@ SPLIT_BYTES = 64 << 20
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise as it is, so that
-    Spark shuffles it and splits skewed partitions."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise :func:`shuffled`."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` marked to be shuffled in a join, where Spark splits skewed partitions.
+
+    Without the mark Spark goes by the size of the files, and millions of rows that Parquet packs into
+    a few MB would be broadcast through the driver.
+    """
+    return df.hint("merge")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.urls import search_url
 from postloom.operators.listings import progress_key
+from postloom.operators.ordered import shuffled
 from postloom.schemas import PROGRESS
 
 DEFAULT_LOCATION = "United States"
@@ -97,7 +98,7 @@ def progress_rollup(pages: DataFrame, prior: DataFrame, now: str) -> DataFrame:
         F.max(F.when(~F.col("failed"), F.col("page_no"))).alias("run_page"),
         F.bool_and(~F.col("failed")).alias("run_done"),
     )
-    joined = prior.join(run, "key", "full")
+    joined = prior.join(shuffled(run), "key", "full")
     updated = F.col("who").isNotNull()
     columns = {
         "key": F.col("key"),

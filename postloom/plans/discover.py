@@ -17,7 +17,7 @@ from postloom.operators.listings import (
     up_to_last_page,
 )
 from postloom.operators.merge import merge_with_keys
-from postloom.operators.ordered import small
+from postloom.operators.ordered import shuffled, small
 from postloom.operators.profiles import profile_totals, tag_listings
 from postloom.operators.progress import progress_rollup, seen_rollup
 from postloom.operators.resolve import (
@@ -82,7 +82,7 @@ def read_result_pages(
     cards = extract_cards(keyed, selectors).withColumn("seq", position_seq(F.col("page_seq"), F.col("pos")))
     cards = cut(cards.drop("page_seq"), "cards")
     counts = cards.groupBy("key", "page_no").agg(F.count(F.lit(1)).alias("n_cards"))
-    pages = visited.join(counts, ["key", "page_no"], "left").withColumn(
+    pages = visited.join(shuffled(counts), ["key", "page_no"], "left").withColumn(
         "n_cards", F.coalesce("n_cards", F.lit(0))
     )
     listings = normalise_cards(cards, now)
@@ -106,7 +106,7 @@ def read_result_pages(
     silent = pages.groupBy("key").agg(
         F.min_by(F.struct("source", "keyword", "location", "start_page"), "page_no").alias("who")
     )
-    silent = silent.join(read.select("key"), "key", "left_anti").select("key", "who.*")
+    silent = silent.join(shuffled(read.select("key")), "key", "left_anti").select("key", "who.*")
     read = read.unionByName(silent.withColumn("failed", F.lit(False)), allowMissingColumns=True)
     return drop_seen(kept, seen, ["key"], "sourceJobId", ["page_no", "pos"]), read
 
