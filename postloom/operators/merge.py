@@ -35,6 +35,7 @@ from postloom.operators.ordered import (
     lag_in_key,
     lookup_join,
     ordered_union,
+    shuffled,
     small,
     spread,
 )
@@ -42,10 +43,10 @@ from postloom.session import cut
 
 TIERS = ["k1", "k2", "k3", "k4"]
 KEY = "__key"
-# A batch with at most this many keys (about 30 bytes each) is broadcast to the store.
-BROADCAST_LINKS = 2_000_000
+# A batch with at most this many keys (some 100 bytes each on the driver) is broadcast to the store.
+BROADCAST_LINKS = 500_000
 # Likewise for the rows that take part in a replacement (some hundred bytes each).
-BROADCAST_FATES = 500_000
+BROADCAST_FATES = 100_000
 
 
 def _short(digest: Column) -> Column:
@@ -109,7 +110,7 @@ def _candidates(
             stored = stored.join(F.broadcast(asked), ["tier", "key"], "left_semi")
         last_stored = stored.groupBy("tier", "key").agg(F.max("seq").alias("stored"))
         heads = lagged.where(F.col("prev").isNull()).drop("prev")
-        from_store = heads.join(last_stored, ["tier", "key"]).select(
+        from_store = heads.join(shuffled(last_stored), ["tier", "key"]).select(
             "seq", "tier", F.col("stored").alias("prev")
         )
         lagged = lagged.where(F.col("prev").isNotNull()).select("seq", "tier", "prev")
@@ -160,7 +161,7 @@ def _apply_settled(pending: DataFrame, settled: DataFrame) -> DataFrame:
     )
     known = settled.select(F.col("seq").alias("rival"), F.col("choice"))
     return (
-        exploded.join(known, "rival", "left")
+        exploded.join(small(known), "rival", "left")
         .groupBy("seq", "pos", "prev")
         .agg(
             F.collect_list(F.when(F.col("choice").isNull(), F.col("rival"))).alias("rivals"),
@@ -200,7 +201,7 @@ def choose_predecessors(
         ranges = math.ceil(left / rows_per_range)
         local = pending.repartitionByRange(ranges, "seq").sortWithinPartitions("seq")
         picks = local.mapInPandas(_settle_partition, "seq bigint, choice bigint")
-        state = cut(pending.join(picks, "seq"), "choices") if ranges > 1 else cut(picks, "choices")
+        state = cut(pending.join(shuffled(picks), "seq"), "choices") if ranges > 1 else cut(picks, "choices")
         newest = state.where(F.col("choice").isNotNull()).select("seq", "choice")
         settled.append(newest)
         if ranges == 1:
@@ -226,7 +227,7 @@ def follow_chains(edges: DataFrame) -> DataFrame:
         )
         moved = (
             table.where(~F.col("done"))
-            .join(ahead, "slot", "left")
+            .join(small(ahead), "slot", "left")
             .select(
                 "seq",
                 F.coalesce("further", "slot").alias("slot"),
@@ -274,9 +275,9 @@ def merge_slots(rows: DataFrame, slots: DataFrame, now: str) -> DataFrame:
         F.max("seq").alias("last_seq"),
     )
     unions = ordered_union(thin, ["slot"], ["discoveredFrom", "matchedProfiles"], ["seq"])
+    known = cut(facts.join(shuffled(unions), "slot"), "slot-facts")
     fate = (
-        members.join(facts, "slot")
-        .join(unions, "slot")
+        members.join(small(known), "slot")
         .select(
             "seq",
             F.struct(
@@ -356,7 +357,7 @@ def merged_keys(keys: DataFrame, slots: DataFrame) -> DataFrame:
     """Keys of the merged store: those of the last row of each slot."""
     members = slots.unionByName(slots.select(F.col("slot").alias("seq"), "slot").distinct())
     last = slots.groupBy("slot").agg(F.max("seq").alias("last_seq"))
-    fate = members.join(last, "slot").select("seq", "slot", "last_seq")
+    fate = cut(members.join(shuffled(last), "slot").select("seq", "slot", "last_seq"), "key-fates")
     joined = keys.join(small(fate, BROADCAST_LINKS), "seq", "left")
     return joined.where(F.col("slot").isNull() | (F.col("seq") == F.col("last_seq"))).select(
         F.coalesce("slot", "seq").alias("seq"), *TIERS
