@@ -258,8 +258,8 @@ def publish_ranges(
     spark = rows.sparkSession
     target = f"{root}/v={version}/ranges"
     placed = rows.select(*RANGED_POSTING.fieldNames()).withColumn("range", range_index(F.col("seq"), bounds))
-    # A range is a bounded number of rows, so one task writes it, as one file.
-    placed.repartition("range").write.mode("overwrite").partitionBy("range").parquet(target)
+    # A range is a bounded number of rows, but postings may be long: Spark deals a range out by its size, to a file a task.
+    placed.hint("rebalance", "range").write.mode("overwrite").partitionBy("range").parquet(target)
     schema = StructType([RANGED_POSTING["seq"], StructField("range", IntegerType())])
     found = spark.read.schema(schema).parquet(target).groupBy("range")
     written = [
