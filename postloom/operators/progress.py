@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.urls import search_url
 from postloom.operators.listings import progress_key
-from postloom.operators.ordered import shuffled
+from postloom.operators.ordered import shuffled, spread
 from postloom.schemas import PROGRESS
 
 DEFAULT_LOCATION = "United States"
@@ -57,7 +57,8 @@ def crawl_frontier(
     todo = words.agg(
         F.array_sort(F.collect_list(F.struct(F.col("seq").alias("role_seq"), "pos", "keyword", "profile")))
     ).scalar()
-    items = sources.select(
+    # A source becomes a row for every keyword, so few sources are dealt out first.
+    items = spread(sources).select(
         F.col("seq").alias("source_seq"), "source", F.explode(todo).alias("w")
     ).select("source_seq", "source", "w.*", F.lit(location or DEFAULT_LOCATION).alias("location"))
     keyed = items.withColumn(
