@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.contains import MAX_INLINE_NEEDLES, gram_matches, inline_array
-from postloom.operators.ordered import ordered_union
+from postloom.operators.ordered import ordered_union, spread
 
 
 def _none() -> Column:
@@ -42,7 +42,7 @@ def match_profiles(
     if needles.count() <= inline_limit:
         hits = F.filter("__needles", lambda s: F.col("__low").contains(s["needle"]))
         tags = F.array_distinct(F.flatten(F.transform(hits, lambda s: s["profileIds"])))
-        ready = df.withColumns(
+        ready = spread(df).withColumns(
             {"__low": F.lower(text_col), "__needles": inline_array(needles, "needle", "profileIds")}
         )
         return ready.withColumn(out, F.coalesce(tags, _none())).drop("__low", "__needles")
@@ -55,9 +55,9 @@ def match_profiles(
 
 def profile_totals(df: DataFrame, col: str = "matchedProfiles") -> DataFrame:
     """``(profile, n)`` over a multi-valued tag."""
-    return (
-        df.select(F.explode(col).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
-    )
+    # A plain explode first asks whether the array is empty, below every shuffle: tags would be worked out twice.
+    tags = df.select(F.posexplode_outer(col).alias("at", "profile")).where(F.col("at").isNotNull())
+    return tags.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_listings(
