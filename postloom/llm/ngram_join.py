@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.llm.graph import components
-from postloom.operators.ordered import lookup_join, small
+from postloom.operators.ordered import lookup_join, shuffled, small
 from postloom.session import cut, discard
 
 SEED = 42
@@ -395,33 +395,42 @@ def _several(members: DataFrame, parts: DataFrame) -> DataFrame:
 def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``(id, part)`` of every set that has a link; ``part`` is the smallest id reachable over links.
 
-    ``marked`` is ``(id, marks)`` of every different set, ``links`` (a, b) are pairs known to be linked.
+    ``marked`` is ``(id, n, b0..b3, marks)`` of every different set, ``links`` (a, b) are pairs known to be linked.
     """
+    facts = ["n", *BITS]
     spread = marked.select("id", F.explode("marks").alias("mark"))
-    met = spread.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("sets"))
-    met = cut(met.where("low <> high"), "join-buckets")
-    larger = met.where("sets > 2")
-    bits = bit_filter(larger, "mark")
+    met = spread.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    bits = bit_filter(cut(met.where("low <> high").select("mark"), "join-buckets"), "mark")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("marks")
             found = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
             hit = passes(bits, found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(found[hit])], names=["id", "mark"])
-
-    likely = marked.select("id", "marks").mapInArrow(shared, "id long, mark long")
-    members = cut(likely.join(larger.select("mark", "low"), "mark"), "join-members")
-
-    pairs = met.where("sets = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    led = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.unionByName(led).distinct()
+            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[hit]
+            own = batch.select(["id", *facts]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found[hit])], names=["id", *facts, "mark"])
+
+    # Sizes and parities travel with the members, so what they rule out is never paired.
+    likely = marked.select("id", *facts, "marks").mapInArrow(shared, "id long, n int, b0 long, b1 long, b2 long, b3 long, mark long")
+    likely = cut(likely, "join-likely")
+    ends = [f(F.struct("id", *facts)).alias(side) for f, side in ((F.min, "low"), (F.max, "high"))]
+    met = cut(likely.groupBy("mark").agg(*ends, F.count(F.lit(1)).alias("sets")), "join-buckets")
+
+    def side(row: str, name: str) -> list:
+        return [F.col(f"{row}{c}").alias(f"{c}_{name}") for c in ("id", *facts)]
+
+    larger = met.where("sets > 2").select("mark", *side("low.", "a"))
+    members = cut(likely.join(shuffled(larger), "mark").select("mark", *side("", "b"), *[f"{c}_a" for c in ("id", *facts)]), "join-members")
+    discard(likely)
+    pairs = met.where("sets = 2").select(*side("low.", "a"), *side("high.", "b"))
+    pairs = pairs.unionByName(members.where("id_b <> id_a").drop("mark")).where(may_link("_a", "_b"))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where("a <> b").distinct()
     if links is None:
         links = joined.verify(pairs)
     else:
         links = links.unionByName(joined.verify(_apart(pairs, _placed(links))))
-    members = members.select("mark", "id")
+    members = members.select("mark", F.col("id_b").alias("id"))
     parts = _placed(links)
     open_ = _several(members, parts)
     if open_.isEmpty():
@@ -445,10 +454,9 @@ def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None =
         return parts
 
     # What is left: the sets outside the largest part of a bucket against all others of it.
-    facts = joined.sets.select("id", "n", *BITS)
     sizes = open_.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("sets"))
     largest = sizes.groupBy("mark").agg(F.max_by("part", F.struct("sets", "part")).alias("largest"))
-    whole = open_.join(largest, "mark").join(facts, "id")
+    whole = open_.join(largest, "mark").join(joined.sets.select("id", *facts), "id")
     # Two sets that share a passage meet in many buckets. Where the last few buckets before have one in
     # common, they have met there already.
     before = Window.partitionBy("id").orderBy("mark").rowsBetween(-PRIOR, -1)
@@ -486,7 +494,7 @@ def ngram_components(
     rows = cut(read.select(id_col, "node", "n"), "join-thin")
     discard(read)
     joined = Joined(documents, classes.drop("marks", "smallest"), width, text_col)
-    parts = connected_sets(joined, classes.where("n >= 4").select("id", "marks"))
+    parts = connected_sets(joined, classes.where("n >= 4").select("id", "n", *BITS, "marks"))
     return label_rows(rows, classes, parts, id_col)
 
 
