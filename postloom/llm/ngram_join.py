@@ -377,13 +377,6 @@ def _placed(links: DataFrame) -> DataFrame:
     return cut(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "join-parts")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are not known to be in one part."""
-    for side in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}")), side, "left")
-    return pairs.where(F.col("part_a").isNull() | F.col("part_b").isNull() | (F.col("part_a") != F.col("part_b"))).select("a", "b")
-
-
 def _several(members: DataFrame, parts: DataFrame) -> DataFrame:
     """``(mark, id, part)`` of the buckets whose members are still in several parts."""
     placed = members.join(parts, "id", "left").select("mark", "id", F.coalesce("part", "id").alias("part"))
@@ -392,10 +385,10 @@ def _several(members: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(placed.join(apart.select("mark"), "mark", "left_semi"), "join-members")
 
 
-def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def connected_sets(joined: Joined, marked: DataFrame) -> DataFrame:
     """``(id, part)`` of every set that has a link; ``part`` is the smallest id reachable over links.
 
-    ``marked`` is ``(id, n, b0..b3, marks)`` of every different set, ``links`` (a, b) are pairs known to be linked.
+    ``marked`` is ``(id, n, b0..b3, marks)`` of every different set.
     """
     facts = ["n", *BITS]
     spread = marked.select("id", F.explode("marks").alias("mark"))
@@ -426,10 +419,7 @@ def connected_sets(joined: Joined, marked: DataFrame, links: DataFrame | None =
     pairs = met.where("sets = 2").select(*side("low.", "a"), *side("high.", "b"))
     pairs = pairs.unionByName(members.where("id_b <> id_a").drop("mark")).where(may_link("_a", "_b"))
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where("a <> b").distinct()
-    if links is None:
-        links = joined.verify(pairs)
-    else:
-        links = links.unionByName(joined.verify(_apart(pairs, _placed(links))))
+    links = joined.verify(pairs)
     members = members.select("mark", F.col("id_b").alias("id"))
     parts = _placed(links)
     open_ = _several(members, parts)
