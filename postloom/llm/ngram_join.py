@@ -14,9 +14,9 @@ The sample also puts common shingles last in the order. Neither changes which li
 
 Sets that meet are compared step by step, because only connected groups are wanted: first every set of
 a bucket with one leader, then, where a bucket still holds several groups, with a few more leaders, and last
-the sets outside the largest group of a bucket with all others of it. Sizes and parities, a
-few bits for each shingle, rule out nearly all pairs that are not alike; the others are verified on whole
-sets, which are read from the texts of just those documents.
+the sets outside the largest group of a bucket with all others of it. Sizes, the places of the bucket's shingle
+in the two sets, and parities, a few bits for each shingle, rule out nearly all pairs that are not alike, before they are
+made; the others are verified on whole sets, which are read from the texts of just those documents.
 """
 
 from __future__ import annotations
@@ -101,6 +101,15 @@ def list_marks(hashes: np.ndarray, order: Order) -> np.ndarray:
     return order.first(hashes, n - needed(n) + 1) if n >= 4 else hashes[:0]
 
 
+def places(sizes: np.ndarray, lengths: np.ndarray, boundary: int) -> np.ndarray:
+    """The place of every mark of these sets in the order of all shingles: how many shingles of its set come before
+    it. -1 for subsets, which come first in :func:`marks`."""
+    first = np.minimum(sizes, sizes + SUBSET - -(-4 * sizes // 5))
+    light = np.where((sizes >= 4) & (sizes <= boundary), first * (first - 1) // 2, 0)
+    begin = np.cumsum(lengths) - lengths
+    return np.maximum(np.arange(lengths.sum()) - np.repeat(begin + light, lengths), -1)
+
+
 def marks(hashes: np.ndarray, order: Order, boundary: int) -> np.ndarray:
     """All buckets of a set: subsets if it is light, lists if it is heavy or can be alike to a heavy one."""
     n = len(hashes)
@@ -366,6 +375,13 @@ def may_link(a: str, b: str):
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (apart * 9 <= n + m)
 
 
+def may_meet(a: str, b: str):
+    """Whether two sets that can link may have their bucket's shingle as the first one they share: what comes before it is
+    in one of them only, and so is at least what one has more than the other after it. Subsets have no place."""
+    i, j, n, m = F.col(f"at{a}"), F.col(f"at{b}"), F.col(f"n{a}"), F.col(f"n{b}")
+    return (i < 0) | (j < 0) | ((i + j + F.abs((n - i) - (m - j))) * 9 <= n + m)
+
+
 def _pair(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
@@ -378,17 +394,20 @@ def _placed(links: DataFrame) -> DataFrame:
 
 
 def _several(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(mark, id, part)`` of the buckets whose members are still in several parts."""
-    placed = members.join(parts, "id", "left").select("mark", "id", F.coalesce("part", "id").alias("part"))
-    placed = cut(placed, "join-members")
+    """``members`` with their ``part``, of the buckets whose members are still in several parts."""
+    placed = members.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    placed = cut(placed.select(*members.columns, "part"), "join-members")
     apart = placed.groupBy("mark").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return cut(placed.join(apart.select("mark"), "mark", "left_semi"), "join-members")
+    open_ = cut(placed.join(apart.select("mark"), "mark", "left_semi"), "join-members")
+    discard(placed)
+    return open_
 
 
-def connected_sets(joined: Joined, marked: DataFrame) -> DataFrame:
+def connected_sets(joined: Joined, marked: DataFrame, boundary: int) -> DataFrame:
     """``(id, part)`` of every set that has a link; ``part`` is the smallest id reachable over links.
 
-    ``marked`` is ``(id, n, b0..b3, marks)`` of every different set.
+    ``marked`` is ``(id, n, b0..b3, marks)`` of every different set, ``boundary`` that of :func:`marks`. Two sets that link are
+    compared in the bucket of the first shingle they share, or of a subset, unless they are in one part by then.
     """
     facts = ["n", *BITS]
     spread = marked.select("id", F.explode("marks").alias("mark"))
@@ -398,29 +417,31 @@ def connected_sets(joined: Joined, marked: DataFrame) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("marks")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             found = lists.flatten().to_numpy(zero_copy_only=False)
             hit = passes(bits, found)
-            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[hit]
-            own = batch.select(["id", *facts]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found[hit])], names=["id", *facts, "mark"])
-
-    # Sizes and parities travel with the members, so what they rule out is never paired.
-    likely = marked.select("id", *facts, "marks").mapInArrow(shared, "id long, n int, b0 long, b1 long, b2 long, b3 long, mark long")
-    likely = cut(likely, "join-likely")
+            at = places(batch.column("n").to_numpy(), lengths, boundary)[hit].astype(np.int32)
+            own = batch.select(["id", *facts]).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)[hit]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at), pa.array(found[hit])], names=["id", *facts, "at", "mark"])
+
+    # Sizes, parities and places travel with the members, so what they rule out is never paired.
+    schema = "id long, n int, b0 long, b1 long, b2 long, b3 long, at int, mark long"
+    likely = cut(marked.select("id", *facts, "marks").mapInArrow(shared, schema), "join-likely")
+    facts = [*facts, "at"]
     ends = [f(F.struct("id", *facts)).alias(side) for f, side in ((F.min, "low"), (F.max, "high"))]
     met = cut(likely.groupBy("mark").agg(*ends, F.count(F.lit(1)).alias("sets")), "join-buckets")
 
-    def side(row: str, name: str) -> list:
-        return [F.col(f"{row}{c}").alias(f"{c}_{name}") for c in ("id", *facts)]
+    def side(row: str, name: str, *more: str) -> list:
+        return [F.col(f"{row}{c}").alias(f"{c}_{name}") for c in ("id", *facts, *more)]
 
     larger = met.where("sets > 2").select("mark", *side("low.", "a"))
     members = cut(likely.join(shuffled(larger), "mark").select("mark", *side("", "b"), *[f"{c}_a" for c in ("id", *facts)]), "join-members")
     discard(likely)
     pairs = met.where("sets = 2").select(*side("low.", "a"), *side("high.", "b"))
-    pairs = pairs.unionByName(members.where("id_b <> id_a").drop("mark")).where(may_link("_a", "_b"))
+    pairs = pairs.unionByName(members.where("id_b <> id_a").drop("mark")).where(may_link("_a", "_b") & may_meet("_a", "_b"))
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).where("a <> b").distinct()
     links = joined.verify(pairs)
-    members = members.select("mark", F.col("id_b").alias("id"))
+    members = members.select("mark", *[F.col(f"{c}_b").alias(c) for c in ("id", *facts)])
     parts = _placed(links)
     open_ = _several(members, parts)
     if open_.isEmpty():
@@ -428,35 +449,36 @@ def connected_sets(joined: Joined, marked: DataFrame) -> DataFrame:
 
     # A few more leaders for each bucket: most sets of a group are alike to one of them.
     orders = [F.xxhash64("id", F.lit(k)) for k in range(LEADERS)]
+    row = F.struct("id", *facts, "part")
     leaders = open_.groupBy("mark").agg(
-        F.min("id").alias("low"),
-        F.array_distinct(F.array(*[F.max_by(F.struct("id", "part"), o) for o in orders])).alias("leaders"),
+        F.min("id").alias("low"), F.array_distinct(F.array(*[F.max_by(row, o) for o in orders])).alias("leaders")
     )
     led = cut(open_.join(leaders, "mark"), "join-members")
-    pairs = led.where("id <> low").select("id", "part", F.explode("leaders").alias("leader"))
-    pairs = pairs.where("part <> leader.part").select(*_pair("id", "leader.id"))
+    pairs = led.where("id <> low").select(*side("", "x", "part"), F.explode("leaders").alias("leader"))
+    pairs = pairs.select("*", *side("leader.", "y", "part")).where("part_x <> part_y")
+    pairs = pairs.where(may_link("_x", "_y") & may_meet("_x", "_y")).select(*_pair("id_x", "id_y"))
     links = cut(links.unionByName(joined.verify(pairs.distinct())), "join-links")
     parts = _placed(links)
     # A leader has been compared with all of its bucket: the others are left.
     left = led.where("id <> low").where(~F.exists("leaders", lambda x: x["id"] == F.col("id")))
-    open_ = _several(left.select("mark", "id"), parts)
+    open_ = _several(left.select("mark", "id", *facts), parts)
     if open_.isEmpty():
         return parts
 
     # What is left: the sets outside the largest part of a bucket against all others of it.
     sizes = open_.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("sets"))
     largest = sizes.groupBy("mark").agg(F.max_by("part", F.struct("sets", "part")).alias("largest"))
-    whole = open_.join(largest, "mark").join(joined.sets.select("id", *facts), "id")
     # Two sets that share a passage meet in many buckets. Where the last few buckets before have one in
-    # common, they have met there already.
-    before = Window.partitionBy("id").orderBy("mark").rowsBetween(-PRIOR, -1)
-    whole = cut(whole.withColumn("prior", F.collect_list("mark").over(before)), "join-members")
-    names = ["mark", "id", "part", "n", "prior", *BITS]
-    few = whole.where("part <> largest").select(*[F.col(c).alias(f"{c}_x" if c != "mark" else c) for c in names])
-    many = whole.select(*[F.col(c).alias(f"{c}_y" if c != "mark" else c) for c in (*names, "largest")])
+    # common, they have met there already: in subsets first, then in the order of shingles, so that the first they share stays.
+    before = Window.partitionBy("id").orderBy("at", "mark").rowsBetween(-PRIOR, -1)
+    whole = open_.join(largest, "mark").withColumn("prior", F.collect_list("mark").over(before))
+    whole = cut(whole, "join-members")
+    few = whole.where("part <> largest").select("mark", *side("", "x", "part", "prior"))
+    many = whole.select("mark", *side("", "y", "part", "prior", "largest"))
     once = (F.col("part_y") == F.col("largest_y")) | (F.col("id_x") < F.col("id_y"))
     fresh = ~F.arrays_overlap("prior_x", "prior_y")
-    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once & may_link("_x", "_y") & fresh
+    on = (few["mark"] == many["mark"]) & (F.col("part_x") != F.col("part_y")) & once
+    on = on & may_link("_x", "_y") & may_meet("_x", "_y") & fresh
     rest = few.join(many, on).select(*_pair("id_x", "id_y")).distinct()
     return _placed(cut(links.unionByName(joined.verify(rest)), "join-links"))
 
@@ -484,7 +506,7 @@ def ngram_components(
     rows = cut(read.select(id_col, "node", "n"), "join-thin")
     discard(read)
     joined = Joined(documents, classes.drop("marks", "smallest"), width, text_col)
-    parts = connected_sets(joined, classes.where("n >= 4").select("id", "n", *BITS, "marks"))
+    parts = connected_sets(joined, classes.where("n >= 4").select("id", "n", *BITS, "marks"), boundary)
     return label_rows(rows, classes, parts, id_col)
 
 
