@@ -4,12 +4,15 @@ Of a good and a bad document the good one is preferred, with a probability that
 logistic function of the difference of their scores. A score is a linear function of features
 of the text, so the model is fitted by logistic loss on feature differences. Documents are
 then cut off at a quantile of the scores.
+
+The fit reads every labelled document. Sums over rows and pairs are taken in tasks, as whole numbers, so that they do not
+depend on how rows are dealt; a few hundred numbers of each step reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -19,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.samples import labelled, sample, with_texts
+from postloom.llm.samples import labelled
+from postloom.session import cut as write
 
-ROWS_PER_CLASS = 8_000  # labelled documents of each class the model is fitted on, about
-PAIRS = 40_000
+PAIRS = 40_000  # at least; as many as the larger class has rows, if that is more
+CHUNK, FEWEST = 512, 64  # rows of the larger class that are paired in one go, and of the smaller one, about
+CELLS = 1_024  # of a histogram
+UNIT = float(1 << 24)  # sums are taken in whole numbers of 1 / UNIT
 CUT = 0.3  # the score at the quantile that separates
 
 FEATURES = (
@@ -90,13 +96,40 @@ class QualityModel:
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
         scaled = np.clip((rows - self.middle) / self.spread, -8, 8)
-        return scaled @ self.weights
+        return (scaled * self.weights).sum(axis=1)  # of a row the same whatever rows are beside it
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         line = self.slope * (self.raw(rows) - self.threshold) + math.log(self.cut / (1 - self.cut))
         return 1 / (1 + np.exp(-np.clip(line, -40, 40)))
 
 
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, penalty: float) -> np.ndarray:
+    """Weights of least loss. ``sums`` gives for weights the sums over all pairs of the differences times the
+    probability of the wrong order, and of their products times its variance."""
+    weights = np.zeros(width)
+    for _ in range(25):
+        pull, curve = sums(weights)
+        step = np.linalg.solve(curve + penalty * np.eye(width), penalty * weights - pull)
+        weights -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights
+
+
+def wrong(apart: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The probability that the worse of two is preferred."""
+    return 1 / (1 + np.exp(np.clip((apart * weights).sum(axis=1), -40, 40)))
+
+
+def pair_up(good: np.ndarray, bad: np.ndarray, pairs: int, seed: int) -> np.ndarray:
+    """Differences of random pairs of a good and a bad row. Every row is used before one is used again."""
+    random = np.random.default_rng(seed)
+    many = max(pairs, len(good), len(bad))
+    left = np.resize(random.permutation(len(good)), many)
+    right = random.permutation(np.resize(random.permutation(len(bad)), many))
+    return good[left] - bad[right]
+
+
 def fit_pairs(
     rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float = 1.0, seed: int = 5,
     reject: float | None = None, cut: float = CUT,
@@ -109,23 +142,15 @@ def fit_pairs(
     better, worse = np.nonzero(good)[0], np.nonzero(~good)[0]
     if not len(better) or not len(worse):
         return None
-    random = np.random.default_rng(seed)
     middle, spread = np.median(rows, axis=0), rows.std(axis=0) + 1e-9
     scaled = np.clip((rows - middle) / spread, -8, 8)
-    # Every row is used before one is used again.
-    many = max(pairs, len(better), len(worse))
-    left = np.resize(random.permutation(better), many)
-    right = random.permutation(np.resize(random.permutation(worse), many))
-    apart = scaled[left] - scaled[right]
-    weights = np.zeros(rows.shape[1])
-    for _ in range(25):  # Newton's method
-        lost = 1 / (1 + np.exp(np.clip(apart @ weights, -40, 40)))
-        slope = penalty * weights - apart.T @ lost
-        curve = (apart * (lost * (1 - lost))[:, None]).T @ apart + penalty * np.eye(len(weights))
-        step = np.linalg.solve(curve, slope)
-        weights -= step
-        if np.abs(step).max() < 1e-6:
-            break
+    apart = pair_up(scaled[better], scaled[worse], pairs, seed)
+
+    def sums(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lost = wrong(apart, weights)
+        return apart.T @ lost, (apart * (lost * (1 - lost))[:, None]).T @ apart
+
+    weights = newton(sums, rows.shape[1], penalty)
     raw = scaled @ weights
     level = (~good).mean() if reject is None else reject
     threshold = float(np.quantile(raw, level, method="midpoint"))
@@ -148,40 +173,138 @@ def feature_rows(documents: DataFrame, keep: list[str], text_col: str) -> DataFr
     return documents.select(*keep, text_col).mapInArrow(run, schema)
 
 
+def labelled_features(documents: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, y, features)`` of every labelled id. Of rows with one id a single one counts, that of the smallest text
+    hash. Features are worked out first, so that no text is shuffled."""
+    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    found = feature_rows(rows.where("id is not null"), ["id", "text_key"], "text")
+    row = F.min(F.struct("text_key", "features")).alias("row")
+    joined = found.join(known.withColumnRenamed(id_col, "id"), "id").groupBy("id", "y").agg(row)
+    return write(joined.select("id", "y", F.col("row.features").alias("features")), "quality-rows")
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every feature, from exact decimal sums."""
+    def total(value: Column, name: str) -> Column:
+        return F.sum(value.cast("decimal(28,10)")).alias(name)
+
+    value = F.col("features")
+    found = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[total(value[k], f"x{k}") for k in range(len(FEATURES))],
+        *[total(value[k] * value[k], f"xx{k}") for k in range(len(FEATURES))],
+    ).first()
+    middle = np.array([float(found[f"x{k}"]) for k in range(len(FEATURES))]) / found["rows"]
+    square = np.array([float(found[f"xx{k}"]) for k in range(len(FEATURES))]) / found["rows"]
+    return middle, np.sqrt(np.maximum(square - middle**2, 0)) + 1e-9
+
+
+def paired(rows: DataFrame, counts: dict[int, int], middle: np.ndarray, spread: np.ndarray, pairs: int, seed: int) -> DataFrame:
+    """``(apart)``: differences of at least ``pairs`` random pairs in which every row takes part.
+
+    The larger class is dealt into chunks of some ``CHUNK`` rows. The smaller class is dealt into as many parts, or into fewer that
+    hold ``FEWEST`` rows each, and a chunk is paired with one part, so no group grows with the table.
+    """
+    small_y, large_y = sorted((0, 1), key=lambda y: (counts[y], y))
+    chunks = -(-counts[large_y] // CHUNK)
+    parts = max(1, min(chunks, counts[small_y] // FEWEST))
+    draw = F.xxhash64(F.lit(seed), "id")
+    large = rows.where(F.col("y") == large_y).withColumn("chunk", F.pmod(draw, F.lit(chunks)))
+    part = F.pmod(draw, F.lit(parts))
+    small = rows.where(F.col("y") == small_y).withColumn(
+        "chunk", F.explode(F.sequence(part, F.lit(chunks - 1).cast("long"), F.lit(parts).cast("long")))
+    )
+    each = -(-pairs // chunks)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        values = np.array(group.column("features").combine_chunks().flatten()).reshape(-1, len(middle))
+        scaled = np.clip((values - middle) / spread, -8, 8)
+        y = group.column("y").to_numpy()
+        order = np.lexsort((*scaled.T, y))  # the same pairs for any arrival order
+        scaled, y = scaled[order], y[order]
+        good, bad = scaled[y == 1], scaled[y == 0]
+        apart = pair_up(good, bad, each, seed + key[0].as_py()) if len(good) and len(bad) else scaled[:0]
+        return pa.table({"apart": pa.FixedSizeListArray.from_arrays(pa.array(apart.ravel()), len(middle)).cast(pa.list_(pa.float64()))})
+
+    both = large.unionByName(small).select("chunk", "y", "features")
+    return write(both.groupBy("chunk").applyInArrow(run, "apart array<double>"), "quality-pairs")
+
+
+def pair_sums(pairs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of :func:`newton` over a table of pairs."""
+    width = len(weights)
+    a, b = np.triu_indices(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + len(a), np.int64)
+        for batch in (x.slice(i, CHUNK) for x in batches for i in range(0, x.num_rows, CHUNK)):
+            apart = batch.column("apart").flatten().to_numpy().reshape(-1, width)
+            lost = wrong(apart, weights)
+            total[:width] += np.rint(apart * lost[:, None] * UNIT).astype(np.int64).sum(axis=0)
+            bent = apart[:, a] * apart[:, b] * (lost * (1 - lost))[:, None]
+            total[width:] += np.rint(bent * UNIT).astype(np.int64).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "total"])
+
+    found = pairs.mapInArrow(run, "place long, total long").groupBy("place").agg(F.sum("total").alias("total")).collect()
+    total = np.zeros(width + len(a))
+    for r in found:
+        total[r["place"]] = r["total"] / UNIT
+    curve = np.zeros((width, width))
+    curve[a, b] = curve[b, a] = total[width:]
+    return total[:width], curve
+
+
+def ranked(values: DataFrame, rank: int) -> float:
+    """The value at this rank, from 1, of a column ``raw``. In a round the histogram of what is left narrows it down."""
+    low, high = values.agg(F.min("raw"), F.max("raw")).first()
+    while low < high:
+        cell = F.least(F.floor((F.col("raw") - low) / (high - low) * CELLS), F.lit(CELLS - 1)).alias("cell")
+        within = values.where(F.col("raw").between(low, high)).groupBy(cell)
+        cells = within.agg(F.count(F.lit(1)).alias("rows"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+        for r in sorted(cells.collect()):
+            if rank <= r["rows"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["rows"]
+    return low
+
+
 def train(
     documents: DataFrame,
     labels: DataFrame,
     where: Column | None = None,
     label: str = "quality",
-    rows_per_class: int = ROWS_PER_CLASS,
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 5,
+    pairs: int = PAIRS,
+    penalty: float = 1.0,
 ) -> QualityModel | None:
-    """Fit on about ``rows_per_class`` labelled documents of each class: a bounded sample, whose
-    features are worked out in tasks and gathered. Of rows with one id a single one counts, that of the
+    """Fit on every labelled document. Of rows with one id a single one counts, that of the
     smallest text hash. ``where`` limits the labels that are read.
-    The cut-off quantile is the share of bad documents among all labels, not in the sample."""
+    The cut-off quantile is the share of bad documents among them. None if one of the classes is empty."""
     known = labelled(labels, label, where, id_col)
-    chosen = sample(known, {0: rows_per_class, 1: rows_per_class}, id_col, seed)
-    texts = with_texts(documents, chosen, id_col, text_col)
-    row = F.struct("y", "share", text_col)
-    texts = texts.groupBy(id_col).agg(F.min_by(row, F.struct(F.xxhash64(text_col), text_col)).alias("row")).select("row.*")
-    found = feature_rows(texts, ["y", "share"], text_col).toArrow()
-    if not found.num_rows:
+    if known.select("y").distinct().count() < 2:
         return None
-    rows = np.array(found["features"].to_pylist())
-    order = np.lexsort((*rows.T, found["y"].to_numpy()))  # the same model for any arrival order
-    rows, good = rows[order], found["y"].to_numpy()[order] == 1
-    model = fit_pairs(rows, good, seed=seed)
-    if model is not None:
-        weight = 1 / found["share"].to_numpy()[order]
-        raw = model.raw(rows)
-        by_score = np.argsort(raw)
-        upto = np.cumsum(weight[by_score])
-        bad = weight[~good].sum()
-        at = min(int(np.searchsorted(upto, bad)), len(raw) - 2)
-        model.threshold = float((raw[by_score[at]] + raw[by_score[at + 1]]) / 2)
+    rows = labelled_features(documents, known, id_col, text_col)
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return None
+    middle, spread = moments(rows)
+    apart = paired(rows, counts, middle, spread, pairs, seed)
+    weights = newton(lambda w: pair_sums(apart, w), len(FEATURES), penalty)
+    model = QualityModel(middle, spread, weights, 1.0, 0.0, CUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("features").flatten().to_numpy().reshape(-1, len(middle))
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(values))], names=["raw"])
+
+    raw = write(rows.select("features").mapInArrow(run, "raw double"), "quality-raw")
+    model.threshold = (ranked(raw, counts[0]) + ranked(raw, counts[0] + 1)) / 2
+    apart_from = F.floor(F.abs(F.col("raw") - model.threshold) * UNIT)
+    deviation = raw.agg(F.sum(apart_from).alias("sum")).first()["sum"] / UNIT / sum(counts.values())
+    model.slope = 3.0 / (deviation or 1.0)
     return model
 
 

@@ -98,3 +98,45 @@ def test_odd_texts_no_labels_and_empty_tables(spark, tables, operator):
         assert rows[0] == rows[1] and rows[3] == rows[4]
     assert operator.score_documents(df.where("false"), model).collect() == []
     assert operator.train(df.where("false"), tables[1]) is None
+
+
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """Rules that only a few documents far beyond any sample show; a label more or less moves the fit."""
+    count = 40_000
+    numbers = spark.range(count, numPartitions=8)
+    text = F.when(F.col("id") % 2 == 0, "some plain words in a row.").otherwise("BAD!!! | 77 ### BAD!!!")
+    docs = numbers.select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" "), F.md5(F.col("id").cast("string"))).alias("text"))
+    labels = numbers.select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    read, features = [], quality.labelled_features
+    monkeypatch.setattr(quality, "labelled_features", lambda *a: read.append(features(*a)) or read[-1])
+    one = quality.train(docs, labels)
+    other = quality.train(docs.repartition(3), labels.orderBy(F.desc("doc_id")))
+    assert [r.count() for r in read] == [count, count]
+    assert np.array_equal(one.weights, other.weights) and (one.threshold, one.slope) == (other.threshold, other.slope)
+    scores = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, one).collect()}
+    assert all((scores[i] >= quality.CUT) == (i % 2 == 0) for i in range(count))
+
+
+@pytest.mark.parametrize("good", [1, 70, 3000])
+def test_every_row_is_paired_whatever_the_classes(spark, good):
+    width = len(quality.FEATURES)
+    draw = np.random.default_rng(2)
+    values = draw.standard_normal((good + 3000, width))
+    rows = spark.createDataFrame([(i, int(i < good), v.tolist()) for i, v in enumerate(values)], "id long, y int, features array<double>")
+    middle, spread = quality.moments(rows)
+    assert np.allclose(middle, values.mean(axis=0)) and np.allclose(spread, values.std(axis=0))
+    pairs = quality.paired(rows, {1: good, 0: 3000}, np.zeros(width), np.ones(width), 10, 5)
+    apart = np.array([r["apart"] for r in pairs.collect()])
+    assert len(apart) >= 3000
+    if good == 1:
+        assert np.allclose(np.unique(apart[:, 0]), np.unique(values[0, 0] - values[1:, 0]))
+    pull, curve = quality.pair_sums(pairs, np.full(width, 0.1))
+    lost = quality.wrong(apart, np.full(width, 0.1))
+    assert np.allclose(pull, apart.T @ lost, atol=1e-3)
+    assert np.allclose(curve, (apart * (lost * (1 - lost))[:, None]).T @ apart, atol=1e-3)
+
+
+def test_values_by_rank(spark):
+    values = [3.0, 1.0, 1.0, -2.5, 7.25, 7.25, 7.25, 1e9, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "raw double")
+    assert [quality.ranked(df, k + 1) for k in range(len(values))] == sorted(values)
