@@ -18,14 +18,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from postloom.session import small_batches
+
 # The pattern that cuts a text into the pieces that are encoded one by one: a fixed value that
 # belongs to the rank file.
 PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
-CACHED_PIECES = 400_000
-CACHED_PAIRS = 1_000_000
-CACHED_PREFIXES = 1_000_000
+# Two workers of an executor keep these caches, so they are bounded to some 80 MB each.
+CACHED_PIECES = 200_000  # and at most as many older ones
+CACHED_PAIRS = 400_000
+CACHED_PREFIXES = 300_000
 CACHED_PIECE_BYTES = 64
 ROWS_AT_ONCE = 500  # texts of a batch whose ids are held at the same time
 
@@ -192,22 +195,32 @@ class EditableEncoding:
 
 
 class PieceCache(dict):
-    """Pieces and their ids as packed 32-bit numbers; forgets all when it is full."""
+    """Pieces and their ids as packed 32-bit numbers. When it is full, its pieces become the older ones, and
+    those that were not asked for since they became that are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) > CACHED_PIECE_BYTES:  # prefixes of a long piece would cost its length squared
-            return np.array(EditableEncoding(self.vocabulary, data).ids(), dtype="<i4").tobytes()
-        packed = np.array(self.vocabulary.encode(data), dtype="<i4").tobytes()
+        packed = self.older.pop(piece, None)
+        if packed is None:
+            packed = self.encode(piece)
+            if len(piece) > CACHED_PIECE_BYTES:
+                return packed
         if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
             self.clear()
         self[piece] = packed
         return packed
 
+    def encode(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) > CACHED_PIECE_BYTES:  # prefixes of a long piece would cost its length squared
+            return np.array(EditableEncoding(self.vocabulary, data).ids(), dtype="<i4").tobytes()
+        return np.array(self.vocabulary.encode(data), dtype="<i4").tobytes()
+
 
 _kept: dict[int, PieceCache] = {}
 
@@ -247,6 +260,7 @@ def encode_documents(
         ]
     )
     content = documents.sparkSession.sparkContext.broadcast(ranks)
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(content.value)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from postloom.llm.graph import components
 from postloom.operators.ordered import lookup_join, shuffled, small
-from postloom.session import cut, discard
+from postloom.session import cut, discard, small_batches
 
 SEED = 42
 WIDTH = 5
@@ -166,6 +166,7 @@ def _sets(batches: Iterator[pa.RecordBatch], column: str, width: int) -> Iterato
 
 def sampled_sets(documents: DataFrame, width: int, text_col: str) -> tuple[DataFrame, int]:
     """``(hashes)`` of about ``SAMPLE`` different texts, and which share of the table they stand for."""
+    small_batches(documents.sparkSession)
     part = max(1, documents.count() // SAMPLE)
     text = F.col(text_col)
     chosen = documents.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(part)) == 0).distinct()

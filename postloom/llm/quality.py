@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from postloom.llm.samples import labelled
 from postloom.session import cut as write
+from postloom.session import small_batches
 
 PAIRS = 40_000  # at least; as many as the larger class has rows, if that is more
 CHUNK, FEWEST = 512, 64  # rows of the larger class that are paired in one go, and of the smaller one, about
@@ -160,6 +161,7 @@ def fit_pairs(
 
 def feature_rows(documents: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """``keep`` and the features of every row."""
+    small_batches(documents.sparkSession)
     schema = T.StructType(
         [documents.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))]
     )

@@ -57,6 +57,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bound the rows of a batch that travels to Python, for all that the session runs from now on; a lower bound of the session's own
+    stays. Spark's 10,000 whole texts are held by the task, on the way, and by its Python worker at the same time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote. Neither it nor anything not yet written that is made of it
     may be read afterwards."""

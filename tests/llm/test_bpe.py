@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
+from postloom import session
 from postloom.llm import bpe
 from tests.llm.helpers import ODD_TEXTS, documents
 
@@ -88,3 +90,26 @@ def test_nulls_and_empty_table(spark, ranks):
     df = documents(spark, ["a", "a"], ids=[None, None])
     assert [r["ids"] for r in bpe.encode_documents(df, ranks).collect()] == [[64], [64]]
     assert bpe.encode_documents(df.where("false"), ranks).collect() == []
+
+
+def test_caches_stay_within_their_bounds_and_keep_what_is_asked_for(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 50)
+    cache = bpe.PieceCache(vocabulary)
+    computed, encode = [], cache.encode
+    cache.encode = lambda piece: computed.append(piece) or encode(piece)
+    for k in range(2_000):
+        for piece in (" often", f" rare{k}"):
+            assert np.frombuffer(cache[piece], "<i4").tolist() == library.encode_ordinary(piece)
+        assert len(cache) + len(cache.older) <= 100
+    assert computed.count(" often") == 1 and len(computed) == 2_001
+    assert bpe.CACHED_PREFIXES <= 300_000 and bpe.CACHED_PAIRS <= 400_000
+
+
+def test_batches_of_texts_are_small(spark, vocabulary):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for own, want in (("10000", "2000"), ("0", "2000"), ("7", "7")):
+        spark.conf.set(key, own)
+        session.small_batches(spark)
+        assert spark.conf.get(key) == want
+    spark.conf.set(key, before)
