@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm import bpe
 from postloom.llm.graph import components
 from postloom.operators.ordered import lookup_join, shuffled, small
 from postloom.session import cut, discard, small_batches
@@ -172,6 +173,7 @@ def sampled_sets(documents: DataFrame, width: int, text_col: str) -> tuple[DataF
     chosen = documents.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(part)) == 0).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for _, sets in _sets(batches, "text", width):
             yield pa.RecordBatch.from_arrays([_lists(sets)], names=["hashes"])
 
@@ -261,6 +263,7 @@ def read_sets(documents: DataFrame, order: Order, boundary: int, width: int, id_
     schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), *fields.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for piece, sets in (x for batch in batches for x in _sets([batch], "text", width)):
             bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, 4)
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -311,6 +314,7 @@ class Joined:
         schema = T.StructType.fromDDL("node binary, hashes array<bigint>")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bpe.forget()
             done: set[int] = set()  # copies of a text are read once in a task
             for batch in batches:
                 hit = passes(bits, batch.column("text_key").to_numpy())

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm import bpe
 from postloom.llm.samples import labelled
 from postloom.session import cut as write
 from postloom.session import small_batches
@@ -167,6 +168,7 @@ def feature_rows(documents: DataFrame, keep: list[str], text_col: str) -> DataFr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column(len(keep))]
             found = pa.array(rows, pa.list_(pa.float64()))
@@ -186,18 +188,16 @@ def labelled_features(documents: DataFrame, known: DataFrame, id_col: str, text_
 
 
 def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of every feature, from exact decimal sums."""
+    """Mean and deviation of every feature, from exact decimal sums. A feature is a row: one aggregate with two sums for each of them
+    would be one huge method, and compiling that takes more memory than the sums."""
     def total(value: Column, name: str) -> Column:
         return F.sum(value.cast("decimal(28,10)")).alias(name)
 
-    value = F.col("features")
-    found = rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[total(value[k], f"x{k}") for k in range(len(FEATURES))],
-        *[total(value[k] * value[k], f"xx{k}") for k in range(len(FEATURES))],
-    ).first()
-    middle = np.array([float(found[f"x{k}"]) for k in range(len(FEATURES))]) / found["rows"]
-    square = np.array([float(found[f"xx{k}"]) for k in range(len(FEATURES))]) / found["rows"]
+    value = F.col("value")
+    each = rows.select(F.posexplode("features").alias("k", "value")).groupBy("k")
+    found = each.agg(F.count(F.lit(1)).alias("rows"), total(value, "x"), total(value * value, "xx")).orderBy("k").collect()
+    middle = np.array([float(r["x"]) for r in found]) / found[0]["rows"]
+    square = np.array([float(r["xx"]) for r in found]) / found[0]["rows"]
     return middle, np.sqrt(np.maximum(square - middle**2, 0)) + 1e-9
 
 
@@ -329,6 +329,7 @@ def score_documents(
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         for batch in batches:
             if model is None:
                 scores = np.full(batch.num_rows, 0.5)

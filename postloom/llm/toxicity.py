@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm import bpe
 from postloom.llm.samples import labelled, sample, with_texts
 from postloom.session import cut
 
@@ -27,7 +28,7 @@ TOXIC_ROWS, OTHER_ROWS = 3_000, 6_000  # labelled documents the models are fitte
 STARTS = (4, 5, 6)  # lengths of the beginnings of words, in bytes
 MAX_TERMS, USED_TERMS = 600, 160  # before and after those that say the same are left out
 LEAST_LIFT, LEAST_GAIN = 6.0, 20.0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 170_000  # a dict doubles at 174,763
 FOLDS = 5
 TOXIC_FROM = 0.3  # probability of the last category from which a text counts as toxic
 
@@ -211,6 +212,7 @@ def term_rows(documents: DataFrame, terms: list[bytes], keep: list[str], text_co
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         cache = TermCache(terms)
         for batch in batches:
             rows = [matches(t.as_py(), cache) for t in batch.column(len(keep))]
@@ -298,6 +300,7 @@ def score_documents(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         cache = TermCache(model.terms if model else [])
         for batch in batches:
             found = np.zeros((batch.num_rows, len(names)))

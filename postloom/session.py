@@ -57,12 +57,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Bound the rows of a batch that travels to Python, for all that the session runs from now on; a lower bound of the session's own
-    stays. Spark's 10,000 whole texts are held by the task, on the way, and by its Python worker at the same time."""
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 1 << 20) -> None:
+    """Bound the rows of a batch that travels to Python, and about its bytes, for all that the session runs from now on; lower bounds of
+    the session's own stay. Spark's 10,000 whole texts are held by the task, on the way, and by its Python worker at the same time; buffers
+    of many sizes beyond a few MB also leave memory of the executor in pieces that nothing else can use."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= size:
+        spark.conf.set(key, str(size))
 
 
 def discard(df: DataFrame) -> None:

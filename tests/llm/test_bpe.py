@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -113,3 +114,30 @@ def test_batches_of_texts_are_small(spark, vocabulary):
         session.small_batches(spark)
         assert spark.conf.get(key) == want
     spark.conf.set(key, before)
+
+
+def test_batches_of_texts_are_small_in_bytes_as_well(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(4_000, numPartitions=1).selectExpr("repeat('x', 2000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        for own, want in (("64m", str(1 << 20)), ("300k", "300k")):
+            spark.conf.set(key, own)
+            session.small_batches(spark)
+            assert spark.conf.get(key) == want
+            assert max(r["size"] for r in df.mapInArrow(sizes, "size long").collect()) < 1.2 * (1 << 20)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_other_operators_drop_the_cache_of_a_worker(ranks):
+    kept = bpe._cache(ranks)
+    assert bpe._cache(ranks) is kept
+    bpe.forget()
+    assert not bpe._kept and bpe._cache(ranks) is not kept
+    bpe.forget()
