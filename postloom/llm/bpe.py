@@ -5,12 +5,15 @@ it has exactly one valid last token: the token that ends there and may follow th
 of the prefix before it. Storing that one token per prefix is enough to encode (walk back from
 the end), to append exactly (earlier entries never change) and to encode again near an edit
 (entries after it change only until they agree with the old ones for a whole token length).
+Entries of different strings do not depend on each other, so many strings are worked out together,
+one position after the other.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ CACHED_PIECES = 170_000  # and at most as many older ones
 CACHED_PAIRS = 340_000
 CACHED_PREFIXES = 300_000
 CACHED_PIECE_BYTES = 64
+STEP_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
 ROWS_AT_ONCE = 500  # texts of a batch whose ids are held at the same time
 
 
@@ -194,6 +198,118 @@ class EditableEncoding:
         return self.vocabulary.walk_back(self.last)
 
 
+class Remembered:
+    """Values of whole numbers below ``2 ** (63 - bits)``, themselves below ``2 ** bits``. A newer one takes the place of
+    an older one in the same slot, so that the size is fixed."""
+
+    def __init__(self, slots: int, bits: int, work_out: Callable[[int], int]):
+        self.bits, self.work_out = bits, work_out
+        self.shift = np.uint64(64 - (slots - 1).bit_length())
+        self.held = np.full(slots, -1, np.int64)  # number and value
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        slots = (numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        held = self.held[slots]
+        new = np.flatnonzero(held >> self.bits != numbers)
+        if len(new):
+            distinct, which = np.unique(numbers[new], return_inverse=True)
+            values = np.array([self.work_out(n) for n in distinct.tolist()], np.int64)
+            held[new] = (distinct << self.bits | values)[which]
+            self.held[slots[new]] = held[new]
+        return held & ((1 << self.bits) - 1)
+
+
+class ManyStrings:
+    """Encodes many byte strings at once: the entries of all their prefixes of one byte, then of two, and so on.
+
+    A state stands for the longest end of the bytes so far that begins a token, 0 for none. It leads to the tokens that
+    end there, the longest first: ``own`` is the token that a state spells, ``ending`` the state itself or the next
+    shorter end that spells one, and ``after`` the next shorter end again.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.lengths = np.array([len(token) for token in vocabulary.tokens], np.int32)
+        self.longer: dict[int, int] = {}  # the state of a longer string, by state << 8 | byte
+        own, levels = [-1], [[] for _ in range(vocabulary.longest)]
+        for token, data in enumerate(vocabulary.tokens):
+            state = 0
+            for depth, byte in enumerate(data):
+                key = state << 8 | byte
+                state = self.longer.get(key, 0)
+                if not state:
+                    state = self.longer[key] = len(own)
+                    own.append(-1)
+                    levels[depth].append(key)
+            if state:
+                own[state] = token
+        self.shorter, ending, after = [0] * len(own), [0] * len(own), [0] * len(own)
+        for key in chain.from_iterable(levels):
+            state, above = self.longer[key], key >> 8
+            if above:
+                self.shorter[state] = self.step(self.shorter[above] << 8 | key & 255)
+            after[state] = ending[self.shorter[state]]
+            ending[state] = state if own[state] >= 0 else after[state]
+        self.own, self.ending, self.after = (np.array(x, np.int32) for x in (own, ending, after))
+        self.steps = Remembered(STEP_SLOTS, len(own).bit_length(), self.step)
+        self.pairs = Remembered(PAIR_SLOTS, 1, lambda pair: vocabulary.fits(*divmod(pair, vocabulary.size)))
+
+    def step(self, key: int) -> int:
+        """The state after a state and a byte."""
+        state, byte = key >> 8, key & 255
+        while not (found := self.longer.get(state << 8 | byte)):
+            if not state:
+                raise ValueError(f"byte {byte} is not a token")
+            state = self.shorter[state]
+        return found
+
+    def entries(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The last token of each prefix, by its size and string. The longest strings come first."""
+        last = np.full((sizes[0] + 1, len(sizes)), -1, np.int32)
+        state = np.zeros(len(sizes), np.int64)
+        for end in range(1, len(last)):
+            there = np.searchsorted(-sizes, -end, side="right")
+            state = self.steps.of(state[:there] << 8 | data[starts[:there] + (end - 1)])
+            string, at = np.arange(there), self.ending[state]
+            while len(string):
+                token = self.own[at]
+                if token.min() < 0:
+                    raise ValueError("a byte is not a token")
+                length = self.lengths[token]
+                valid = length == end
+                ask = np.flatnonzero(~valid)
+                before = last[end - length[ask], string[ask]].astype(np.int64)
+                valid[ask] = self.pairs.of(before * self.vocabulary.size + token[ask])
+                last[end, string[valid]] = token[valid]
+                string, at = string[~valid], self.after[at[~valid]]
+        return last
+
+    def encode(self, strings: list[bytes]) -> list[bytes]:
+        """Ids of each of ``strings`` as packed 32-bit numbers."""
+        if not strings:
+            return []
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        at = sizes[order]
+        last = self.entries(np.frombuffer(b"".join(strings), np.uint8), starts[order], at)
+        counts, backwards, string = np.zeros(len(strings), np.int64), [], np.arange(len(strings))
+        while True:
+            string, at = string[at > 0], at[at > 0]
+            if not len(string):
+                break
+            token = last[at, string]
+            backwards.append((order[string], token))
+            counts[order[string]] += 1
+            at = at - self.lengths[token]
+        ends = np.cumsum(counts)
+        packed = np.empty(ends[-1], "<i4")
+        for i, (string, token) in enumerate(backwards, 1):
+            packed[ends[string] - i] = token
+        whole, cuts = packed.tobytes(), [0, *(4 * ends).tolist()]
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class PieceCache(dict):
     """Pieces and their ids as packed 32-bit numbers. When it is full, its pieces become the older ones, and
     those that were not asked for since they became that are forgotten."""
@@ -202,18 +318,49 @@ class PieceCache(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.older: dict[str, bytes] = {}
+        self.many: ManyStrings | None = None
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.pop(piece, None)
         if packed is None:
             packed = self.encode(piece)
-            if len(piece) > CACHED_PIECE_BYTES:
-                return packed
+        self.keep(piece, packed)
+        return packed
+
+    def keep(self, piece: str, packed: bytes) -> None:
+        if len(piece) > CACHED_PIECE_BYTES:
+            return
         if len(self) >= CACHED_PIECES:
             self.older = dict(self)
             self.clear()
         self[piece] = packed
-        return packed
+
+    def all(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Distinct pieces and their ids; those not kept are encoded together."""
+        found, new = {}, []
+        for piece in pieces:
+            packed = self.get(piece)
+            if packed is None:
+                packed = self.older.pop(piece, None)
+                if packed is None:
+                    new.append(piece)
+                    continue
+                self.keep(piece, packed)
+            found[piece] = packed
+        short, strings = [], []
+        for piece in new:
+            data = piece.encode("utf-8", "surrogatepass")
+            if len(data) > CACHED_PIECE_BYTES:
+                found[piece] = self[piece]
+            else:
+                short.append(piece)
+                strings.append(data)
+        if self.many is None:
+            self.many = ManyStrings(self.vocabulary)
+        for piece, packed in zip(short, self.many.encode(strings), strict=True):
+            found[piece] = packed
+            self.keep(piece, packed)
+        return found
 
     def encode(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
@@ -275,8 +422,10 @@ def encode_documents(
         tokens = cache.vocabulary.tokens
         for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             packed, offsets, decoded = [], [0], []
-            for text in batch.column(1):
-                own = b"".join([cache[p] for p in find(text.as_py() or "")])
+            texts = [find(text.as_py() or "") for text in batch.column(1)]
+            known = cache.all(set(chain.from_iterable(texts)))
+            for pieces in texts:
+                own = b"".join([known[p] for p in pieces])
                 packed.append(own)
                 offsets.append(offsets[-1] + len(own) // 4)
                 decoded.append(b"".join([tokens[i] for i in np.frombuffer(own, "<i4").tolist()]))

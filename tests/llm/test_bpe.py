@@ -141,3 +141,42 @@ def test_other_operators_drop_the_cache_of_a_worker(ranks):
     bpe.forget()
     assert not bpe._kept and bpe._cache(ranks) is not kept
     bpe.forget()
+
+
+@pytest.mark.parametrize("slots", [None, 16])
+def test_many_strings_at_once_agree_with_the_library(vocabulary, library, monkeypatch, slots):
+    if slots:  # next to nothing is remembered
+        monkeypatch.setattr(bpe, "STEP_SLOTS", slots)
+        monkeypatch.setattr(bpe, "PAIR_SLOTS", slots)
+    draw = random.Random(7)
+    syllables = " the and ing tion er ß é 漢 😀 ' 12 \n".split(" ")
+    many = bpe.ManyStrings(vocabulary)
+    assert many.encode([]) == [] and many.encode([b""]) == [b""]
+    for n in (1, 400):
+        strings = [bytes(draw.randrange(256) for _ in range(draw.randint(1, 64))) for _ in range(n)]
+        strings += [(" " + "".join(draw.choices(syllables, k=draw.randint(1, 9)))).encode() for _ in range(n)]
+        strings += [b"", b"a", b"a", *draw.choices(vocabulary.tokens, k=n)]
+        want = [library._core_bpe.encode_single_piece(s) if s else [] for s in strings]
+        assert [np.frombuffer(packed, "<i4").tolist() for packed in many.encode(strings)] == want
+
+
+def test_new_pieces_of_a_batch_are_encoded_together(vocabulary, library, monkeypatch):
+    cache = bpe.PieceCache(vocabulary)
+    alone, together, encode = [], [], bpe.ManyStrings.encode
+    monkeypatch.setattr(bpe.Vocabulary, "encode", lambda self, data: alone.append(data))
+    monkeypatch.setattr(bpe.ManyStrings, "encode", lambda self, strings: together.append(len(strings)) or encode(self, strings))
+    pieces = {f" word{k}é" for k in range(3_000)} | {"漢" * 64, "x" * 500}
+    for left in (3_000, 0):
+        found = cache.all(pieces)
+        assert {p: np.frombuffer(ids, "<i4").tolist() for p, ids in found.items()} == {p: library.encode_ordinary(p) for p in pieces}
+        assert together.pop() == left and not together and not alone
+
+
+def test_pieces_of_batches_stay_within_the_bounds(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 50)
+    cache = bpe.PieceCache(vocabulary)
+    for k in range(0, 900, 90):
+        pieces = [" often", *(f" rare{k + i}" for i in range(90))]
+        found = cache.all(pieces)
+        assert list(map(vocabulary.decode, (np.frombuffer(found[p], "<i4").tolist() for p in pieces))) == [p.encode() for p in pieces]
+        assert len(cache) <= 50 and len(cache.older) <= 50
