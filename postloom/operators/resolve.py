@@ -118,17 +118,18 @@ def stub_detail() -> Column:
 
 
 def attach_details(
-    listings: DataFrame, detail_payloads: DataFrame, page_details: DataFrame
+    listings: DataFrame, detail_payloads: DataFrame, page_details: DataFrame, on: str = "final_url"
 ) -> DataFrame:
     """Add ``detail`` and ``resolve_error``.
 
     ``detail_payloads`` is ``(final_url, ats, body)`` and ``page_details`` is ``(final_url,
     detail)``, one row per URL each. Details are worked out once per URL and then looked up.
-    The order of preference is hiring system, captured page, listing stub.
+    Captures that belong to single listings have a column ``on`` as well and one row per value of it: listings of
+    one URL then keep their own. The order of preference is hiring system, captured page, listing stub.
     """
     bodies = detail_payloads.where(F.try_parse_json("body").isNotNull())
     urls = bodies.select(
-        "final_url", "ats", F.col("final_url").alias("url"), F.col("body").alias("raw"), "body",
+        F.col(on).alias("__on"), "final_url", "ats", F.col("final_url").alias("url"), F.col("body").alias("raw"), "body",
         F.lit(None).cast("string").alias("title"),
     )
     greenhouse = greenhouse_details(
@@ -140,14 +141,14 @@ def attach_details(
             "externalId", F.element_at(F.split("final_url", "/"), -1)
         )
     )
-    known = greenhouse.select("final_url", F.col("ats").alias("__kind"), F.col("detail").alias("__ats"))
+    known = greenhouse.select("__on", F.col("ats").alias("__kind"), F.col("detail").alias("__ats"))
     for part in (lever, workday):
         known = known.unionByName(
-            part.select("final_url", F.col("ats").alias("__kind"), F.col("detail").alias("__ats"))
+            part.select("__on", F.col("ats").alias("__kind"), F.col("detail").alias("__ats"))
         )
-    pages = page_details.select("final_url", F.col("detail").alias("__page"))
-    found = known.join(pages, "final_url", "full")
-    joined = lookup_join(listings, found, "final_url")
+    pages = page_details.select(F.col(on).alias("__on"), F.col("detail").alias("__page"))
+    found = known.join(pages, "__on", "full").withColumnRenamed("__on", on)
+    joined = lookup_join(listings, found, on)
     api = F.when(F.col("__kind") == F.col("ats"), F.col("__ats"))
     url = F.col("final_url")
     empty_greenhouse = detail_struct(

@@ -261,7 +261,7 @@ def extract_details(detail_pages: DataFrame, closed_references: bool = False) ->
 
 
 def extract_fallback(detail_pages: DataFrame, closed_references: bool = False) -> DataFrame:
-    """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``.
+    """``(final_url, detail)`` of pages without selectors: ``(final_url, page_title, html)``. Other columns are kept.
     ``closed_references`` as in :func:`parse`."""
 
     def read(html):
@@ -276,9 +276,10 @@ def extract_fallback(detail_pages: DataFrame, closed_references: bool = False) -
             found = first(root, "body") or root
         yield (found.inner_html(),)
 
-    parts = _map_pages(detail_pages, ["html"], read, "found_html", ["final_url", "page_title"])
+    keep = [c for c in detail_pages.columns if c != "html"]
+    parts = _map_pages(detail_pages, ["html"], read, "found_html", keep)
     return parts.select(
-        "final_url",
+        *[c for c in keep if c != "page_title"],
         page_detail(
             F.col("final_url"), F.col("page_title"), F.col("found_html"), clean_text(F.col("found_html"))
         ).alias("detail"),
