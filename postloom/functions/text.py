@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,13 @@ CHALLENGE_SIGNALS = [
     ),
 ]
 
+# Every page that one of the signals matches holds one of these words, in lower case.
+CHALLENGE_WORDS = [
+    "captcha", "cf-turnstile", "checking your browser", "cloudflare", "perimeterx", "datadome", "verify you are human",
+    "are you a robot", "unusual traffic", "complete the security check", "please confirm you are a human", "access denied",
+    "automated queries", "automated requests",
+]
+
 MIN_FINGERPRINT_CHARS = 10
 
 
@@ -133,9 +141,12 @@ def challenge_reason(page: Column) -> Column:
     """Reason text of the first matching signal, else null. Give it a stored column: each
     signal reads it again."""
     (reason, pattern), *rest = CHALLENGE_SIGNALS
-    return reduce(
+    found = reduce(
         lambda acc, s: acc.when(page.rlike(s[1]), s[0]), rest, F.when(page.rlike(pattern), reason)
     )
+    # Plain words are looked for first: a page without any has no signal, and words are found much faster.
+    low = F.lower(page)
+    return F.when(reduce(or_, [low.contains(w) for w in CHALLENGE_WORDS]), found)
 
 
 def with_clean_text(df: DataFrame, html_col: str, out: str = "descriptionText") -> DataFrame:

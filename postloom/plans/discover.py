@@ -14,7 +14,6 @@ from postloom.operators.listings import (
     normalise_cards,
     progress_key,
     stall_stop,
-    up_to_last_page,
 )
 from postloom.operators.merge import merge_with_keys
 from postloom.operators.ordered import shuffled, small
@@ -28,7 +27,7 @@ from postloom.operators.resolve import (
     with_final_ats,
 )
 from postloom.session import cut
-from postloom.sources.extract import extract_cards, extract_fallback
+from postloom.sources.extract import extract_fallback, read_cards
 from postloom.sources.payloads import position_seq, take_first
 
 
@@ -70,44 +69,46 @@ def read_result_pages(
         F.min("start_page").alias("start_page"),
         F.min_by("profile", F.struct("role_seq", "pos")).alias("role_profile"),
     )
+    items = cut(items, "frontier")
     keyed = keyed.join(small(items), "key").where(F.col("page_no") >= F.col("start_page"))
-    marked = with_challenge(keyed.withColumn("title", F.lit(None).cast("string")), "title", "html")
-    visited = cut(
-        marked.select(
-            "key", "source", "keyword", "location", "page_no", "start_page",
-            F.col("challenge").isNotNull().alias("failed"), F.col("challenge").alias("reason"),
-        ),
-        "visited",
-    )
-    cards = extract_cards(keyed, selectors).withColumn("seq", position_seq(F.col("page_seq"), F.col("pos")))
-    cards = cut(cards.drop("page_seq"), "cards")
-    counts = cards.groupBy("key", "page_no").agg(F.count(F.lit(1)).alias("n_cards"))
-    pages = visited.join(shuffled(counts), ["key", "page_no"], "left").withColumn(
-        "n_cards", F.coalesce("n_cards", F.lit(0))
+    marked = with_challenge(keyed.withColumn("title", F.lit(None).cast("string")), "title", "html").drop("title")
+    # Markup is read, searched for signs of a challenge and left behind in one go.
+    whole = cut(read_cards(marked, selectors), "cards")
+    pages = whole.select(
+        "key", "source", "keyword", "location", "page_no", "start_page",
+        F.col("challenge").isNotNull().alias("failed"), F.col("challenge").alias("reason"),
+        F.size("cards").cast("long").alias("n_cards"),
     )
+    cards = whole.select(*[c for c in whole.columns if c not in ("challenge", "cards")], F.inline("cards"))
+    cards = cards.withColumn("seq", position_seq(F.col("seq"), F.col("pos")))
     listings = normalise_cards(cards, now)
+    ids = cut(listings.select("key", "source", "page_no", "sourceJobId"), "card-ids")
     google = F.col("source") == "google-jobs"
-    paged = dry_stop(pages.where(~google), listings.where(~google), ["key"], seen=seen, max_pages=max_pages)
-    endless = stall_stop(pages.where(google), listings.where(google), ["key"], seen=seen, max_pages=max_pages)
+    paged = dry_stop(pages.where(~google), ids.where(~google), ["key"], seen=seen, max_pages=max_pages)
+    endless = stall_stop(pages.where(google), ids.where(google), ["key"], seen=seen, max_pages=max_pages)
     stops = paged.unionByName(endless)
-    # A failed page counts only if the crawl would have come as far as that.
-    reached = up_to_last_page(pages, stops, ["key"])
-    broken = reached.where("failed").groupBy("key").agg(F.min("page_no").alias("broken_at"))
-    broken = cut(broken, "broken-searches")
-
-    def before_break(df: DataFrame, last: bool) -> DataFrame:
-        page, at = F.col("page_no"), F.col("broken_at")
-        inside = at.isNull() | (page < at) | (page == at if last else F.lit(False))
-        return df.join(small(broken), "key", "left").where(inside).drop("broken_at")
-
-    read = before_break(reached, last=True).where(F.col("failed") | (F.col("n_cards") > 0))
-    kept = before_break(up_to_last_page(listings, stops, ["key"]), last=False)
-    # Searches without any result have still been carried out.
-    silent = pages.groupBy("key").agg(
-        F.min_by(F.struct("source", "keyword", "location", "start_page"), "page_no").alias("who")
+    # One row for each search: where it ends, on which page it broke off, and whether it had no result at all. A failed page
+    # counts only if the crawl would have come as far as that.
+    page, at = F.col("page_no"), F.col("broken_at")
+    inside = page <= F.col("last_page")
+    searches = pages.join(shuffled(stops), "key", "left").groupBy("key").agg(
+        F.first("last_page").alias("last_page"),
+        F.min(F.when(inside & F.col("failed"), page)).alias("broken_at"),
+        F.count_if(inside & (F.col("failed") | (F.col("n_cards") > 0))).alias("results"),
+        F.min_by(F.struct("source", "keyword", "location", "start_page"), "page_no").alias("who"),
     )
-    silent = silent.join(shuffled(read.select("key")), "key", "left_anti").select("key", "who.*")
-    read = read.unionByName(silent.withColumn("failed", F.lit(False)), allowMissingColumns=True)
+    searches = cut(searches, "searches")
+
+    def up_to_break(df: DataFrame, last: bool) -> DataFrame:
+        ends = searches.where("results > 0").select("key", "last_page", "broken_at")
+        before = at.isNull() | (page < at) | (page == at if last else F.lit(False))
+        return df.join(shuffled(ends), "key").where(inside & before).drop("last_page", "broken_at")
+
+    read = up_to_break(pages.where(F.col("failed") | (F.col("n_cards") > 0)), last=True)
+    kept = up_to_break(listings, last=False)
+    # Searches without any result have still been carried out.
+    silent = searches.where("results = 0").select("key", "who.*").withColumn("failed", F.lit(False))
+    read = read.unionByName(silent, allowMissingColumns=True)
     return drop_seen(kept, seen, ["key"], "sourceJobId", ["page_no", "pos"]), read
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, urljoin
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from postloom.functions.text import WS_CHARS, clean_text, falsy_or
 from postloom.operators.ordered import spread
 from postloom.operators.resolve import detail_struct, page_detail
 from postloom.schemas import FLAG, INT, shape
-from postloom.sources.html import Element, first, parse, select, selector_error, trimmed
+from postloom.sources.html import Element, first, first_of, parse, select, selector_error, trimmed
 
 # Where each portal keeps the parts of a result card.
 PORTAL_SELECTORS = {
@@ -108,9 +110,33 @@ def unusable_sources(raw_pages: DataFrame, selectors: dict[str, dict[str, str]]
     )
 
 
+# Addresses on the page's own host that are written out as they are: no part that goes up, is empty or is quoted.
+_PLAIN_PATH = re.compile(r"/(?!/)[A-Za-z0-9_~!$&'()*+,=:@%/?-]*(?<!\?)")
+
+
+_origins: dict[str, str | None] = {}
+
+
+def _origin(base: str) -> str | None:
+    """Scheme and host of a web address; None if they are not plain."""
+    if base not in _origins:
+        if len(_origins) >= 4096:
+            _origins.clear()
+        try:
+            parts = urlsplit(base)
+            plain = parts.scheme in ("http", "https") and re.fullmatch("[A-Za-z0-9.:-]+", parts.netloc)
+        except ValueError:
+            plain = None
+        _origins[base] = f"{parts.scheme}://{parts.netloc}" if plain else None
+    return _origins[base]
+
+
 def _href(node: Element | None, base: str | None) -> str:
     if node is None or node.attrs.get("href") is None:
         return ""
+    href = node.attrs["href"]
+    if base and _PLAIN_PATH.fullmatch(href) and (origin := _origin(base)):
+        return origin + href
     try:
         full = urljoin(base or "", node.attrs["href"].strip(WS_CHARS))
     except ValueError:
@@ -118,26 +144,42 @@ def _href(node: Element | None, base: str | None) -> str:
     return quote(full, safe=URL_SAFE)
 
 
+ARROW = {INT: pa.int32(), FLAG: pa.bool_()}
+
+
+def _flat(rows: list[tuple], fields: StructType) -> list[pa.Array]:
+    """Tuples as one array for each field."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return [pa.array(c, ARROW.get(f.dataType, pa.string())) for c, f in zip(columns, fields, strict=True)]
+
+
 def _map_pages(
-    pages: DataFrame, columns: list[str], read: Callable[..., Iterator[tuple]], added: str, keep: list[str]
+    pages: DataFrame, columns: list[str], read: Callable[..., Iterator[tuple]], added: str, keep: list[str],
+    gathered: str | None = None,
 ) -> DataFrame:
-    """Run ``read(*values)`` on each page and add its tuples to the page's ``keep`` columns."""
+    """Run ``read(*values)`` on each page and add its tuples to the page's ``keep`` columns: a row for each, or
+    one row for each page with all of them in the array ``gathered``."""
     new = shape(added, pos=INT, has_next=FLAG)
     names = new.fieldNames()
-    schema = StructType([*[pages.schema[c] for c in keep], *new.fields])
-
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            origin, rows = [], []
-            for i, values in enumerate(zip(*(pdf[c] for c in columns))):
-                for row in read(*values):
-                    origin.append(i)
-                    rows.append(row)
-            kept = pdf[keep].iloc[origin].reset_index(drop=True)
-            yield pd.concat([kept, pd.DataFrame(rows, columns=names)], axis=1)
+    more = [StructField(gathered, ArrayType(new))] if gathered else new.fields
+    schema = StructType([*[pages.schema[c] for c in keep], *more])
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ends = [], [0]
+            for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                rows.extend(read(*values))
+                ends.append(len(rows))
+            kept, flat = batch.select(keep), _flat(rows, new)
+            if gathered:
+                flat = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names))]
+            else:
+                origin = [i for i, (a, b) in enumerate(zip(ends, ends[1:])) for _ in range(b - a)]
+                kept = kept.take(pa.array(origin, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *flat], names=schema.names)
 
     wanted = list(dict.fromkeys([*keep, *columns]))
-    return spread(pages.select(*wanted)).mapInPandas(job, schema)
+    return spread(pages.select(*wanted)).mapInArrow(job, schema)
 
 
 CARD_FIELDS = (
@@ -145,13 +187,12 @@ CARD_FIELDS = (
 )
 
 
-def extract_cards(
+def read_cards(
     raw_pages: DataFrame, selectors: dict[str, dict[str, str]] | None = None
 ) -> DataFrame:
-    """One row per result card, with every column of its page but the address and markup.
+    """Every page, without its address and markup, with its result cards as the array ``cards``.
 
-    ``seq`` of the page comes out as ``page_seq``. Sources that :func:`unusable_sources` names
-    give no cards, or none of the field concerned; they never end the job.
+    Sources that :func:`unusable_sources` names give no cards, or none of the field concerned; they never end the job.
     """
     known = {
         source: {k: v for k, v in own.items() if k == "site_name" or not v or not selector_error(v)}
@@ -164,18 +205,28 @@ def extract_cards(
         if s is None:
             return
         for pos, card in enumerate(select(parse(html), s["card"])):
-            part = lambda name: trimmed(first(card, s.get(name)), "")  # noqa: B023, E731
-            note = lambda name: trimmed(first(card, s.get(name)))  # noqa: B023, E731
-            company = part("company") if s.get("company") else s.get("site_name", "")
+            nodes = list(card.descendants())
+            at = lambda name: first_of(nodes, s.get(name))  # noqa: B023, E731
+            company = trimmed(at("company"), "") if s.get("company") else s.get("site_name", "")
+            attrs = card.attrs
             yield (
-                pos, part("title"), _href(first(card, s.get("link")), url), company,
-                part("location"), note("salary"), note("age"), card.attrs.get("data-job-id"),
-                card.attrs.get("data-entity-urn"), card.attrs.get("id"),
+                pos, trimmed(at("title"), ""), _href(at("link"), url), company, trimmed(at("location"), ""),
+                trimmed(at("salary")), trimmed(at("age")), attrs.get("data-job-id"), attrs.get("data-entity-urn"), attrs.get("id"),
             )
 
     keep = [c for c in raw_pages.columns if c not in ("url", "html")]
-    cards = _map_pages(raw_pages, ["source", "url", "html"], read, CARD_FIELDS, keep)
-    return cards.withColumnRenamed("seq", "page_seq")
+    return _map_pages(raw_pages, ["source", "url", "html"], read, CARD_FIELDS, keep, "cards")
+
+
+def extract_cards(
+    raw_pages: DataFrame, selectors: dict[str, dict[str, str]] | None = None
+) -> DataFrame:
+    """One row per result card of :func:`read_cards`, with every column of its page but the address and markup.
+
+    ``seq`` of the page comes out as ``page_seq``.
+    """
+    keep = [c for c in raw_pages.columns if c not in ("url", "html")]
+    return read_cards(raw_pages, selectors).select(*keep, F.inline("cards")).withColumnRenamed("seq", "page_seq")
 
 
 def extract_links(raw_pages: DataFrame, selector: str) -> DataFrame:
