@@ -136,14 +136,20 @@ def drop_seen(
     return fresh.unionByName(df.where(~_has_id(id_col)))
 
 
-def new_ids_per_page(
-    cards: DataFrame, seen: DataFrame | None, keys: list[str], id_col: str
-) -> DataFrame:
-    """``(keys, page_no, new_ids)``: ids that appear for the first time on a page."""
+def first_pages(cards: DataFrame, seen: DataFrame | None, keys: list[str], id_col: str) -> DataFrame:
+    """``(keys, id_col, page_no)``: the page on which an id that was not seen before appears for the first time."""
     first = cards.where(_has_id(id_col)).groupBy(*keys, id_col).agg(F.min("page_no").alias("page_no"))
     if seen is not None:
         old = seen.select(*keys, F.col("source_job_id").alias(id_col))
         first = first.join(shuffled(old), [*keys, id_col], "left_anti")
+    return first
+
+
+def new_ids_per_page(
+    cards: DataFrame, seen: DataFrame | None, keys: list[str], id_col: str
+) -> DataFrame:
+    """``(keys, page_no, new_ids)``: ids that appear for the first time on a page."""
+    first = first_pages(cards, seen, keys, id_col)
     return first.groupBy(*keys, "page_no").agg(F.count(F.lit(1)).alias("new_ids"))
 
 
@@ -205,10 +211,21 @@ def dry_stop(
     """
     if max_pages is not None:
         pages, cards = cap_pages(pages, max_pages), cap_pages(cards, max_pages)
-    counted = _with_new_ids(pages, new_ids_per_page(cards, seen, keys, id_col), keys)
-    dry = (F.col("new_ids") == 0) & (F.col("page_no") > F.col("start_page"))
     read = ~_failed(pages)
-    return _last_page(counted, keys, read & (F.col("n_cards") == 0), read & dry)
+    judged = pages.select(
+        *keys, "page_no",
+        F.lit(1).alias("pages"),
+        (read & (F.col("n_cards") == 0)).alias("empty"),
+        (read & (F.col("page_no") > F.col("start_page"))).alias("later"),
+    )
+    # Pages and the ids that are new on them are counted together, which needs no sorting.
+    new_ids = first_pages(cards, seen, keys, id_col).select(*keys, "page_no", F.lit(1).alias("new_ids"))
+    counted = judged.unionByName(new_ids, allowMissingColumns=True).groupBy(*keys, "page_no").agg(
+        F.count("pages").alias("pages"), F.count("new_ids").alias("new_ids"),
+        F.max("empty").alias("empty"), F.max("later").alias("later"),
+    )
+    dry = (F.col("new_ids") == 0) & F.col("later")
+    return _last_page(counted.where("pages > 0"), keys, F.col("empty"), dry)
 
 
 def stall_stop(

@@ -16,7 +16,7 @@ from postloom.functions.text import WS_CHARS, clean_text, falsy_or
 from postloom.operators.ordered import spread
 from postloom.operators.resolve import detail_struct, page_detail
 from postloom.schemas import FLAG, INT, shape
-from postloom.sources.html import Element, first, first_of, parse, select, selector_error, trimmed
+from postloom.sources.html import Element, compiled, first, first_of, parse, select, selector_error, trimmed
 
 # Where each portal keeps the parts of a result card.
 PORTAL_SELECTORS = {
@@ -200,18 +200,21 @@ def read_cards(
         if not selector_error(own.get("card"))
     }
 
+    parts = ("title", "link", "company", "location", "salary", "age")
+    tests = {source: [compiled(s[p]) if s.get(p) else None for p in parts] for source, s in known.items()}
+
     def read(source, url, html):
         s = known.get(source)
         if s is None:
             return
         for pos, card in enumerate(select(parse(html), s["card"])):
             nodes = list(card.descendants())
-            at = lambda name: first_of(nodes, s.get(name))  # noqa: B023, E731
-            company = trimmed(at("company"), "") if s.get("company") else s.get("site_name", "")
+            title, link, company, location, salary, age = [t and first_of(nodes, t) for t in tests[source]]
             attrs = card.attrs
             yield (
-                pos, trimmed(at("title"), ""), _href(at("link"), url), company, trimmed(at("location"), ""),
-                trimmed(at("salary")), trimmed(at("age")), attrs.get("data-job-id"), attrs.get("data-entity-urn"), attrs.get("id"),
+                pos, trimmed(title, ""), _href(link, url),
+                trimmed(company, "") if s.get("company") else s.get("site_name", ""), trimmed(location, ""),
+                trimmed(salary), trimmed(age), attrs.get("data-job-id"), attrs.get("data-entity-urn"), attrs.get("id"),
             )
 
     keep = [c for c in raw_pages.columns if c not in ("url", "html")]
